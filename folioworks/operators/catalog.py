@@ -8,6 +8,7 @@ from folioworks import fixed_values as fv
 from folioworks.functions.text import content_hash, normalize_title
 from folioworks.functions.urls import normalize_source_type
 from folioworks.operators.filters import resolve_column, seed_flag, source_type_of
+from folioworks.session import inline_table
 
 
 def display_status() -> Column:
@@ -59,7 +60,7 @@ def status_summary(spark: SparkSession, documents: DataFrame) -> DataFrame:
     status = display_status()
     folded = F.when(status.isin(*fv.DOCUMENT_STATUSES), status).otherwise("PENDING")
     counts = documents.groupBy(folded.alias("status")).agg(F.count("*").alias("n"))
-    domain = spark.createDataFrame([(s,) for s in fv.DOCUMENT_STATUSES], "status string")
+    domain = inline_table(spark, ["status"], [(s,) for s in fv.DOCUMENT_STATUSES])
     return domain.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -73,8 +74,8 @@ def sources_summary(spark: SparkSession, documents: DataFrame, sources: DataFram
     folded = raw.groupBy(normalize_source_type(F.col("source_type")).alias("source_type")).agg(
         F.sum("n").alias("n"), F.min_by("source_name", F.struct(-F.col("n"), "source_type", "source_key"))
         .alias("first_name"))
-    domain = spark.createDataFrame([(k, fv.SOURCE_LABELS[k]) for k in fv.CANONICAL_SOURCE_TYPES],
-                                   "source_type string, known string")
+    domain = inline_table(spark, ["source_type", "known"],
+                          [(k, fv.SOURCE_LABELS[k]) for k in fv.CANONICAL_SOURCE_TYPES])
     return domain.join(folded, "source_type", "full_outer").select(
         "source_type", F.coalesce("known", "first_name").alias("label"),
         F.coalesce("n", F.lit(0)).alias("n"), F.col("known").isNotNull().alias("canonical"))

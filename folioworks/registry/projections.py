@@ -15,7 +15,8 @@ STATUS_SQL = "CASE WHEN is_indexed THEN 'INDEXED' ELSE upper(coalesce(status, 'P
 
 @query("document_listing", "P1 W1 O1 O11 J1 F13", using(LIBRARY, SOURCES) + f"""
 SELECT p.*, s.source_name, (SELECT count(*) FROM library WHERE deleted_s IS NULL
-    AND upper(coalesce(status, 'PENDING')) <> 'FAILED' AND text ILIKE '%the%') AS total
+    AND upper(coalesce(status, 'PENDING')) <> 'FAILED'
+    AND (title ILIKE '%the%' OR text ILIKE '%the%' OR coalesce(author, '') ILIKE '%the%')) AS total
 FROM (SELECT doc_id, title, author, source_key, coalesce(meta_source_type, source_key) AS source_type, language,
     {STATUS_SQL} AS display_status, canonical_url, coalesce(meta_source_url, canonical_url) AS source_url,
     left(coalesce(text, ''), 360) AS excerpt, updated_s, coalesce(meta_is_seed, 'false') = 'true' AS seed

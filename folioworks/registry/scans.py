@@ -7,6 +7,7 @@ from folioworks.functions.urls import asset_key
 from folioworks.operators import catalog
 from folioworks.registry import query
 from folioworks.registry.prelude import LIBRARY, using
+from folioworks.session import inline_table
 from folioworks.sources import library as lib
 
 
@@ -75,9 +76,8 @@ FROM (VALUES ('READY', true), ('INDEXED', true), ('PENDING', false), ('FAILED',
 LEFT JOIN library l ON p.visibility = CASE WHEN l.is_indexed THEN 'INDEXED' ELSE upper(coalesce(l.status, 'PENDING')) END
 GROUP BY p.visibility, p.allowed""")
 def table_policies(spark, d):
-    policies = spark.createDataFrame(
-        [("READY", True), ("INDEXED", True), ("PENDING", False), ("FAILED", False), ("HIDDEN", False)],
-        "visibility string, allowed boolean")
+    policies = inline_table(spark, ["visibility", "allowed"], [
+        ("READY", True), ("INDEXED", True), ("PENDING", False), ("FAILED", False), ("HIDDEN", False)])
     counts = lib.documents(spark, d).groupBy(catalog.display_status().alias("visibility")).agg(
         F.count("*").alias("rows"))
     return policies.join(counts, "visibility", "left").select(

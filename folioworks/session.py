@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app_name: str = "folioworks", master: str | None = None, **conf: str) -> SparkSession:
@@ -64,3 +66,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, for written tables and stream state."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def inline_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+    """A fixed lookup table built from literals; no Python data crosses to the JVM."""
+    structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -30,7 +30,7 @@ def canon(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return f"f{value:.9g}"
+        return f"f{value!r}"
     if isinstance(value, bool):
         return f"b{value}"
     if isinstance(value, int):
