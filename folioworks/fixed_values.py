@@ -248,3 +248,40 @@ OUTLINE_PURPOSES = [
     "Cerrar con testimonio, invitacion y esperanza.",
     "Conectar la aplicacion con convenios y discipulado continuo.",
 ]
+
+# Damaged UTF-8 and its repair.  Order matters.
+DAMAGE_MARKERS = ["Ã", "Â", "â€", "â€™", "â€œ", "â€\x9d", "â€“", "â€”", "ï¿½", "�"]
+TRUNCATED_SEQUENCES = {
+    "Ãƒltimos": "Últimos",
+    "Ãƒl": "Él",
+    "Ãltimos": "Últimos",
+    "Ãl": "Él",
+}
+SEQUENCE_REPAIRS = {
+    "Ãƒl": "Él",
+    "Ãƒltimos": "Últimos",
+    "Ãl": "Él",
+    "Ãltimos": "Últimos",
+    "â€œ": "“",
+    "â€\x9d": "”",
+    "â€˜": "‘",
+    "â€™": "’",
+    "â€“": "–",
+    "â€”": "—",
+    "â€¦": "…",
+    "â€¢": "•",
+    "Â¿": "¿",
+    "Â¡": "¡",
+    "Â«": "«",
+    "Â»": "»",
+    "ÃƒÂºltimos": "últimos",
+    "DÃƒÂ\xadas": "Días",
+    "SeÃƒÂ±or": "Señor",
+    "EspÃƒÂ\xadritu": "Espíritu",
+    "reflexiÃƒÂ³n": "reflexión",
+}
+IDENTIFIER_KEYS = [
+    "api_key", "authorization", "canonical_url", "content_hash", "cookie", "database_url", "document_id",
+    "email", "file_url", "hash", "id", "key", "normalized_url", "password", "secret", "slug", "source_url",
+    "storage_path", "token", "url", "uri",
+]
