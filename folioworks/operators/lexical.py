@@ -1,13 +1,24 @@
-"""Full-text matching and cover-density ranking."""
+"""Full-text matching and cover-density ranking.
+
+A document is a list of lexemes with positions; the title is weighted A, the
+author or section B, the body C.  Matching means that every query lexeme occurs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioworks.functions.text import WORD
+from folioworks.operators.ranking import top_per_group
+from folioworks.session import bounded_broadcast, cut_lineage, write_once
+
+MAX_BROADCAST_TERMS = 200_000
+MAX_BROADCAST_PAIRS = 200_000
 
 # Inverse weights of the A, B and C fields.
-INVERSE_WEIGHTS = {"A": 1.0, "B": 2.5, "C": 5.0}
+INVERSE_A, INVERSE_B, INVERSE_C = 1.0, 2.5, 5.0
 
 
 def words(c: Column) -> Column:
@@ -19,3 +30,93 @@ def text_config(language: Column) -> Column:
     """T5."""
     return (F.when(language == "es", "spanish").when(language == "en", "english")
             .when(language == "pt", "portuguese").otherwise("simple"))
+
+
+def query_terms(queries: DataFrame, key: str, text: Column, carry: Sequence[str] = ()) -> DataFrame:
+    return queries.select(F.col(key).alias("query_id"), *carry,
+                          F.array_sort(F.array_distinct(words(text))).alias("terms"))
+
+
+def build_index(documents: DataFrame, title: str = "title", second: str = "author", body: str = "text",
+                carry: Sequence[str] = ()) -> DataFrame:
+    """The lexemes of the three fields in one array, with the lengths that separate them.
+
+    Tokenising is the costly step and every search reads the result several
+    times, so the index is a stored table, as the search column is in a
+    database.
+    """
+    part = lambda c: words(F.coalesce(F.col(c), F.lit("")))
+    a, b = part(title), part(second)
+    return write_once(documents.select(
+        "doc_id", *carry, F.concat(a, b, part(body)).alias("lexemes"), F.size(a).alias("n_a"), F.size(b).alias("n_b")),
+        "lexemes")
+
+
+def match_all(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """F16: index rows joined to the queries all of whose terms they hold.
+
+    Only the rarest term of a query is looked up in the postings, so a frequent
+    word in a query never multiplies rows.  The few candidates are then checked
+    against the document's own lexemes in one pass over the index.
+    """
+    needed = queries.where(F.size("terms") > 0)
+    q_terms = needed.select("query_id", F.explode("terms").alias("term"))
+    wanted = bounded_broadcast(q_terms.select("term").distinct(), MAX_BROADCAST_TERMS)
+    postings = index.select("doc_id", F.explode(F.array_distinct("lexemes")).alias("term")).join(
+        wanted, "term", "left_semi")
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = (q_terms.join(frequency, "term", "left").groupBy("query_id")
+              .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"),
+                   F.min(F.coalesce("df", F.lit(0))).alias("df")).where("df > 0").drop("df"))
+    candidates = cut_lineage(postings.join(rarest, "term").select("query_id", "doc_id"))
+    pairs = candidates.join(needed, "query_id")
+    return (index.join(bounded_broadcast(pairs, MAX_BROADCAST_PAIRS), "doc_id")
+            .where(F.size(F.array_except("terms", "lexemes")) == 0))
+
+
+def query_hits(lexemes: Column, n_a: Column, n_b: Column, terms: Column) -> Column:
+    """Places where a query term occurs: position, which term, inverse field weight."""
+    inverse = lambda at: (F.when(at <= n_a, INVERSE_A).when(at <= n_a + n_b, INVERSE_B)
+                          .otherwise(INVERSE_C))
+    placed = F.transform(lexemes, lambda w, i: F.when(F.array_contains(terms, w), F.struct(
+        (i + 1).alias("at"), F.array_position(terms, w).cast("int").alias("term"), inverse(i + 1).alias("inv"))))
+    return F.array_compact(placed)
+
+
+def cover_density(hits: Column, terms: Column) -> Column:
+    """Sum over minimal covers of mean weight divided by one plus the words in between.
+
+    Walks the query hits in order and remembers the last hit of every term.  A
+    cover ends at a hit exactly when the earliest of those last hits moves.
+    """
+    start = F.struct(
+        F.array_repeat(F.lit(0), F.size(terms)).alias("last"), F.lit(0).alias("left"), F.lit(0).alias("seen"),
+        F.lit(0.0).alias("score"))
+
+    def step(acc: Column, hit: Column) -> Column:
+        here = acc["seen"] + 1
+        last = F.transform(acc["last"], lambda v, k: F.when(k + 1 == hit["term"], here).otherwise(v))
+        left = F.array_min(last)
+        inside = here - left + 1
+        covered = F.slice(hits, left, inside)
+        weight = F.aggregate(covered, F.lit(0.0), lambda s, h: s + h["inv"])
+        gap = hit["at"] - F.get(covered, F.lit(0))["at"] - (inside - 1)
+        gained = F.when(left > acc["left"], inside / weight / (gap + 1)).otherwise(F.lit(0.0))
+        return F.struct(last.alias("last"), left.alias("left"), here.alias("seen"),
+                        (acc["score"] + gained).alias("score"))
+
+    return F.aggregate(hits, start, step, lambda acc: acc["score"])
+
+
+def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every matching (query_id, doc_id) with its cover-density rank."""
+    extra = [c for c in index.columns if c not in ("doc_id", "lexemes", "n_a", "n_b")]
+    others = [c for c in queries.columns if c not in ("query_id", "terms")]
+    hits = query_hits(F.col("lexemes"), F.col("n_a"), F.col("n_b"), F.col("terms"))
+    found = match_all(index, queries).select("query_id", "doc_id", *extra, *others, "terms", hits.alias("hits"))
+    return found.withColumn("lexical_score", cover_density(F.col("hits"), F.col("terms"))).drop("hits", "terms")
+
+
+def ranked(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """O2: the best ``k`` documents of every query."""
+    return top_per_group(scored(index, queries), ["query_id"], [F.desc("lexical_score"), F.col("doc_id")], k)

@@ -67,9 +67,8 @@ def min_max(score: Column, window) -> Column:
     return F.when(flat, F.when(value > 0, 1.0).otherwise(0.0)).otherwise((value - low) / (high - low))
 
 
-def fuse(semantic: DataFrame, lexical: DataFrame, query: Sequence[str], item: str) -> DataFrame:
-    """Merge two legs on the passage, scale each over the merged set, add the boosts."""
-    merged = semantic.join(lexical, [*query, item], "full_outer")
+def score_merged(merged: DataFrame, query: Sequence[str]) -> DataFrame:
+    """Scale each leg over the merged candidates of a query and add the boosts."""
     window = Window.partitionBy(*query)
     trusted = F.when(F.col("source_key").isin(*fv.TRUSTED_SOURCE_KEYS), 0.08).otherwise(0.0)
     spoken = F.when(F.coalesce("language", F.lit("")) != "", 0.03).otherwise(0.0)
@@ -79,6 +78,11 @@ def fuse(semantic: DataFrame, lexical: DataFrame, query: Sequence[str], item: st
         + trusted + spoken)
 
 
+def fuse(semantic: DataFrame, lexical: DataFrame, query: Sequence[str], item: str) -> DataFrame:
+    """Merge two legs on the passage; a passage missing from a leg scores 0 there."""
+    return score_merged(semantic.join(lexical, [*query, item], "full_outer"), query)
+
+
 def rerank_blend(rerank: Column, final: Column) -> Column:
     """External relevance weighs 0.7, the fused score 0.3; unscored items count as 0."""
     return F.lit(0.7) * F.coalesce(rerank, F.lit(0.0)) + F.lit(0.3) * final

@@ -1 +1,25 @@
-"""Registered queries."""
+"""Chunkers."""
+
+from pyspark.sql import functions as F
+
+from folioworks.operators import chunking, usage
+from folioworks.registry import query
+from folioworks.sources import library as lib
+
+
+@query("smart_chunks", "T1 W5 X2 R35")
+def smart_chunks(spark, d):
+    return chunking.smart_chunks(lib.table(spark, d, "documents")).select(
+        "doc_id", "chunk_index", "section_title", "start_char", "end_char", "token_count", "text_hash")
+
+
+@query("fixed_chunks", "T2")
+def fixed_chunks(spark, d):
+    return chunking.fixed_chunks(lib.table(spark, d, "documents")).select(
+        "doc_id", "chunk_index", "start_char", "end_char", "token_count", "text_hash")
+
+
+@query("embedding_plan", "I10 A8 R36")
+def embedding_plan(spark, d):
+    chunks = chunking.smart_chunks(lib.table(spark, d, "documents"))
+    return usage.embedding_plan(chunks, daily_limit=100_000, batch_size=64)

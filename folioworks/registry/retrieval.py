@@ -1 +1,218 @@
-"""Registered queries."""
+"""Retrieval: textual search, lexical rank, vectors, fusion."""
+
+from pyspark.sql import functions as F
+
+from folioworks.functions import text as t
+from folioworks.operators import catalog, chunking, lexical, ranking, search, study, vectors
+from folioworks.operators.filters import MetadataFilter
+from folioworks.registry import query
+from folioworks.registry.prelude import DUPLICATES, LIBRARY, NOTES, PARAGRAPHS, SOURCES, using
+from folioworks.sources import library as lib
+
+_QUERY = "thin the, on that?"
+_PATTERNS = ["%thin the, on that?%", "%thin%"]
+
+
+def _any(c: str, patterns) -> str:
+    return "(" + " OR ".join(f"{c} ILIKE '{p}'" for p in patterns) + ")"
+
+
+_SEARCH_SQL = using(LIBRARY, SOURCES, PARAGRAPHS, DUPLICATES) + f""",
+first AS (SELECT doc_id, min(chunk_index) AS chunk_index, min_by(chunk_text, chunk_index) AS chunk_text FROM paragraphs
+  WHERE {_any('chunk_text', _PATTERNS)} GROUP BY doc_id),
+scored AS (SELECT l.*, s.source_name, f.chunk_index, f.chunk_text,
+    CASE WHEN l.title ILIKE '{_PATTERNS[0]}' THEN 5 ELSE 0 END + CASE WHEN coalesce(l.author, '') ILIKE '{_PATTERNS[0]}' THEN 3 ELSE 0 END
+    + CASE WHEN s.source_name ILIKE '{_PATTERNS[0]}' THEN 2 ELSE 0 END + CASE WHEN {_any("coalesce(l.meta_summary, '')", _PATTERNS)} THEN 2 ELSE 0 END
+    + CASE WHEN {_any('l.text', _PATTERNS)} THEN 1 ELSE 0 END + CASE WHEN {_any('CAST(to_json(l.tags) AS VARCHAR)', _PATTERNS)} THEN 2 ELSE 0 END
+    + CASE WHEN f.doc_id IS NOT NULL THEN 2 ELSE 0 END AS match_score
+  FROM library l JOIN sources s USING (source_key) LEFT JOIN first f ON f.doc_id = l.doc_id
+  WHERE l.deleted_s IS NULL AND l.language IN ('en', 'de') AND l.doc_id NOT IN (SELECT duplicate_id FROM hidden)
+    AND ({_any('l.title', _PATTERNS)} OR {_any("coalesce(l.author, '')", _PATTERNS)} OR {_any('s.source_name', _PATTERNS)}
+      OR {_any("coalesce(l.meta_summary, '')", _PATTERNS)} OR {_any('l.text', _PATTERNS)} OR {_any('CAST(to_json(l.tags) AS VARCHAR)', _PATTERNS)} OR f.doc_id IS NOT NULL)
+  ORDER BY match_score DESC, updated_s DESC, l.doc_id LIMIT 20)
+SELECT doc_id, title, author, source_name, language, canonical_url, left(coalesce(nullif(chunk_text, ''), nullif(meta_summary, ''), nullif(text, ''), title), 520) AS snippet,
+  chunk_index, least(match_score / 17.0, 1.0)::DOUBLE AS score, updated_s FROM scored"""
+
+
+def _search(spark, d, limit=20):
+    docs = catalog.without_exact_copies(lib.documents(spark, d))
+    return search.textual_search(docs, lib.sources(spark, d), lib.paragraphs(spark, d), _QUERY, limit,
+                                 MetadataFilter(languages=["en", "de"]))
+
+
+@query("textual_search", "L4 O4 P5 F1 F7 J1 J5 J8 J9 X38", _SEARCH_SQL)
+def textual_search(spark, d):
+    return _search(spark, d).drop("tags", "source_url", "source_key").withColumn(
+        "chunk_index", F.col("chunk_index").cast("bigint"))
+
+
+@query("local_answer", "R19 P7 L6", f"""
+SELECT row_number() OVER (ORDER BY score DESC, updated_s DESC, doc_id) AS citation_id, doc_id, title,
+  left(trim(regexp_replace(snippet, '\\s+', ' ', 'g')), 380) AS quote FROM ({_SEARCH_SQL}) ORDER BY citation_id LIMIT 5""")
+def local_answer(spark, d):
+    return search.local_answer(_search(spark, d, 5)).withColumn("citation_id", F.col("citation_id").cast("bigint"))
+
+
+# At most eight lexemes per query, so that the oracle can spell the covers out.
+_TERMS_SQL = r"""
+q AS (SELECT item_id AS query_id, list_sort(list_distinct(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 3))) AS terms FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(title), '[\p{L}\p{N}_]+') AS a, regexp_extract_all(lower(coalesce(author, '')), '[\p{L}\p{N}_]+') AS b,
+  regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS c, language, source_key FROM library),
+dl AS (SELECT doc_id, list_concat(list_concat(a, b), c) AS w, len(a) AS na, len(b) AS nb, language, source_key FROM d),
+pairs AS (SELECT query_id, doc_id, terms, w, na, nb, language, source_key FROM q JOIN dl ON list_has_all(w, terms)),
+hits AS (SELECT query_id, doc_id, pos, list_position(terms, w[pos]) AS term, len(terms) AS n,
+    CASE WHEN pos <= na THEN 1.0::DOUBLE WHEN pos <= na + nb THEN 2.5::DOUBLE ELSE 5.0::DOUBLE END AS inv
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS pos FROM pairs) WHERE list_contains(terms, w[pos])),
+numbered AS (SELECT *, row_number() OVER p AS i, sum(inv) OVER p AS cum FROM hits WINDOW p AS (PARTITION BY query_id, doc_id ORDER BY pos)),
+lasts AS (SELECT *, CASE n WHEN 1 THEN t1 WHEN 2 THEN least(t1, t2) ELSE least(t1, t2, t3) END AS lft FROM (
+  SELECT *, coalesce(max(i) FILTER (WHERE term = 1) OVER p, 0) AS t1, coalesce(max(i) FILTER (WHERE term = 2) OVER p, 0) AS t2,
+    coalesce(max(i) FILTER (WHERE term = 3) OVER p, 0) AS t3 FROM numbered WINDOW p AS (PARTITION BY query_id, doc_id ORDER BY pos))),
+covers AS (SELECT l.*, coalesce(lag(lft) OVER (PARTITION BY query_id, doc_id ORDER BY i), 0) AS before FROM lasts l),
+gains AS (SELECT c.query_id, c.doc_id, c.i, (c.i - c.lft + 1) / (c.cum - s.cum + s.inv) / (c.pos - s.pos - (c.i - c.lft) + 1) AS gain
+  FROM covers c JOIN numbered s ON s.query_id = c.query_id AND s.doc_id = c.doc_id AND s.i = c.lft WHERE c.lft > c.before),
+ranks AS (SELECT query_id, doc_id, sum(gain ORDER BY i) AS score FROM gains GROUP BY 1, 2)
+"""
+
+
+def _queries(spark, d, text_words: int = 3):
+    head = F.slice(lexical.words(F.col("text")), 1, text_words)
+    return lib.table(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.array_sort(F.array_distinct(head)).alias("terms"))
+
+
+@query("all_terms_match", "F16", using(LIBRARY) + r"""
+SELECT q.item_id AS query_id, l.doc_id FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS terms FROM benchmark) q
+JOIN (SELECT doc_id, regexp_extract_all(lower(title || ' ' || coalesce(author, '') || ' ' || text), '[\p{L}\p{N}_]+') AS w FROM library) l ON list_has_all(l.w, q.terms)""")
+def all_terms_match(spark, d):
+    index = lexical.build_index(lib.documents(spark, d))
+    queries = lexical.query_terms(lib.table(spark, d, "benchmark"), "item_id", F.col("text"))
+    return lexical.match_all(index, queries).select("query_id", "doc_id")
+
+
+@query("cover_density_rank", "X49 O2 F16 X48", using(LIBRARY, _TERMS_SQL) + """
+SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM ranks) WHERE rn <= 20""")
+def cover_density_rank(spark, d):
+    found = lexical.scored(lexical.build_index(lib.documents(spark, d)), _queries(spark, d))
+    rounded = found.withColumn("raw", F.round("lexical_score", 9))
+    top = ranking.top_per_group(rounded, ["query_id"], [F.desc("raw"), F.col("doc_id")], 20)
+    return top.select("query_id", "doc_id", F.round("raw", 6).alias("score"))
+
+
+_COS = """list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"""
+
+
+@query("nearest_vectors", "O3 F4 J6", f"""
+WITH c AS (SELECT list(v ORDER BY dim) AS center FROM (SELECT dim, avg(v) AS v FROM (SELECT unnest(range(1, len(embedding) + 1)) AS dim,
+  unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings WHERE label = 3) GROUP BY dim))
+SELECT vec_id AS doc_id, label, round(s, 6) AS score FROM (SELECT vec_id, label, {_COS.format(a='embedding', b='center')} AS s FROM embeddings, c WHERE label IN (1, 3, 5, 7))
+ORDER BY s DESC, vec_id LIMIT 25""")
+def nearest_vectors(spark, d):
+    points = lib.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    center = vectors.centroid(points.where("label = 3"))
+    return vectors.nearest(points.where("label IN (1, 3, 5, 7)"), center, 25).select(
+        "doc_id", "label", F.round("semantic_score", 6).alias("score"))
+
+
+@query("nearest_vectors_batch", "O3 J13", f"""
+SELECT query_id, doc_id, round(s, 6) AS score FROM (SELECT b.item_id AS query_id, p.vec_id AS doc_id, {_COS.format(a='q.embedding', b='p.embedding')} AS s,
+  row_number() OVER (PARTITION BY b.item_id ORDER BY {_COS.format(a='q.embedding', b='p.embedding')} DESC, p.vec_id) AS rn
+  FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id JOIN embeddings p ON p.label = q.label) WHERE rn <= 8""")
+def nearest_vectors_batch(spark, d):
+    points = lib.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    asked = (lib.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+             .join(points.withColumnRenamed("doc_id", "query_id"), "query_id"))
+    return vectors.nearest_batch(points, asked, 8, match="label").select(
+        "query_id", "doc_id", F.round("semantic_score", 6).alias("score"))
+
+
+@query("latest_vector_points", "S12 R48", """
+SELECT label AS cell, max(vec_id) AS doc_id, arg_max(len(embedding), vec_id) AS dimensions FROM embeddings GROUP BY label""")
+def latest_vector_points(spark, d):
+    points = lib.table(spark, d, "embeddings").select(F.col("label").alias("cell"), "vec_id", "embedding")
+    return vectors.latest_points(points, "cell", "vec_id").select(
+        "cell", F.col("vec_id").alias("doc_id"), F.size("embedding").cast("bigint").alias("dimensions"))
+
+
+_HYBRID_SQL = using(LIBRARY, _TERMS_SQL) + f""",
+asked AS (SELECT b.item_id AS query_id, e.embedding, l.language AS q_language FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id JOIN library l ON l.doc_id = b.item_id),
+sem AS (SELECT query_id, item, s FROM (SELECT a.query_id, p.vec_id AS item, {_COS.format(a='a.embedding', b='p.embedding')} AS s,
+    row_number() OVER (PARTITION BY a.query_id ORDER BY {_COS.format(a='a.embedding', b='p.embedding')} DESC, p.vec_id) AS rn
+  FROM asked a JOIN embeddings p ON true JOIN library l ON l.doc_id = p.vec_id AND l.language = a.q_language) WHERE rn <= 32),
+lex AS (SELECT query_id, item, s FROM (SELECT r.query_id, r.doc_id AS item, r.score AS s, row_number() OVER (PARTITION BY r.query_id ORDER BY r.score DESC, r.doc_id) AS rn
+  FROM ranks r JOIN asked a USING (query_id) JOIN library l ON l.doc_id = r.doc_id AND l.language = a.q_language) WHERE rn <= 32),
+merged AS (SELECT query_id, item, coalesce(sem.s, 0) AS ss, coalesce(lex.s, 0) AS ls FROM sem FULL JOIN lex USING (query_id, item)),
+scaled AS (SELECT query_id, item,
+    CASE WHEN max(ss) OVER w = min(ss) OVER w THEN CASE WHEN ss > 0 THEN 1.0 ELSE 0.0 END ELSE (ss - min(ss) OVER w) / (max(ss) OVER w - min(ss) OVER w) END AS sn,
+    CASE WHEN max(ls) OVER w = min(ls) OVER w THEN CASE WHEN ls > 0 THEN 1.0 ELSE 0.0 END ELSE (ls - min(ls) OVER w) / (max(ls) OVER w - min(ls) OVER w) END AS ln
+  FROM merged WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, item, round(f, 5) AS final_score FROM (SELECT query_id, item, 0.52 * sn + 0.36 * ln + 0.03 AS f FROM scaled)"""
+
+
+def _hybrid_inputs(spark, d):
+    docs = lib.documents(spark, d)
+    points = lib.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = (lib.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("q"))
+             .join(points, "doc_id").join(docs.select("doc_id", "language"), "doc_id")
+             .select(F.col("doc_id").alias("query_id"), "language", "embedding",
+                     F.array_join(F.slice(lexical.words(F.col("q")), 1, 3), " ").alias("text")))
+    passages = docs.select(
+        "doc_id", (F.col("doc_id") / 4).cast("bigint").alias("parent_id"), "title", "author", "text", "language",
+        "source_key", t.token_count(F.col("text")).cast("bigint").alias("token_count"))
+    return passages, points, asked
+
+
+@query("fused_candidates", "J14 W6 X51 L3", _HYBRID_SQL)
+def fused_candidates(spark, d):
+    return search.fused_candidates(*_hybrid_inputs(spark, d), mode="low").select(
+        "query_id", "item", F.round("final_score", 5).alias("final_score"))
+
+
+@query("hybrid_search", "L3 L5 W2 W3 J6 J13 J14 W6 X51")
+def hybrid_search(spark, d):
+    return search.hybrid_search(*_hybrid_inputs(spark, d), mode="low").select(
+        "query_id", "item", "position", "token_count", F.round("final_score", 5).alias("final_score"))
+
+
+@query("context_blocks", "P8 L5")
+def context_blocks(spark, d):
+    return search.context_block(search.hybrid_search(*_hybrid_inputs(spark, d), mode="low"), 6)
+
+
+@query("talk_outline", "T3 W9 L7 P12 R24", using(LIBRARY) + """,
+pool AS (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS position, 'document:' || doc_id AS id, title FROM
+  (SELECT * FROM library WHERE text ILIKE '%tion%' ORDER BY n_chars DESC, doc_id LIMIT 7))
+SELECT s.section, slot, p.id AS citation_id, p.title AS citation_title FROM (VALUES (0), (1), (2), (3)) s(section), (VALUES (0), (1)) k(slot)
+JOIN pool p ON p.position = (s.section + k.slot) % (SELECT count(*) FROM pool)""")
+def talk_outline(spark, d):
+    from pyspark.sql import Window
+
+    best = (lib.documents(spark, d).where(F.ilike("text", F.lit("%tion%"))).orderBy(F.desc("n_chars"), "doc_id")
+            .limit(7).select("doc_id", "n_chars", "title"))
+    at = F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1
+    pool = best.select(at.alias("position"), F.concat(F.lit("document:"), "doc_id").alias("id"), "title")
+    return study.outline(spark, pool, "la fe", "jovenes", 12).select(
+        "section", "slot", "citation_id", "citation_title")
+
+
+@query("export_lines", "S13 S14 L12 R21", using(NOTES) + r""",
+l AS (SELECT workspace_id, turn, note_id, unnest(list_concat(list_concat(['### ' || role, ''], string_split(content, chr(10))), ['', '- Scripture refs: Alma 32:21', ''])) AS line,
+  generate_subscripts(list_concat(list_concat(['### ' || role, ''], string_split(content, chr(10))), ['', '- Scripture refs: Alma 32:21', '']), 1) AS k FROM notes WHERE deleted_s IS NULL)
+SELECT workspace_id, n AS line_no, (n - 1) // 44 AS page, line FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY turn, note_id, k) AS n FROM l)""")
+def export_lines(spark, d):
+    notes = lib.notes(spark, d).where("deleted_at IS NULL").select(
+        "workspace_id", "turn", "note_id", F.col("role").alias("title"), F.lit(None).cast("string").alias("selected_text"),
+        "content", F.array(F.lit("Alma 32:21")).alias("scripture_refs"))
+    return study.export_lines(notes)
+
+
+@query("wrapped_lines", "S14")
+def wrapped_lines(spark, d):
+    notes = lib.notes(spark, d).select("note_id", F.explode(F.split("content", "\n")).alias("line"))
+    return notes.select("note_id", F.explode(study.wrap_lines(F.col("line"))).alias("line"))
+
+
+@query("chunk_search", "J2 L4 T1 J9")
+def chunk_search(spark, d):
+    docs = catalog.without_exact_copies(lib.documents(spark, d))
+    chunks = chunking.smart_chunks(docs).select("doc_id", "chunk_index", F.col("text").alias("chunk_text"))
+    return search.textual_search(docs, lib.sources(spark, d), chunks, "tion the", 20)

@@ -72,3 +72,19 @@ def inline_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tup
     """A fixed lookup table built from literals; no Python data crosses to the JVM."""
     structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint only after a count has shown the side to be small.
+
+    Counting stops one row past the bound; a larger side is left to a shuffle
+    join, where AQE splits skewed partitions.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def write_once(df: DataFrame, label: str) -> DataFrame:
+    """Store a derived table in the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
