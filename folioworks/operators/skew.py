@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioworks.session import cut_lineage
+
 MAX_HOT_KEYS = 256
 
 
@@ -13,15 +15,17 @@ def join_group_facts(members: DataFrame, per_group: DataFrame, keys: Sequence[st
                      hot_rows: int = 100_000) -> DataFrame:
     """Inner-join every member row with the single row that describes its group.
 
-    The largest groups, at most ``MAX_HOT_KEYS`` of them by construction of the
-    limit, are joined by broadcast, so their members never move.  All other
-    groups go through an ordinary shuffle join; once the biggest 256 are gone
-    none of them can hold more than 1/257 of the rows.  Both branches together
-    are the whole join.
+    Groups of at least ``hot_rows`` rows, the largest ``MAX_HOT_KEYS`` of them
+    by construction of the limit, are joined by broadcast, so their members
+    never move.  All other groups go through an ordinary shuffle join; once the
+    biggest 256 are gone none can hold more than 1/257 of the rows.  Both
+    branches together are the whole join.
     """
     keys = list(keys)
-    hot = (per_group.where(F.col(size) >= hot_rows)
-           .orderBy(F.col(size).desc(), *keys).limit(MAX_HOT_KEYS))
+    per_group = cut_lineage(per_group)
+    hot = per_group.where(F.col(size) >= hot_rows).orderBy(F.col(size).desc(), *keys).limit(MAX_HOT_KEYS)
+    if hot.isEmpty():
+        return members.join(per_group, keys)
     hot_keys = F.broadcast(hot.select(*keys))
     heavy = members.join(F.broadcast(hot), keys)
     rest = members.join(hot_keys, keys, "left_anti").join(per_group.join(hot_keys, keys, "left_anti"), keys)
