@@ -27,6 +27,21 @@ def every(conditions: Sequence[Column]) -> Column:
     return result
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used n times in an expression is planned, and often evaluated, n
+    times.  A lambda variable is not, so the value is bound to one.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def distinct_by(values: Column, key) -> Column:
+    """Array elements whose ``key`` did not occur before, in order."""
+    return bind(values, lambda v: bind(F.transform(v, key), lambda keys: F.filter(
+        v, lambda x, i: F.array_position(keys, key(x)) == i + 1)))
+
+
 def literal_map(values: dict[str, str]) -> Column:
     pairs = [F.lit(part) for pair in values.items() for part in pair]
     return F.create_map(*pairs)
@@ -157,14 +172,18 @@ def word_total(text: Column) -> Column:
 
 def appears_spanish(text: Column) -> Column:
     """at least 8 Spanish markers, 2.5 % of the words, and no more English ones."""
-    spanish = marker_counts(text, fv.SPANISH_MARKERS)
-    english = marker_counts(text, fv.ENGLISH_MARKERS)
-    total = word_total(text)
-    return (total > 0) & (spanish >= 8) & (spanish / total >= 0.025) & (english <= spanish)
+    words = F.regexp_extract_all(casefold(text), F.lit(f"({fv.WORD_PATTERN})"), 1)
+
+    def judge(w: Column) -> Column:
+        spanish = F.size(F.filter(w, lambda x: x.isin(*fv.SPANISH_MARKERS)))
+        english = F.size(F.filter(w, lambda x: x.isin(*fv.ENGLISH_MARKERS)))
+        return (F.size(w) > 0) & (spanish >= 8) & (spanish / F.size(w) >= 0.025) & (english <= spanish)
+
+    return bind(words, judge)
 
 
 def contains_any(c: Column, needles: Sequence[str]) -> Column:
-    return either([F.contains(c, F.lit(needle)) for needle in needles])
+    return bind(c, lambda x: either([F.contains(x, F.lit(needle)) for needle in needles]))
 
 
 def contains_placeholder(c: Column) -> Column:
@@ -189,11 +208,15 @@ def quota_error(c: Column) -> Column:
 
 def block_reason(html: Column, status: Column) -> Column:
     """the status decides first, then the earliest listed phrase in the page head."""
-    head = F.lower(F.left(html, F.lit(fv.BLOCK_SCAN_CHARS)))
-    reason = F.when(status.isin(*fv.BLOCK_STATUSES), F.concat(F.lit("http_status_"), status.cast("string")))
-    for phrase in fv.BLOCK_PHRASES:
-        reason = reason.when(F.contains(head, F.lit(phrase)), F.lit(phrase))
-    return reason
+    def phrase_in(head: Column) -> Column:
+        found = None
+        for phrase in fv.BLOCK_PHRASES:
+            hit = F.contains(head, F.lit(phrase))
+            found = F.when(hit, phrase) if found is None else found.when(hit, phrase)
+        return found
+
+    by_status = F.when(status.isin(*fv.BLOCK_STATUSES), F.concat(F.lit("http_status_"), status.cast("string")))
+    return F.coalesce(by_status, bind(F.lower(F.left(html, F.lit(fv.BLOCK_SCAN_CHARS))), phrase_in))
 
 
 def translate_tag(tag: Column) -> Column:
@@ -215,10 +238,10 @@ def trigrams(c: Column) -> Column:
 
 
 def trigram_similarity(left: Column, right: Column) -> Column:
-    shared = F.size(F.array_intersect(left, right))
-    return F.when(F.size(left) + F.size(right) == 0, 0.0).otherwise(
-        shared / (F.size(left) + F.size(right) - shared)
-    )
+    ratio = lambda a, b, shared: F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(
+        shared / (F.size(a) + F.size(b) - shared))
+    return bind(left, lambda a: bind(right, lambda b: bind(
+        F.size(F.array_intersect(a, b)), lambda shared: ratio(a, b, shared))))
 
 
 def block_type(c: Column) -> Column:
@@ -229,29 +252,27 @@ def block_type(c: Column) -> Column:
 
 def title_needs_repair(title: Column) -> Column:
     """F31, title part."""
-    t = F.lower(collapse_ws(title))
-    return F.coalesce(
-        (strip_ws(title) == "")
-        | t.isin("untitled document", "sin titulo", "sin título")
+    return F.coalesce((strip_ws(title) == "") | bind(F.lower(collapse_ws(title)), _odd_title), F.lit(True))
+
+
+def _odd_title(t: Column) -> Column:
+    return (
+        t.isin("untitled document", "sin titulo", "sin título")
         | (F.length(t) > 180)
         | either([F.startswith(t, F.lit(p)) for p in fv.BAD_TITLE_PREFIXES])
         | F.startswith(t, F.lit("?m="))
         | (t == "blog")
         | (F.endswith(t, F.lit(":")) & (F.length(t) < 30))
-        | F.rlike(t, F.lit(r"^part\s+\d+$")),
-        F.lit(True),
+        | F.rlike(t, F.lit(r"^part\s+\d+$"))
     )
 
 
 def author_needs_repair(author: Column) -> Column:
     """F31, author part: digits, overlong names, or a name that starts in lower case."""
-    value = strip_ws(author)
-    first = F.regexp_extract(value, r"(\p{L})", 1)
-    return F.coalesce(
+    return F.coalesce(bind(strip_ws(author), lambda value: (
         (value == "")
         | F.rlike(value, F.lit(r"\d"))
         | (F.length(value) > 90)
         | (F.size(F.split(collapse_ws(value), " ")) > 8)
-        | ((first != "") & F.rlike(first, F.lit(r"\p{Ll}"))),
-        F.lit(True),
-    )
+        | F.rlike(value, F.lit(r"^[^\p{L}]*\p{Ll}"))
+    )), F.lit(True))

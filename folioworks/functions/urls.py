@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from folioworks import fixed_values as fv
-from folioworks.functions.text import collapse_ws, either, literal_map, strip_ws
+from folioworks.functions.text import bind, collapse_ws, either, literal_map, strip_ws
 
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
@@ -77,16 +77,21 @@ def _squeeze_slashes(c: Column) -> Column:
     return F.regexp_replace(c, "/+", "/")
 
 
+def _place(url: Column) -> Column:
+    """Host with any port that is not a default one."""
+    return bind(port(url), lambda p: F.concat(host(url), F.when(
+        p.isNotNull() & ~p.isin(80, 443), F.concat(F.lit(":"), p.cast("string"))).otherwise("")))
+
+
 def identity(url: Column) -> Column:
     """Scheme, host and decoded path; the query and fragment do not count."""
-    url = F.trim(url)
-    p = port(url)
-    where = F.concat(host(url), F.when(p.isNotNull() & ~p.isin(80, 443), F.concat(F.lit(":"), p.cast("string")))
-                     .otherwise(""))
-    clean = F.regexp_replace(_squeeze_slashes(unquote(path(url))), "/$", "")
-    clean = F.when(clean == "", "/").otherwise(clean)
-    kind = F.when(scheme(url) == "", "https").otherwise(scheme(url))
-    return F.concat(kind, F.lit("://"), where, clean)
+    def build(u: Column) -> Column:
+        kind = bind(scheme(u), lambda k: F.when(k == "", "https").otherwise(k))
+        clean = bind(F.regexp_replace(_squeeze_slashes(unquote(path(u))), "/$", ""),
+                     lambda c: F.when(c == "", "/").otherwise(c))
+        return F.concat(kind, F.lit("://"), _place(u), clean)
+
+    return bind(F.trim(url), build)
 
 
 def _encode_pair(pair: Column) -> Column:
@@ -100,41 +105,42 @@ def _sorted_query(url: Column, dropped) -> Column:
 
 
 def _with_query(base: Column, q: Column) -> Column:
-    return F.when(q == "", base).otherwise(F.concat(base, F.lit("?"), q))
+    return bind(q, lambda x: F.when(x == "", base).otherwise(F.concat(base, F.lit("?"), x)))
 
 
 def canonical(url: Column) -> Column:
     """X11: lower-case host, no tracking parameters, sorted query, no fragment."""
-    q = _sorted_query(url, lambda k: k.isin(*fv.TRACKING_KEYS) | F.startswith(k, F.lit(fv.TRACKING_PREFIX)))
-    kind = F.when(scheme(url) == "", "https").otherwise(scheme(url))
-    full = _with_query(F.concat(kind, F.lit("://"), authority(url), path(url)), q)
-    return F.regexp_replace(full, "/$", "")
+    def build(u: Column) -> Column:
+        q = _sorted_query(u, lambda k: k.isin(*fv.TRACKING_KEYS) | F.startswith(k, F.lit(fv.TRACKING_PREFIX)))
+        kind = bind(scheme(u), lambda k: F.when(k == "", "https").otherwise(k))
+        return F.regexp_replace(_with_query(F.concat(kind, F.lit("://"), authority(u), path(u)), q), "/$", "")
+
+    return bind(url, build)
 
 
 def curated_canonical(url: Column) -> Column:
     """As above, but default ports vanish, slashes collapse and a bare path stays '/'."""
-    url = strip_ws(url)
-    p = port(url)
-    where = F.concat(host(url), F.when(p.isNotNull() & ~p.isin(80, 443), F.concat(F.lit(":"), p.cast("string")))
-                     .otherwise(""))
-    route = F.regexp_replace(path(url), "/{2,}", "/")
-    route = F.when(route.isin("", "/"), "/").otherwise(F.regexp_replace(route, "/+$", ""))
-    q = _sorted_query(url, lambda k: F.lower(k).isin(*fv.CURATED_TRACKING_KEYS))
-    return _with_query(F.concat(scheme(url), F.lit("://"), where, route), q)
+    def build(u: Column) -> Column:
+        route = bind(F.regexp_replace(path(u), "/{2,}", "/"),
+                     lambda r: F.when(r.isin("", "/"), "/").otherwise(F.regexp_replace(r, "/+$", "")))
+        q = _sorted_query(u, lambda k: F.lower(k).isin(*fv.CURATED_TRACKING_KEYS))
+        return _with_query(F.concat(scheme(u), F.lit("://"), _place(u), route), q)
+
+    return bind(strip_ws(url), build)
 
 
 def allowlisted_canonical(url: Column) -> Column:
     """The curated form for HTTPS URLs on an allowed host, NULL for all others."""
-    allowed = (scheme(strip_ws(url)) == "https") & host(strip_ws(url)).isin(*fv.CURATED_HOSTS)
-    return F.when(allowed, curated_canonical(url))
+    return bind(strip_ws(url), lambda u: F.when(
+        (scheme(u) == "https") & host(u).isin(*fv.CURATED_HOSTS), curated_canonical(u)))
 
 
 def language(url: Column, fallback: Column) -> Column:
     """The URL's own language parameter, with three-letter codes mapped."""
-    default = F.lower(F.coalesce(fallback, F.lit("")))
-    value = F.lower(F.coalesce(query_value(url, "lang"), query_value(url, "language"), fallback, F.lit("")))
-    mapped = F.coalesce(literal_map(fv.URL_LANGUAGE_ALIASES)[value], value)
-    return F.when(mapped == "", default).otherwise(mapped)
+    named = lambda pairs, key: F.get(F.filter(pairs, lambda p: p["key"] == key), F.lit(0))["value"]
+    own = bind(query_pairs(url), lambda pairs: F.coalesce(named(pairs, "lang"), named(pairs, "language")))
+    value = F.lower(F.coalesce(own, fallback, F.lit("")))
+    return bind(value, lambda v: F.coalesce(literal_map(fv.URL_LANGUAGE_ALIASES)[v], v))
 
 
 def media_variant(url: Column, title: Column) -> Column:
@@ -147,11 +153,8 @@ def media_variant(url: Column, title: Column) -> Column:
 
 def host_allowed(url: Column, domains: Sequence[str]) -> Column:
     """Equal to, or below, one of the domains."""
-    name = host(url)
-    return either([
-        (name == d) | F.endswith(name, F.lit(f".{d}"))
-        for d in (domain.lower().split(":")[0] for domain in domains)
-    ])
+    bare = [domain.lower().split(":")[0] for domain in domains]
+    return bind(host(url), lambda name: either([(name == d) | F.endswith(name, F.lit(f".{d}")) for d in bare]))
 
 
 def registered_domain(url: Column) -> Column:
@@ -165,7 +168,10 @@ def official(url: Column) -> Column:
 
 def source_type(key: Column, url: Column) -> Column:
     """Host first, then path, then the legacy key."""
-    where, route = authority(url), F.lower(path(url))
+    return bind(authority(url), lambda where: bind(F.lower(path(url)), lambda route: _source_type(key, where, route)))
+
+
+def _source_type(key: Column, where: Column, route: Column) -> Column:
     church = F.contains(where, F.lit("churchofjesuschrist.org"))
     return (
         F.when(F.contains(where, F.lit("speeches.byu.edu")),
@@ -187,7 +193,7 @@ def normalize_source_type(value: Column) -> Column:
     """Trim, fold, unify separators, map every alias to its canonical type."""
     folded = F.replace(F.replace(F.lower(strip_ws(value)), F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_"))
     reverse = {alias: name for name, aliases in fv.SOURCE_ALIASES.items() for alias in aliases}
-    return F.when(value != "", F.coalesce(literal_map(reverse)[folded], folded))
+    return F.when(value != "", bind(folded, lambda f: F.coalesce(literal_map(reverse)[f], f)))
 
 
 def source_type_aliases(value: str) -> list[str]:
@@ -200,8 +206,11 @@ def source_type_aliases(value: str) -> list[str]:
 
 def curated_source(url: Column) -> Column:
     """Host plus path shape; each of the three sites has its own rule."""
-    key = literal_map(fv.CURATED_HOSTS)[host(url)]
-    parts = segments(url)
+    return bind(literal_map(fv.CURATED_HOSTS)[host(url)], lambda key: bind(
+        segments(url), lambda parts: _curated(url, key, parts)))
+
+
+def _curated(url: Column, key: Column, parts: Column) -> Column:
     first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     fits = (
         F.when(key == "discursos_sud_es", first.isNotNull() & ~F.lower(first).isin(*fv.CURATED_NAVIGATION))
@@ -230,45 +239,38 @@ def looks_like_html(url: Column, content_type: Column) -> Column:
 def slug_title(slug: Column) -> Column:
     """A usable title from a slug, or NULL for generic, numeric or odd-sized ones."""
     stem = F.regexp_replace(slug, r"\.[^.]*$", "")
-    words = F.trim(F.regexp_replace(stem, "[-_]+", " "))
-    usable = (
+    return bind(F.trim(F.regexp_replace(stem, "[-_]+", " ")), lambda words: F.when(
         (words != "") & ~F.lower(words).isin(*fv.GENERIC_SLUGS) & ~F.rlike(words, F.lit(r"^\d+$"))
-        & F.length(words).between(4, 180)
-    )
-    return F.when(usable, F.initcap(words))
+        & F.length(words).between(4, 180), F.initcap(words)))
 
 
 def title_from_url(url: Column, kind: Column) -> Column:
     """Which path segment carries the title depends on the site."""
-    parts = F.transform(segments(url), unquote)
-    at = F.array_position(parts, "talks")
-    last = F.try_element_at(parts, F.lit(-1))
-    slug = (
-        F.when(at > 0, F.try_element_at(parts, (at + 2).cast("int")))
-        .when((kind == "general_conference") & F.array_contains(parts, "general-conference"), last)
-        .when((kind == "joseph_smith_papers") & F.array_contains(parts, "paper-summary"), last)
-    )
-    return slug_title(slug)
+    def pick(parts: Column) -> Column:
+        last = F.try_element_at(parts, F.lit(-1))
+        return bind(F.array_position(parts, "talks"), lambda at: (
+            F.when(at > 0, F.try_element_at(parts, (at + 2).cast("int")))
+            .when((kind == "general_conference") & F.array_contains(parts, "general-conference"), last)
+            .when((kind == "joseph_smith_papers") & F.array_contains(parts, "paper-summary"), last)))
+
+    return slug_title(bind(F.transform(segments(url), unquote), pick))
 
 
 def author_from_url(url: Column) -> Column:
     """Two to eight words of the speaker slug, initials dotted."""
-    parts = F.transform(segments(url), unquote)
-    at = F.array_position(parts, "talks")
-    slug = F.lower(F.try_element_at(parts, (at + 1).cast("int")))
-    words = F.filter(F.split(slug, "[-_]+"), lambda w: w != "")
-    named = F.transform(
-        words,
-        lambda w: F.when(F.length(w) == 1, F.concat(F.upper(w), F.lit(".")))
-        .when(w.isin("jr", "sr"), F.concat(F.initcap(w), F.lit(".")))
-        .otherwise(F.initcap(w)),
-    )
-    fits = (
-        authority(url).isin("speeches.byu.edu", "www.speeches.byu.edu")
-        & (at > 0) & (F.size(parts) > at + 1)
-        & ~slug.isin("speakers", "topics", "all") & F.size(words).between(2, 8)
-    )
-    return F.when(fits, F.array_join(named, " "))
+    def spell(slug: Column) -> Column:
+        words = F.filter(F.split(slug, "[-_]+"), lambda w: w != "")
+        named = lambda w: (F.when(F.length(w) == 1, F.concat(F.upper(w), F.lit(".")))
+                           .when(w.isin("jr", "sr"), F.concat(F.initcap(w), F.lit("."))).otherwise(F.initcap(w)))
+        return bind(words, lambda ws: F.when(
+            ~slug.isin("speakers", "topics", "all") & F.size(ws).between(2, 8),
+            F.array_join(F.transform(ws, named), " ")))
+
+    # A speaker slug is followed by at least the talk's own slug.
+    speaker = bind(F.transform(segments(url), unquote), lambda parts: bind(
+        F.array_position(parts, "talks"), lambda at: F.when(
+            (at > 0) & (F.size(parts) > at + 1), F.lower(F.try_element_at(parts, (at + 1).cast("int"))))))
+    return F.when(authority(url).isin("speeches.byu.edu", "www.speeches.byu.edu"), bind(speaker, spell))
 
 
 def published_from_url(url: Column, kind: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioworks.functions.text import casefold, either, translate_tag
+from folioworks.functions.text import casefold, distinct_by, either, translate_tag
 from folioworks.operators.catalog import active
 
 
@@ -14,8 +14,7 @@ def unique_tags(tags: Column, longest: int = 100) -> Column:
     """Translate, drop blanks and overlong ones, first spelling wins per folded tag."""
     named = F.filter(F.transform(tags, lambda x: translate_tag(F.trim(x))),
                      lambda x: (x != "") & (F.length(x) <= longest))
-    folded = F.transform(named, casefold)
-    return F.filter(named, lambda x, i: F.array_position(folded, casefold(x)) == i + 1)
+    return distinct_by(named, casefold)
 
 
 def pending(candidates: DataFrame, decided: DataFrame) -> DataFrame:
