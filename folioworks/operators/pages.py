@@ -199,7 +199,7 @@ def parse(pages: DataFrame, source_key: Column | None = None) -> DataFrame:
     found = pages.withColumn("f", markup.findings(F.col("html"))).drop("html")
     found = found.withColumn("text", page_text(F.col("f.text")))
     url, text = F.col("url"), F.col("text")
-    keywords = F.filter(F.transform(F.split(F.coalesce("f.keywords", F.lit("")), ","), F.trim), lambda k: k != "")
+    keywords = F.filter(F.transform(F.split(F.coalesce("f.keywords", F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != "")
     linked = F.filter(F.col("f.tag_links"), lambda k: F.length(k).between(2, 80))
     category = F.coalesce(
         F.get(F.filter(F.col("f.categories"), lambda c: (c != "") & (F.length(c) < 120)), F.lit(0)), F.col("f.section"))

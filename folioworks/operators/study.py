@@ -10,6 +10,7 @@ from folioworks import fixed_values as fv
 from folioworks.functions.text import either
 from folioworks.operators.catalog import active
 from folioworks.operators.filters import json_text_ilike, resolve_column, source_match
+from folioworks.operators.maintenance import merge_maps
 from folioworks.operators.ranking import top_per_group
 from folioworks.operators.skew import running_total
 from folioworks.session import inline_table
@@ -184,3 +185,80 @@ def newest_access(access: DataFrame) -> DataFrame:
     latest = access.groupBy(F.lower("email").alias("_key")).agg(
         F.max_by(row, F.struct("updated_at", "access_id")).alias("r"))
     return latest.select("r.*")
+
+
+def workspace_quota(workspaces: DataFrame, limit: int) -> DataFrame:
+    """Workspaces per user and whether another one is allowed."""
+    return workspaces.groupBy("user_id").agg(F.count("*").alias("workspaces")).withColumn(
+        "may_create", F.col("workspaces") < limit)
+
+
+def related_query(workspaces: DataFrame) -> DataFrame:
+    """Search text, source types and language from a workspace's settings maps."""
+    s, f = F.col("settings"), F.col("source_filters")
+    parts = F.array(F.col("name"), s["title"], s["mainReference"], s["referenceType"])
+    query = F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), " ")
+    wanted = F.coalesce(f["sourceType"], f["source_key"], f["sourceKey"])
+    folded = F.replace(F.replace(F.lower(F.trim(wanted)), F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_"))
+    aliases = F.array().cast("array<string>")
+    chain = None
+    for name, spelled in fv.SOURCE_ALIASES.items():
+        every_name = sorted({name, *spelled})
+        values = F.array(*[F.lit(a) for a in every_name])
+        chain = F.when(folded.isin(*every_name), values) if chain is None else chain.when(folded.isin(*every_name), values)
+    types = F.when(wanted.isNull(), aliases).otherwise(F.coalesce(chain.otherwise(F.array(folded)), aliases))
+    return workspaces.select("*", query.alias("query"), types.alias("source_types")).withColumn(
+        "language", F.coalesce(s["language"], f["language"]))
+
+
+def settings_with(base: Column, *, title: Column | None = None, scripture_reference: Column | None = None,
+                  topic: Column | None = None) -> Column:
+    """Given fields replace settings, a reference also sets its two companions."""
+    pairs = []
+    if title is not None:
+        pairs += [F.lit("title"), title]
+    if topic is not None:
+        pairs += [F.lit("topic"), topic]
+    if scripture_reference is not None:
+        kind = F.when(scripture_reference.isNotNull(), "scripture")
+        pairs += [F.lit("scriptureReference"), scripture_reference, F.lit("mainReference"), scripture_reference,
+                  F.lit("referenceType"), kind]
+    given = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+    return merge_maps(base, given)
+
+
+def with_defaults(rows: DataFrame, stored: DataFrame, key: str, defaults: dict[str, str]) -> DataFrame:
+    """A row for everybody, defaults where nothing is stored."""
+    return rows.join(stored, key, "left").select(
+        key, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()])
+
+
+def string_list(raw: Column) -> Column:
+    """List items, object values or the bare text as a list of non-empty strings."""
+    items = (F.when(F.startswith(raw, F.lit("[")), F.from_json(raw, "array<string>"))
+             .when(F.startswith(raw, F.lit("{")), F.map_values(F.from_json(raw, "map<string,string>")))
+             .otherwise(F.array(raw)))
+    return F.filter(items, lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+# Suggestion kinds and titles used when no model answers.
+SUGGESTIONS = [
+    ("ai_doctrinal_analysis", "Analisis doctrinal"),
+    ("ai_reference", "Contexto de la escritura"),
+    ("name_meaning", "Significado doctrinal de nombres"),
+    ("calling_application", "Aplicacion para el llamamiento"),
+    ("ai_quote", "Cita sugerida"),
+    ("reflection_question", "Pregunta de reflexion"),
+    ("powerful_phrase", "Frase poderosa"),
+    ("scripture_connection", "Relacion con Jesucristo y otros pasajes"),
+    ("manual_reference", "Manual doctrinal para revisar"),
+    ("book_reference", "Libro doctrinal para revisar"),
+]
+
+
+def fallback_suggestions(projects: DataFrame, most: int) -> DataFrame:
+    """T4: the wanted kinds in their fixed order, all kinds when none is known."""
+    base = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(v).alias("title")) for k, v in SUGGESTIONS])
+    wanted = F.filter(base, lambda s: F.array_contains(F.col("block_types"), s["type"]))
+    chosen = F.slice(F.when(F.size(wanted) > 0, wanted).otherwise(base), 1, most)
+    return projects.select("*", F.posexplode(chosen).alias("place", "s")).select("*", "s.type", F.col("s.title").alias("heading")).drop("s")

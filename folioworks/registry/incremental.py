@@ -142,12 +142,12 @@ def sync_page(spark, d):
 
 
 @query("job_runs", "I12", """
-WITH log AS (SELECT user_id AS job_id, ts AS at, CASE event_type WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'retry' ELSE 'note' END AS event,
+WITH log AS (SELECT user_id AS job_id, ts AS moment, CASE event_type WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'retry' ELSE 'note' END AS event,
   CAST(json_extract(props, '$.k') AS BIGINT) AS found FROM events),
-r AS (SELECT job_id, max(at) AS since FROM log WHERE event = 'retry' GROUP BY 1),
-live AS (SELECT l.* FROM log l LEFT JOIN r USING (job_id) WHERE since IS NULL OR at >= since)
-SELECT job_id, arg_max(event, at) AS last_event, count(*) FILTER (WHERE event = 'start') AS attempts, CAST(sum(found) AS BIGINT) AS found,
-  epoch_us(max(at) FILTER (WHERE event IN ('done', 'failed'))) AS finished_us FROM live GROUP BY 1""")
+r AS (SELECT job_id, max(moment) AS since FROM log WHERE event = 'retry' GROUP BY 1),
+live AS (SELECT l.* FROM log l LEFT JOIN r USING (job_id) WHERE since IS NULL OR moment >= since)
+SELECT job_id, arg_max(event, moment) AS last_event, count(*) FILTER (WHERE event = 'start') AS attempts, CAST(sum(found) AS BIGINT) AS found,
+  epoch_us(max(moment) FILTER (WHERE event IN ('done', 'failed'))) AS finished_us FROM live GROUP BY 1""")
 def job_runs(spark, d):
     kind = (F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "done")
             .when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "retry").otherwise("note"))

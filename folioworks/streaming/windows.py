@@ -57,8 +57,7 @@ def ttl_lookups(lookups: DataFrame, key: str, ttl_seconds: int, delay: str) -> D
 
     kind = lookups.schema[key].dataType.simpleString()
     narrowed = lookups.select(key, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    staged = narrowed.select(key, "ts")
-    return staged.groupBy(key).applyInPandasWithState(
+    return narrowed.groupBy(key).applyInPandasWithState(
         lambda name, chunks, state: walk(name, _whole_seconds(chunks), state),
         f"{key} {kind}, second long, lookups long, miss boolean", "expires long", "append",
         GroupStateTimeout.EventTimeTimeout)
