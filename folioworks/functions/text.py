@@ -10,6 +10,13 @@ from folioworks import fixed_values as fv
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\t\n\f\r\x0B \p{L}\p{N}_]"
 WORD = r"[\p{L}\p{N}_]+"
+# The characters that count as whitespace, blank and line feed apart.
+_ODD_WS = r"\t\x0B\f\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WS_CHARS = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+             "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# Both match only where something has to change, so that clean text is merely scanned.
+_WS_RUN = rf"[\n{_ODD_WS}][ \n{_ODD_WS}]*| [ \n{_ODD_WS}]+"
+_LINE_WS_RUN = rf"[{_ODD_WS}][ {_ODD_WS}]*| [ {_ODD_WS}]+"
 
 
 def either(conditions: Sequence[Column]) -> Column:
@@ -49,11 +56,11 @@ def literal_map(values: dict[str, str]) -> Column:
 
 def collapse_ws(c: Column) -> Column:
     """Whitespace runs become one blank, ends are stripped."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, _WS_RUN, " "))
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def casefold(c: Column) -> Column:
@@ -79,8 +86,8 @@ def token_count(c: Column) -> Column:
 def normalize_lines(c: Column) -> Column:
     """Unify line ends, collapse blanks inside lines, squeeze empty-line runs."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"(?U)[^\S\n]+", " ")
-    c = F.regexp_replace(c, r" ?\n ?", "\n")
+    c = F.regexp_replace(c, _LINE_WS_RUN, " ")
+    c = F.regexp_replace(c, r" \n ?|\n ", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return strip_ws(c)
 

@@ -8,7 +8,7 @@ from folioworks import fixed_values as fv
 from folioworks.functions.text import content_hash, normalize_title
 from folioworks.functions.urls import normalize_source_type
 from folioworks.operators.filters import resolve_column, seed_flag, source_type_of
-from folioworks.session import inline_table
+from folioworks.session import inline_table, spread
 
 
 def display_status() -> Column:
@@ -39,8 +39,9 @@ def without_exact_copies(documents: DataFrame) -> DataFrame:
     The survivor is an aggregate, so a group of any size is combined before the
     shuffle, and the way back is a semi-join on the unique id.
     """
+    hashed = spread(documents.select("doc_id", "language", "title", "text"))
     kept = (
-        documents.groupBy(content_hash(F.col("text")).alias("h"), "language",
+        hashed.groupBy(content_hash(F.col("text")).alias("h"), "language",
                           normalize_title(F.col("title")).alias("t"))
         .agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioworks.functions.text import WORD
 from folioworks.operators.ranking import top_per_group
-from folioworks.session import bounded_broadcast, cut_lineage, write_once
+from folioworks.session import bounded_broadcast, cut_lineage, spread, write_once
 
 MAX_BROADCAST_TERMS = 200_000
 MAX_BROADCAST_PAIRS = 200_000
@@ -47,7 +47,7 @@ def build_index(documents: DataFrame, title: str = "title", second: str = "autho
     """
     part = lambda c: words(F.coalesce(F.col(c), F.lit("")))
     a, b = part(title), part(second)
-    return write_once(documents.select(
+    return write_once(spread(documents.select("doc_id", *carry, title, second, body)).select(
         "doc_id", *carry, F.concat(a, b, part(body)).alias("lexemes"), F.size(a).alias("n_a"), F.size(b).alias("n_b")),
         "lexemes")
 

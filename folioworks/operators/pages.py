@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioworks import fixed_values as fv
 from folioworks.functions import markup, scripture, urls
-from folioworks.functions.text import bind, casefold, collapse_ws, contains_any, distinct_by
-from folioworks.session import cut_lineage
+from folioworks.functions.text import bind, casefold, collapse_ws, contains_any, distinct_by, strip_ws
+from folioworks.session import cut_lineage, spread
 
 # Site suffixes and words that end or disqualify a title or an author.
 _SITE_SUFFIX = r"(?i)\s*(?:\||-|--)\s*(BYU Speeches|Church Newsroom|The Church of Jesus Christ.*)$"
@@ -38,15 +38,14 @@ _PARSERS = [
 
 def tidy(c: Column) -> Column:
     """Collapsed whitespace, separators stripped from the ends, NULL when nothing is left."""
-    return F.nullif(F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^[ |-]+|[ |-]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(collapse_ws(c), F.lit(" -|")), F.lit(""))
 
 
 def page_text(raw: Column) -> Column:
     """Blank runs, line ends and empty-line runs reduced."""
-    c = F.regexp_replace(raw, r"[ \t\r\f\x0B]+", " ")
-    c = F.regexp_replace(c, r" *\n *", "\n")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    c = F.regexp_replace(raw, r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+", " ")
+    c = F.regexp_replace(c, r" \n ?|\n ", "\n")
+    return strip_ws(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
 def url_headline(url: Column) -> Column:
@@ -196,7 +195,7 @@ def parser_name(url: Column) -> Column:
 
 def parse(pages: DataFrame, source_key: Column | None = None) -> DataFrame:
     """L1: document records from (page_id, url, html)."""
-    found = pages.withColumn("f", markup.findings(F.col("html"))).drop("html")
+    found = spread(pages).withColumn("f", markup.findings(F.col("html"))).drop("html")
     found = found.withColumn("text", page_text(F.col("f.text")))
     url, text = F.col("url"), F.col("text")
     keywords = F.filter(F.transform(F.split(F.coalesce("f.keywords", F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != "")
@@ -260,10 +259,14 @@ def decode_entities(c: Column) -> Column:
         char = lambda r: F.decode(F.unhex(F.lpad(code(r), 8, "0")), "UTF-32")
         return F.aggregate(refs, text, lambda acc, r: F.replace(acc, r, char(r)))
 
-    c = numbered(c, r"&#(\d{1,6});", 10)
-    c = numbered(c, r"(?i)&#x([0-9a-f]{1,5});", 16)
-    for name, char in _ENTITIES.items():
-        c = F.regexp_replace(c, "(?i)" + name, char)
+    def named(text: Column) -> Column:
+        text = numbered(text, r"&#(\d{1,6});", 10)
+        text = numbered(text, r"(?i)&#x([0-9a-f]{1,5});", 16)
+        for name, char in _ENTITIES.items():
+            text = F.regexp_replace(text, "(?i)" + name, char)
+        return text
+
+    c = bind(c, lambda text: F.when(F.contains(text, F.lit("&")), named(text)).otherwise(text))
     return F.replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
 
 

@@ -12,6 +12,7 @@ from folioworks.operators import lexical, ranking, vectors
 from folioworks.operators.catalog import active, description_of, source_url_of
 from folioworks.operators.filters import (MetadataFilter, ilike_any, json_text_ilike, metadata_predicate,
                                           source_type_of)
+from folioworks.session import cut_lineage, spread
 
 W = fv.MATCH_WEIGHTS
 SNIPPET = 520
@@ -34,6 +35,7 @@ def textual_search(documents: DataFrame, sources: DataFrame, passages: DataFrame
         rows = rows.where(metadata_predicate(rows, filters))
     if len(query) < 2:
         rows = rows.where(F.lit(False))
+    rows = spread(rows)
     text = F.coalesce("text", F.lit(""))
     first = (passages.where(ilike_any(F.col("chunk_text"), patterns)).groupBy("doc_id")
              .agg(F.min(F.struct("chunk_index", "chunk_text")).alias("_passage")))
@@ -107,7 +109,8 @@ def hybrid_search(documents: DataFrame, points: DataFrame, queries: DataFrame, m
     m = MODES[mode]
     fused = fused_candidates(documents, points, queries, mode, hidden)
     spread = ranking.diversify(fused, ["query_id"], "parent_id", [F.desc("final_score"), F.col("item")])
-    cut = spread.where(F.col("position") <= m.final_limit)
+    # A few rows per query, read twice below; without the cut both legs would run twice.
+    cut = cut_lineage(spread.where(F.col("position") <= m.final_limit))
     return ranking.fit_skipping(cut, ["query_id"], "position", "token_count", m.context_token_budget, m.final_limit)
 
 

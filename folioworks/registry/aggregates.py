@@ -9,6 +9,7 @@ from folioworks.registry.joins import HASH_SQL
 from folioworks.registry.prelude import DUPLICATES, JOBS, LIBRARY, NOTES, PARAGRAPHS, SOURCES, USAGE, using
 from folioworks.registry.projections import STATUS_SQL
 from folioworks import fixed_values as fv
+from folioworks.session import spread, write_once
 from folioworks.sources import library as lib
 
 
@@ -98,9 +99,10 @@ SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, count(*) FILTER
   CAST(sum(CASE WHEN NOT done AND NOT stored THEN tokens ELSE 0 END) AS BIGINT) AS tokens,
   round_even(sum(CASE WHEN NOT done AND NOT stored THEN tokens ELSE 0 END) / 1000 * CAST(0.00013 AS DOUBLE) * 1e6, 0) / 1e6 AS cost FROM judged""")
 def indexing_estimate(spark, d):
-    chunks = lib.paragraphs(spark, d).select(
+    chunks = spread(lib.paragraphs(spark, d)).select(
         "doc_id", (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"),
         t.content_hash(F.col("chunk_text")).alias("text_hash"), t.token_count(F.col("chunk_text")).alias("token_count"))
+    chunks = write_once(chunks, "chunks")
     records = chunks.where("doc_id % 3 = 0")
     cache = chunks.where("doc_id % 5 = 0")
     return usage.indexing_estimate(chunks, records, cache)

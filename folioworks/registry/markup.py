@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from folioworks.functions import markup, urls
 from folioworks.operators import pages
 from folioworks.registry import query
+from folioworks.session import spread
 from folioworks.sources import library as lib
 
 
@@ -78,7 +79,8 @@ FROM (SELECT page_id, title, list_filter(list_transform(list_transform(string_sp
     regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', ' ', 'g'), '{_STRIP}', ' ', 'gi') AS c FROM pages))""")
 def regex_content(spark, d):
     text = pages.regex_content(F.col("html"))
-    found = lib.table(spark, d, "pages").select("page_id", pages.regex_title(F.col("html")).alias("title"), text.alias("c"))
+    found = spread(lib.table(spark, d, "pages")).select(
+        "page_id", pages.regex_title(F.col("html")).alias("title"), text.alias("c"))
     return found.select("page_id", "title", F.size(F.split("c", "\n\n")).cast("bigint").alias("lines"),
                         F.sha2("c", 256).alias("content_hash"))
 

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+FULL_SPLIT_BYTES = 128 * 1024 * 1024
+
 
 def build_session(app_name: str = "folioworks", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution on.
@@ -88,3 +90,16 @@ def write_once(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core before a CPU-heavy step.
+
+    Decided from the size estimate alone, without running anything: an input
+    smaller than one full split per core would leave cores idle, so it is dealt
+    out; an input of cluster size has more splits than cores and is left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * FULL_SPLIT_BYTES else df
