@@ -55,6 +55,13 @@ def upsert_documents(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         version.alias("version"), F.when(changed, False).otherwise(F.col("is_indexed")).alias("is_indexed"))
 
 
+def prioritized(candidates: DataFrame, key: str, exact: Column, tie: str) -> DataFrame:
+    """Of several stored rows that could answer a lookup, the exact one, else the first."""
+    row = F.struct(*[F.col(c) for c in candidates.columns])
+    return (candidates.groupBy(key).agg(F.min_by(row, F.struct(F.when(exact, 0).otherwise(1), F.col(tie))).alias("_r"))
+            .select("_r.*"))
+
+
 # States from which a known URL is queued again.
 REQUEUED = ["failed", "discovered", "queued"]
 

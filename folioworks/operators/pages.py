@@ -26,6 +26,7 @@ _TEXT_BYLINES = [r"\b(?:By|Por)\s+([^\n|]{2,100})", r"\b(?:Speaker|Orador)\s*[:\
                  r"\b(?:Author|Autor)\s*[:\-]\s*([^\n|]{2,100})"]
 _SLUG_SKIPS = ["spa", "eng", "por", "bofm", "talks", "study"]
 _SPANISH_HINTS = [" el ", " la ", " que ", " de jesucristo", "alma "]
+_HISTORICAL_NOTE = "Fuente historica/documental; no es manual doctrinal oficial de la Iglesia."
 _PARSERS = [
     ("discursosud.com", "discursos_sud", "Discursos SUD"),
     ("speeches.byu.edu/spa/", "byu_speeches_es", "BYU Speeches Espanol"),
@@ -214,7 +215,8 @@ def parse(pages: DataFrame, source_key: Column | None = None) -> DataFrame:
         assets(F.col("f.links"), F.col("f.media"), url).alias("assets"),
         F.transform(absolute(F.col("f.links"), url), urls.canonical).alias("links"),
         urls.source_type(F.lit(None).cast("string") if source_key is None else source_key, url).alias("source_type"),
-        parser_name(url).alias("parser"), urls.canonical(url).alias("canonical_url"))
+        parser_name(url).alias("parser"), urls.canonical(url).alias("canonical_url"),
+        F.when(F.contains(url, F.lit("josephsmithpapers.org")), _HISTORICAL_NOTE).alias("source_note"))
     return staged
 
 

@@ -216,3 +216,11 @@ SELECT source_key, count(DISTINCT regexp_replace(lower(regexp_extract(canonical_
 def requeued_urls(spark, d):
     return lib.documents(spark, d).groupBy("source_key").agg(
         F.countDistinct(urls.canonical(F.col("canonical_url"))).alias("urls"))
+
+
+@query("prioritized_lookup", "R30 S10", using(LIBRARY) + """
+SELECT source_key, doc_id FROM (SELECT source_key, doc_id, row_number() OVER (PARTITION BY source_key ORDER BY CASE WHEN coalesce(author, '') = 'José Núñez' THEN 0 ELSE 1 END, doc_id) AS rn FROM library) WHERE rn = 1""")
+def prioritized_lookup(spark, d):
+    docs = lib.documents(spark, d).select("source_key", "doc_id", "author")
+    exact = F.coalesce("author", F.lit("")) == "José Núñez"
+    return inc.prioritized(docs, "source_key", exact, "doc_id").select("source_key", "doc_id")

@@ -81,7 +81,7 @@ def regex_content(spark, d):
     text = pages.regex_content(F.col("html"))
     found = spread(lib.table(spark, d, "pages")).select(
         "page_id", pages.regex_title(F.col("html")).alias("title"), text.alias("c"))
-    return found.select("page_id", "title", F.size(F.split("c", "\n\n")).cast("bigint").alias("lines"),
+    return found.select("page_id", "title", F.when(F.col("c") == "", 0).otherwise(F.size(F.split("c", "\n\n"))).cast("bigint").alias("lines"),
                         F.sha2("c", 256).alias("content_hash"))
 
 
