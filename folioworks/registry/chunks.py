@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioworks.operators import chunking, usage
+from folioworks.plans import pipelines
 from folioworks.registry import query
 from folioworks.sources import library as lib
 
@@ -23,3 +24,10 @@ def fixed_chunks(spark, d):
 def embedding_plan(spark, d):
     chunks = chunking.smart_chunks(lib.table(spark, d, "documents"))
     return usage.embedding_plan(chunks, daily_limit=100_000, batch_size=64)
+
+
+@query("crawl_to_index", "I17 L1 T1 I9 I10 R42")
+def crawl_to_index(spark, d):
+    records = pipelines.crawl_to_documents(lib.table(spark, d, "pages"))
+    documents = records.select(F.col("page_id").alias("doc_id"), "text", "language")
+    return pipelines.documents_to_index(documents, "quality")[1]

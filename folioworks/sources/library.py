@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folioworks.session import spread
+
 LANG3 = {"es": "spa", "en": "eng", "fr": "fra", "de": "deu"}
 
 
@@ -140,7 +142,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-level passages; a chunk table that needs no Python worker."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "chunk_text"))
         .where(F.col("chunk_text") != "")
     )
