@@ -10,13 +10,13 @@ from folioworks import fixed_values as fv
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\t\n\f\r\x0B \p{L}\p{N}_]"
 WORD = r"[\p{L}\p{N}_]+"
-# The characters that count as whitespace, blank and line feed apart.
-_ODD_WS = r"\t\x0B\f\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The characters that count as whitespace.
 _WS_CHARS = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
              "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-# Both match only where something has to change, so that clean text is merely scanned.
-_WS_RUN = rf"[\n{_ODD_WS}][ \n{_ODD_WS}]*| [ \n{_ODD_WS}]+"
-_LINE_WS_RUN = rf"[{_ODD_WS}][ {_ODD_WS}]*| [ {_ODD_WS}]+"
+# All of them but blank and line feed, written as a complement so that ordinary
+# letters are settled by the first range.
+_ODD_WS = (r"[^\x20-\x84\n\x00-\x08\x0E-\x1B\x86-\x9F\xA1-\u167F\u1681-\u1FFF\u200B-\u2027\u202A-\u202E"
+           r"\u2030-\u205E\u2060-\u2FFF\u3001-\x{10FFFF}]")
 
 
 def either(conditions: Sequence[Column]) -> Column:
@@ -54,9 +54,19 @@ def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*pairs)
 
 
+def _swap(c: Column, old: Sequence[str], new: str) -> Column:
+    for part in old:
+        c = F.replace(c, F.lit(part), F.lit(new))
+    return c
+
+
+def _single_blanks(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, _ODD_WS, " "), "  +", " ")
+
+
 def collapse_ws(c: Column) -> Column:
     """Whitespace runs become one blank, ends are stripped."""
-    return F.trim(F.regexp_replace(c, _WS_RUN, " "))
+    return F.trim(_single_blanks(F.replace(c, F.lit("\n"), F.lit(" "))))
 
 
 def strip_ws(c: Column) -> Column:
@@ -85,11 +95,8 @@ def token_count(c: Column) -> Column:
 
 def normalize_lines(c: Column) -> Column:
     """Unify line ends, collapse blanks inside lines, squeeze empty-line runs."""
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, _LINE_WS_RUN, " ")
-    c = F.regexp_replace(c, r" \n ?|\n ", "\n")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return strip_ws(c)
+    c = _single_blanks(_swap(c, ["\r\n", "\r"], "\n"))
+    return strip_ws(F.regexp_replace(_swap(c, [" \n", "\n "], "\n"), "\n\n\n+", "\n\n"))
 
 
 def normalize_title(c: Column) -> Column:

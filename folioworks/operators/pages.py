@@ -44,9 +44,9 @@ def tidy(c: Column) -> Column:
 
 def page_text(raw: Column) -> Column:
     """Blank runs, line ends and empty-line runs reduced."""
-    c = F.regexp_replace(raw, r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+", " ")
-    c = F.regexp_replace(c, r" \n ?|\n ", "\n")
-    return strip_ws(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    c = F.regexp_replace(F.regexp_replace(raw, r"[\t\r\f\x0B]", " "), "  +", " ")
+    c = F.replace(F.replace(c, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return strip_ws(F.regexp_replace(c, "\n\n\n+", "\n\n"))
 
 
 def url_headline(url: Column) -> Column:
