@@ -37,7 +37,7 @@ def build_session(app_name: str = "folioworks", master: str | None = None, **con
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return spark.sparkContext.master.split("[")[0] == "local"  # not local-cluster, whose executors are other processes
 
 
 def shared_dir(spark: SparkSession) -> str:
