@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioworks.session import cut_lineage
@@ -27,6 +31,40 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def per_process(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a Python worker and kept for the tasks that it runs later."""
+    store = sys.modules.setdefault("folioworks_worker_store", types.ModuleType("folioworks_worker_store")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def vectors_of(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, matrix): the usable vectors of a list column in double precision.
+
+    Null and zero vectors, those with null or non-finite components and, if
+    ``size`` is given, those of another length are left out.
+    """
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    if size is None:
+        size = int(lengths.max(initial=0))
+    places = np.flatnonzero((lengths == size) & (lengths > 0))
+    if not len(places):
+        return places, np.zeros((0, size or 0))
+    flat = column.take(pa.array(places)).flatten()
+    matrix = np.asarray(pc.cast(flat, pa.float64()).to_numpy(zero_copy_only=False), np.float64).reshape(len(places), size)
+    with np.errstate(over="ignore", invalid="ignore"):
+        good = np.isfinite(matrix).all(axis=1) & (matrix != 0).any(axis=1)
+    return places[good], matrix[good] + 0.0  # no negative zero
+
+
+def vector_size(table_: DataFrame, column: str) -> int:
+    """The length of most vectors, the smaller one of a tie; zero if there are none."""
+    found = (table_.where(F.size(column) > 0).groupBy(F.size(column).alias("size")).count()
+             .orderBy(F.desc("count"), "size").first())
+    return found["size"] if found else 0
+
+
 def parts_for(rows: int, per_part: int) -> int:
     """How many partitions hold ``rows`` at ``per_part`` rows each."""
     return max(1, -(-int(rows) // per_part))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioworks.llm import languages, lines, packing, secrets, simhash
+from folioworks.llm import (kneser_ney, languages, lines, packing, piece_sampling, secrets, simhash, url_templates, vector_dups,
+                            vector_tree)
 from folioworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,12 +18,33 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_sampling.sampled(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "rank", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion")
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.packed_documents(table(spark, sf_dir, "documents"))
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are documents that are labelled good and not toxic, and never otherwise."""
+    labels = table(spark, sf_dir, "labels")
+    trusted = (labels.groupBy(F.col("doc_id").alias("id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+               .where("good").select("id"))
+    found = kneser_ney.judged(table(spark, sf_dir, "documents"), trusted)
+    return found.select(F.col("id").alias("doc_id"), "lang", "trusted", "perplexity", "threshold", "keep")
+
+
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,12 +64,29 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled through the document whose number ends their path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("key"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
+    number = F.regexp_extract(url_templates.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    found = url_templates.judged_pages(pages, labels, label_key=F.when(number != "", number))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template", "purity")
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def language_fold(id_col: str = "doc_id"):
     """The remainder of an id's checksum that parts learning rows from held-out ones; a null id is held out."""
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4, F.lit(2))

@@ -74,7 +74,8 @@ def test_sequences_hold_the_ids(frame, awkward):
 
 
 @pytest.mark.parametrize("text", ["", " ", "don't  WON'T\t'll", "<|endoftext|>a b<|startoftext|>", "é ́x", "a b c\x1cd\x85e",
-                                  "ΣΊΣΥΦΟΣ İ ß", "12 345six7 ½ ²", "日本 語\r\nfoo", "🙂🙃 ‍", "x" * 500])
+                                  "ΣΊΣΥΦΟΣ İ ß", "12 345six7 ½ ²", "日本 語\r\nfoo", "🙂🙃 ‍", "x" * 500, "ÉCOLE, Größe. ÀÉÎ!?) ÿŸ Ĳĳ ŉ ſ ĸ œuvre; don.t a.b x)), e\u0301x",
+                                  "".join(f"x{chr(i)}y {chr(i)}. " for i in range(0xc0, 0x180))])
 def test_word_coder_is_the_tokenizer(text):
     coder = packing.WordCoder(packing.vocabulary_path())
     assert np.frombuffer(coder.encode(text), "<u4").tolist() == token_ids([text])[0][:-1]
