@@ -17,6 +17,9 @@ alone; repeated rows are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,14 +27,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from folioworks.llm.common import SLICE_CHARS, bounded_batches, parts_for
+from folioworks.llm.common import SLICE_CHARS, bounded_batches, parts_for, per_process
 from folioworks.session import write_once
 
 CAPACITY = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a task remembers, and the longest it remembers.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+REMEMBERED, REMEMBERED_CHARS = 600_000, 40
 PIECES_PER_TASK = 50_000
 FAN_IN = 16
 CARRY = 2_048
@@ -45,44 +48,78 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Plain words: letters that the vocabulary's rules keep together and lower one by one, and punctuation behind them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+_PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?)]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as a letter: printable ones as themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return dict(zip(own, own)) | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class WordCoder:
     """The ids of a text as bytes, by words that white space separates.
 
     The vocabulary's normaliser treats characters between white space on their
     own and its pre-tokenizer drops the white space, so the ids of a text are
     those of its words one after another.  Only blanks and line feeds cut, which
-    any definition of white space holds.
+    any definition of white space holds.  A word of plain letters with
+    punctuation behind it goes to the vocabulary's merges at once, as two parts;
+    any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
-        parts, at = [], 0
+        found, at = [], 0
         while len(text) - at > SLICE_CHARS and (end := text.find(" ", at + SLICE_CHARS)) >= 0:
-            parts.append(self._encode(text[at:end]))
+            found.append(self._encode(text[at:end]))
             at = end
-        return b"".join([*parts, self._encode(text[at:])])
+        return b"".join([*found, self._encode(text[at:])])
 
     def _encode(self, text: str) -> bytes:
+        if len(self.words) > REMEMBERED:
+            self.words = {"": b""}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
         words = text.replace("\n", " ").split(" ")
-        known, missing = self.known, None
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            missing = [w for w in dict.fromkeys(words) if w not in known]
-        coded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        fresh = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(missing, coded)}
-        ids = b"".join([known[w] if w in known else fresh[w] for w in words])
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        known.update((w, c) for w, c in fresh.items() if len(w) <= REMEMBERED_CHARS)
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            for i, found in enumerate(ids):
+                if found is None:
+                    ids[i] = self._word(words[i])
+        return b"".join(ids)
+
+    def _word(self, word: str) -> bytes:
+        if len(word) > REMEMBERED_CHARS:
+            return self._whole(word)
+        if plain := _PLAIN.fullmatch(word):
+            ids = self._part(plain[1].lower()) + self._part(plain[2])
+        else:
+            ids = self._whole(word)
+        self.words[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        if (ids := self.parts.get(part)) is None:
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            ids = self.parts[part] = array("I", [t.id for t in self.merges.tokenize(spelt)]).tobytes()
         return ids
 
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
 
 def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
               path: Callable[[], str] | str = vocabulary_path) -> DataFrame:
@@ -90,7 +127,8 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(path() if callable(path) else path)
+        file = path() if callable(path) else path
+        coder = per_process(f"word coder {file}", lambda: WordCoder(file))
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
