@@ -65,11 +65,15 @@ def _processor(path: str):
 class Lattices:
     """Word lattices in growing flat arrays.
 
-    A node has consecutive edges: ``upto`` is the node's number plus the
-    probability of its edges so far, so one search finds a drawn edge in any
-    node.  ``next`` is the node that an edge leads to, -1 at the word's end.
+    A node has consecutive edges from ``first`` on, the likeliest in front;
+    ``upto`` is the probability of its edges so far, 1 at the last one.
+    ``next`` is the node that an edge leads to, -1 at the word's end.  Pieces
+    are found by the 64-bit hashes of all stretches of a word.
     """
 
+    LONGEST = 16
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
     def __init__(self, path: str):
         model = _processor(path)
         size = model.get_piece_size()
@@ -82,52 +86,83 @@ class Lattices:
             elif not (model.is_control(i) or model.is_unknown(i)):
                 self.weight[piece] = (i, 1.0 / (2.0 + min(-model.get_score(i), size)))
         self.rare = 1.0 / (2.0 + size)
-        self.fallback: dict[str, int] = {}
+        self.tables = []
+        for length in range(1, self.LONGEST + 1):
+            own = [(p, *w) for p, w in self.weight.items() if len(p) == length]
+            codes = _codes("".join(p for p, _, _ in own)).reshape(len(own), length)
+            hashes = np.zeros(len(own), np.uint64)
+            for column in codes.T:
+                hashes = hashes * self.BASE + column + np.uint64(1)
+            order = np.argsort(hashes)
+            self.tables.append((hashes[order], np.array([x[1] for x in own], np.int32)[order], np.array([x[2] for x in own])[order]))
+        self.fallback: dict[int, int] = {}
         self.spelt: list[bytes] = []  # what a negative piece number stands for
         self.reset()
 
     def reset(self) -> None:
         self.start: dict[str, int] = {}
-        self.edges = [np.zeros(0, kind) for kind in (np.float64, np.int32, np.int64, np.float64)]
-        self.nodes = 0
-        self.fresh: list[tuple[float, int, int, float]] = []
-
-    def add(self, word: str) -> int:
-        """The first node of a word's lattice."""
-        first, n = self.nodes, len(word)
-        mass = [0.0] * n + [1.0]
-        found: list[list[tuple[int, int, float]]] = []
-        for i in range(n - 1, -1, -1):
-            own = []
-            for j in range(i + 1, min(n, i + 16) + 1):
-                if piece := self.weight.get(word[i:j]):
-                    own.append((piece[0], j, piece[1] * mass[j]))
-            if word[i] not in self.weight:
-                own.append((self._spell(word[i]), i + 1, self.rare ** len(word[i].encode("utf-8", "surrogatepass")) * mass[i + 1]))
-            mass[i] = sum(e[2] for e in own)
-            found.append(own)
-        for i, own in enumerate(reversed(found)):
-            total, sofar = mass[i], 0.0
-            for k, (piece, j, weight) in enumerate(own):
-                sofar += weight / total
-                upto = 1.0 if k == len(own) - 1 else min(sofar, 1.0)
-                self.fresh.append((first + i + upto, piece, first + j if j < n else -1, weight / total))
-        self.nodes += n
-        self.start[word] = first
-        return first
-
-    def _spell(self, char: str) -> int:
-        if char not in self.fallback:
-            self.spelt.append(np.array([self.bytes[b] for b in char.encode("utf-8", "surrogatepass")], "<i4").tobytes())
-            self.fallback[char] = -len(self.spelt)
-        return self.fallback[char]
-
-    def arrays(self) -> list[np.ndarray]:
-        if self.fresh:
-            for i, (column, kind) in enumerate(zip(zip(*self.fresh), (np.float64, np.int32, np.int64, np.float64))):
-                self.edges[i] = np.concatenate([self.edges[i], np.array(column, kind)])
-            self.fresh = []
-        return list(self.edges)
+        self.first = np.zeros(1, np.int64)
+        self.upto, self.piece, self.next, self.prob = (np.zeros(0, kind) for kind in (np.float64, np.int32, np.int64, np.float64))
+
+    def _spell(self, code: int) -> int:
+        """A character without a piece: its byte, or a number that stands for its bytes."""
+        if code not in self.fallback:
+            raw = chr(code).encode("utf-8", "surrogatepass")
+            if len(raw) > 1:
+                self.spelt.append(np.array([self.bytes[b] for b in raw], "<i4").tobytes())
+            self.fallback[code] = self.bytes[raw[0]] if len(raw) == 1 else -len(self.spelt)
+        return self.fallback[code]
+
+    def add(self, words: list[str]) -> None:
+        """The lattices of new words; the nodes of a word are its characters."""
+        if not words:
+            return
+        codes = _codes("".join(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the word's end
+        at, hashes, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+        for length, (table, pieces, weights) in enumerate(self.tables, 1):
+            keep = left[at] >= length
+            at, hashes = at[keep], hashes[keep]
+            hashes = hashes * self.BASE + codes[at + length - 1] + np.uint64(1)
+            if len(table):
+                spot = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+                hit = table[spot] == hashes
+                found.append((at[hit], np.full(int(hit.sum()), length), pieces[spot[hit]], weights[spot[hit]]))
+            if length == 1:
+                lost = at[~hit]
+                distinct, place = np.unique(codes[lost], return_inverse=True)
+                spelt = np.array([self._spell(int(c)) for c in distinct], np.int32)
+                found.append((lost, np.ones(len(lost), np.int64), spelt[place], np.full(len(lost), self.rare)))
+        node, length, piece, weight = (np.concatenate(x) for x in zip(*found))
+        # Mass of the ways to the word's end, from its last character back.
+        mass = np.ones(len(codes) + 1)
+        order = np.argsort(left[node], kind="stable")
+        cuts = np.searchsorted(left[node][order], np.arange(1, int(left.max()) + 2))
+        ends = left[node] == length
+        way = np.empty(len(node))
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            e = order[low:high]
+            way[e] = weight[e] * np.where(ends[e], 1.0, mass[node[e] + length[e]])
+            distinct, place = np.unique(node[e], return_inverse=True)
+            mass[distinct] = np.bincount(place, weights=way[e])
+        prob = way / mass[node]
+        order = np.lexsort((-prob, node))
+        node, length, piece, prob, ends = node[order], length[order], piece[order], prob[order], ends[order]
+        count = np.bincount(node, minlength=len(codes))
+        begin = np.concatenate([[0], np.cumsum(count)])
+        total = np.concatenate([[0.0], np.cumsum(prob)])
+        upto = np.minimum(total[1:] - total[begin[node]], 1.0)
+        upto[begin[1:] - 1] = 1.0
+        nodes, edges = len(self.first) - 1, len(self.upto)
+        for name, new in (("upto", upto), ("piece", piece), ("next", np.where(ends, -1, nodes + node + length)), ("prob", prob)):
+            setattr(self, name, np.concatenate([getattr(self, name), new]))
+        self.first = np.concatenate([self.first, edges + begin[1:]])
+        self.start.update(zip(words, (nodes + np.cumsum(sizes) - sizes).tolist()))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
 def words_of(text: str) -> list[str]:
@@ -159,9 +194,10 @@ class Sampler:
         words = [words_of(t) for t in texts]
         if len(lattices.start) > REMEMBERED:
             lattices.reset()
-        start, add = lattices.start, lattices.add
-        self.first = np.array([start[w] if w in start else add(w) for row in words for w in row], np.int64)
-        self.upto, self.piece, self.next, self.prob = lattices.arrays()
+        every = [w for row in words for w in row]
+        lattices.add(list({w for w in every if w not in lattices.start}))
+        self.first = np.fromiter(map(lattices.start.__getitem__, every), np.int64, len(every))
+        self.edge_of, self.upto, self.piece, self.next, self.prob = lattices.first, lattices.upto, lattices.piece, lattices.next, lattices.prob
         self.offset = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         self.row = np.repeat(np.arange(len(texts)), np.diff(self.offset))
         self.place = np.arange(len(self.first)) - self.offset[self.row]
@@ -173,7 +209,11 @@ class Sampler:
         out: list[tuple[np.ndarray, ...]] = []
         while len(at):
             u = _uniform(self.keys[self.row[at]], turn, self.place[at], step, 0)
-            edge = np.searchsorted(self.upto, node + np.minimum(u, 1 - 1e-12))
+            edge = self.edge_of[node]
+            short = np.flatnonzero(self.upto[edge] < u)
+            while len(short):
+                edge[short] += 1
+                short = short[self.upto[edge[short]] < u[short]]
             out.append((at, node, step, edge))
             node = self.next[edge]
             on = node >= 0
@@ -255,10 +295,10 @@ class Sampler:
             heapq.heappush(queues[r], (-float(bounds[i]), len(paths[r]) - 1, place + at, gone))
 
     def _edges(self, node: int) -> range:
-        return range(*np.searchsorted(self.upto, [node, node + 1], side="right").tolist())
+        return range(int(self.edge_of[node]), int(self.edge_of[node + 1]))
 
     def _degree(self, nodes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.upto, nodes + 1, side="right") - np.searchsorted(self.upto, nodes, side="right")
+        return self.edge_of[nodes + 1] - self.edge_of[nodes]
 
     def _scored(self, r: int, paths: list[tuple], queue: list[tuple]) -> list[tuple[np.ndarray, float, float, float]]:
         bound = -queue[0][0] if queue else None
@@ -272,9 +312,12 @@ class Sampler:
     def ids(self, edges: np.ndarray) -> bytes:
         """Piece numbers of a path, little-endian."""
         pieces = self.piece[edges].astype("<i4")
-        if len(pieces) and pieces.min() < 0:
-            spelt = self.lattices.spelt
-            return b"".join(spelt[-p - 1] if p < 0 else int(p).to_bytes(4, "little") for p in pieces.tolist())
+        odd, spelt, out, at = np.flatnonzero(pieces < 0), self.lattices.spelt, [], 0
+        for i in odd.tolist():
+            out += [pieces[at:i].tobytes(), spelt[-pieces[i] - 1]]
+            at = i + 1
+        if out:
+            return b"".join([*out, pieces[at:].tobytes()])
         return pieces.tobytes()
 
 

@@ -33,7 +33,7 @@ def segmentations(lattices, text):
                 raw = word[i].encode()
                 for ids, w in ways.get(i, {}).items():
                     spelt = b"".join(lattices.bytes[b].to_bytes(4, "little") for b in raw)
-                    ways.setdefault(i + 1, {})[ids + spelt] = w * lattices.rare ** len(raw)
+                    ways.setdefault(i + 1, {})[ids + spelt] = w * lattices.rare
         found = ways[len(word)]
         total = sum(found.values())
         out = {a + b: x * y / total for a, x in out.items() for b, y in found.items()}
