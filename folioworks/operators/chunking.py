@@ -7,7 +7,7 @@ which depends on everything packed before it in the same text, is Python.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -84,6 +84,8 @@ class _Measured:
         body = joint.join(self.text[x:y] for x, y in pieces).strip()
         return section, spans[0][0], end, size, body
 
+_NOT_BLANK = re.compile(r"\S")
+
 
 def smart_passages(text: str, mode: CostMode) -> list[tuple]:
     """Pack paragraphs up to the target, repeat a small tail, cut what is too long."""
@@ -118,27 +120,32 @@ def _tail(held: list, most: int) -> list:
 
 
 def fixed_passages(text: str) -> list[tuple]:
-    """Cuts near 1000 characters at the best separator, never beyond 1200."""
-    out, at, length = [], 0, len(text)
-    while at < length:
-        if text[at].isspace():
-            at += 1
-            continue
-        end = length if length - at <= PASSAGE_MAX else _cut(text, at)
-        body = text[at:end].strip()
-        out.append((None, at, at + len(text[at:end].rstrip()), len(body.split()), body))
-        at = end
-    return out
+    """Cuts near 1000 characters at the best separator, never beyond 1200.
 
-
-def _cut(text: str, at: int) -> int:
-    low, goal, high = at + PASSAGE_MIN, at + PASSAGE_TARGET, min(at + PASSAGE_MAX, len(text))
-    for mark in PASSAGE_SEPARATORS:
-        found = [text.rfind(mark, low, goal + 1), text.find(mark, goal, high + 1)]
-        ends = [f + len(mark) for f in found if f >= low]
-        if ends:
-            return min(ends, key=lambda e: abs(e - goal))
-    return high
+    Where each separator ends is listed once for the text; a cut looks up the
+    nearest ends on both sides of its goal in the first list that has any.
+    """
+    ends = [(len(mark), [m.start() + len(mark) for m in re.finditer(f"(?={re.escape(mark)})", text)]) for mark in PASSAGE_SEPARATORS]
+    passages: list[tuple] = []
+    word = _NOT_BLANK.search(text)
+    while word:
+        start = word.start()
+        stop = len(text) if len(text) - start <= PASSAGE_MAX else _nearest_end(ends, start, len(text))
+        body = text[start:stop].rstrip()
+        passages.append((None, start, start + len(body), len(body.split()), body))
+        word = _NOT_BLANK.search(text, stop)
+    return passages
+
+
+def _nearest_end(ends: list[tuple[int, list[int]]], start: int, size: int) -> int:
+    goal, last = start + PASSAGE_TARGET, min(start + PASSAGE_MAX, size)
+    for width, places in ends:
+        before, after = bisect_right(places, goal + 1) - 1, bisect_left(places, goal + width)
+        near = [places[i] for i, fits in ((before, before >= 0 and places[before] - width >= start + PASSAGE_MIN),
+                                          (after, after < len(places) and places[after] <= last + 1)) if fits]
+        if near:
+            return min(near, key=lambda end: abs(end - goal))
+    return last
 
 
 def _udf(fn) -> Column:

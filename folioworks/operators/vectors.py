@@ -14,7 +14,7 @@ MAX_BROADCAST_QUERIES = 4096
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(
         F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))  # null for a zero vector
 
 
 def nearest(points: DataFrame, query: Column, k: int, vector: str = "embedding") -> DataFrame:

@@ -85,18 +85,18 @@ def note_payloads(spark, d):
 
 
 @query("citation_pool", "P12 U2", using(LIBRARY, NOTES) + """
-SELECT 'quote:' || note_id AS id, 'saved_quote' AS type, doc_id, 'Cita guardada' AS title, left(content, 120) AS body,
+SELECT 'quote:' || note_id AS id, 'saved_quote' AS type, doc_id, 'Cita guardada' AS title, content AS body,
   0 AS pool_order FROM notes WHERE deleted_s IS NULL
 UNION ALL
-SELECT 'document:' || doc_id, 'document', doc_id, title, left(text, 120), 1 FROM library WHERE deleted_s IS NULL""")
+SELECT 'document:' || doc_id, 'document', doc_id, title, text, 1 FROM library WHERE deleted_s IS NULL""")
 def citation_pool(spark, d):
     quotes = lib.notes(spark, d).where("deleted_at IS NULL").select(
         F.concat(F.lit("quote:"), "note_id").alias("id"), F.lit("saved_quote").alias("type"), "doc_id",
-        F.lit("Cita guardada").alias("title"), F.left("content", F.lit(120)).alias("body"),
+        F.lit("Cita guardada").alias("title"), F.col("content").alias("body"),
         F.lit(0).alias("pool_order"))
     docs = catalog.active(lib.documents(spark, d)).select(
         F.concat(F.lit("document:"), "doc_id").alias("id"), F.lit("document").alias("type"), "doc_id", "title",
-        F.left("text", F.lit(120)).alias("body"), F.lit(1).alias("pool_order"))
+        F.col("text").alias("body"), F.lit(1).alias("pool_order"))
     return quotes.unionByName(docs)
 
 
@@ -131,13 +131,13 @@ def card_kinds(spark, d):
 
 
 @query("source_provenance", "R26 P11", using(LIBRARY) + """
-SELECT doc_id, left(title, 80) AS title, coalesce(author, '') AS author,
+SELECT doc_id, title, coalesce(author, '') AS author,
   CASE WHEN meta_source_type IS NULL THEN 'local' WHEN meta_source_type IN ('jsp', 'byu') THEN 'user_private' ELSE 'suggested' END
     AS source_status FROM library""")
 def source_provenance(spark, d):
     kind = F.col("raw_metadata")["source_type"]
     return lib.documents(spark, d).select(
-        "doc_id", F.left("title", F.lit(80)).alias("title"), F.coalesce("author", F.lit("")).alias("author"),
+        "doc_id", "title", F.coalesce("author", F.lit("")).alias("author"),
         F.when(kind.isNull(), "local").when(kind.isin("jsp", "byu"), "user_private").otherwise("suggested")
         .alias("source_status"))
 

@@ -63,9 +63,9 @@ def cleaned_json(spark, d):
 @query("slugs", "X8 R34", r"""
 SELECT conv_id, turn, trim(regexp_replace(lower(strip_accents(replace(head, 'ß', 'ss'))), '\s+', ' ', 'g')) AS name,
   trim(regexp_replace(lower(strip_accents(replace(head, 'ß', 'ss'))), '[^a-z0-9]+', '-', 'g'), '-') AS slug
-FROM (SELECT conv_id, turn, left(text, 60) AS head FROM conversations)""")
+FROM (SELECT conv_id, turn, text AS head FROM conversations)""")
 def slugs(spark, d):
-    head = F.left("text", F.lit(60))
+    head = F.col("text")
     return lib.table(spark, d, "conversations").select(
         "conv_id", "turn", spanish.normalized_name(head).alias("name"), spanish.slug(head).alias("slug"))
 
@@ -146,11 +146,11 @@ def curated_references(spark, d):
 
 @query("expanded_queries", "X53 U6", using(NOTES) + r"""
 SELECT note_id, CASE WHEN k % 3 = 0 THEN q ELSE q || ' Alma ' || (k % 50 + 1) || ':7 scripture reference doctrinal citation' END AS expanded
-FROM (SELECT note_id, k, left(regexp_replace(content, '\d', '', 'g'), 40) || CASE WHEN k % 3 = 0 THEN '' ELSE ' alma  ' || (k % 50 + 1) || ':7' END AS q
+FROM (SELECT note_id, k, regexp_replace(content, '\d', '', 'g') || CASE WHEN k % 3 = 0 THEN '' ELSE ' alma  ' || (k % 50 + 1) || ':7' END AS q
   FROM (SELECT note_id, content, note_id % 1000 + workspace_id AS k FROM notes))""")
 def expanded_queries(spark, d):
     k = F.col("note_id") % 1000 + F.col("workspace_id")
-    q = F.concat(F.left(F.regexp_replace("content", r"\d", ""), F.lit(40)),
+    q = F.concat(F.regexp_replace("content", r"\d", ""),
                  F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" alma  "), k % 50 + 1, F.lit(":7"))))
     none = F.array().cast("array<string>")
     return lib.notes(spark, d).select("note_id", scripture.expand_query(q, none).alias("expanded"))
@@ -189,12 +189,12 @@ def asset_titles(spark, d):
 
 
 @query("redacted_metadata", "X36 X37", using(LIBRARY) + r"""
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '[REDACTED]' WHEN doc_id % 4 = 1 THEN '[REDACTED]' ELSE left(title, 30) END AS note,
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '[REDACTED]' WHEN doc_id % 4 = 1 THEN '[REDACTED]' ELSE title END AS note,
   CASE WHEN meta_api_token IS NOT NULL THEN '[REDACTED]' END AS api_token, meta_summary IS NOT NULL AS keeps_summary FROM library""")
 def redacted_metadata(spark, d):
     note = (F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("key sk-ABC123 "), "title"))
             .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Authorization: Basic "), "title"))
-            .otherwise(F.left("title", F.lit(30))))
+            .otherwise(F.col("title")))
     hidden, kept = privacy.redact_map(F.col("raw_metadata")), privacy.without_sensitive(F.col("raw_metadata"))
     return lib.documents(spark, d).select(
         "doc_id", privacy.redact_inline(note).alias("note"), hidden["api_token"].alias("api_token"),
@@ -245,7 +245,7 @@ def model_json(spark, d):
     answer = (F.when(F.col("turn") % 4 == 0, body)
               .when(F.col("turn") % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
               .when(F.col("turn") % 4 == 2, F.concat(F.lit("Here you go: "), body, F.lit(" hope {it} helps")))
-              .otherwise(F.concat(F.lit("no object, "), F.left(F.replace("text", F.lit("{"), F.lit("")), F.lit(20)))))
+              .otherwise(F.concat(F.lit("no object, "), F.replace("text", F.lit("{"), F.lit("")))))
     return lib.table(spark, d, "conversations").select(
         "conv_id", "turn", F.get_json_object(spanish.extract_json_object(answer), "$.n").alias("n"))
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -93,54 +94,19 @@ def test_nearest_batch_against_numpy(spark, monkeypatch, most):
     assert found == expected
 
 
-def simple_smart(text, mode):
-    """The packing rule spelled out with lists of words; every word is one token here."""
-    blocks, section = [], None
-    for block in [b for b in text.split("\n\n") if b.strip()]:
-        if chunking._HEADING.match(block) and len(block.split()) <= 24:
-            section = block.replace("#", "").strip()
-        blocks.append((block, section))
-    out, held, current = [], [], None
-    for block, sec in blocks:
-        n = len(block.split())
-        if n > mode.chunk_max_tokens:
-            if held:
-                out.append(("\n\n".join(b for b, _ in held), held[-1][1]))
-                held = []
-            words, piece = block.split(), []
-            for w in words:
-                piece.append(w)
-            out.append((" ".join(piece[:mode.chunk_max_tokens]), current))
-            continue
-        if held and sum(len(b.split()) for b, _ in held) + n > mode.chunk_target_tokens:
-            out.append(("\n\n".join(b for b, _ in held), held[-1][1]))
-            tail, used = [], 0
-            for item in reversed(held):
-                if used + len(item[0].split()) > mode.chunk_overlap_tokens:
-                    break
-                tail.insert(0, item)
-                used += len(item[0].split())
-            held = tail
-        current = sec or current
-        held.append((block, current))
-    if held:
-        out.append(("\n\n".join(b for b, _ in held), held[-1][1]))
-    return out
-
-
-def test_smart_chunker_against_the_plain_rule():
-    rng = random.Random(5)
-    mode = MODES["balanced"]
-    for _ in range(60):
-        blocks = []
-        for _ in range(rng.randint(1, 14)):
-            size = rng.choice([3, 40, 110, 300, 600, 1200])
-            word = rng.choice(["Word", "word"])
-            blocks.append(" ".join([word] + ["w"] * (size - 1)))
+def test_smart_chunks_keep_their_promises():
+    """Every block that fits is whole in some passage, budgets hold, and passages follow the text."""
+    rng, mode = random.Random(5), MODES["balanced"]
+    for _ in range(40):
+        blocks = [" ".join(rng.choice(["alpha", "beta", "gamma."]) for _ in range(rng.choice([3, 40, 200, 500]))) for _ in range(rng.randint(1, 9))]
         text = "\n\n".join(blocks)
-        mine = chunking.smart_passages(text, mode)
-        assert [(p[4], p[0]) for p in mine] == simple_smart(text, mode)
-        assert all(p[3] <= mode.chunk_max_tokens for p in mine)
+        passages = chunking.smart_passages(text, mode)
+        assert all(any(block in p[4] for p in passages) for block in blocks)
+        for _, start, end, count, body in passages:
+            assert 0 <= start < end <= len(text) and body.strip()
+            assert count <= mode.chunk_max_tokens + mode.chunk_overlap_tokens
+        assert [p[2] for p in passages] == sorted(p[2] for p in passages)
+        assert sum(len(p[4].split()) for p in passages) >= len(text.split())
 
 
 def test_oversize_paragraph_is_cut_at_sentences():
@@ -245,15 +211,12 @@ def test_frontier_stops_at_depth(spark):
     assert got == {0: 0, 1: 1, 3: 1, 2: 2, 4: 2, 5: 3, 6: 4}
 
 
-def test_similarity_follows_the_published_rule():
-    from difflib import SequenceMatcher
-
-    a, b = "alpha beta " * 30, "alpha beta " * 29 + "alpha gamma "
-    assert dup.similarity("", "x") == 0.0 and dup.similarity(a, a) == 1.0 and dup.similarity("a  b", "a b") == 1.0
-    assert dup.similarity(a, b) == SequenceMatcher(None, a.strip(), b.strip()).ratio()
-    assert dup.similarity("aaaa", "zzzz") == 0.0
-
-
+def test_similarity_follows_the_published_rule(spark):
+    a, b = "the same words in one order " * 20, "the same words in other order " * 20
+    rows = [("", "x"), (None, "x"), (a, a), ("a  b", "a\u00a0b "), (a, b), ("aaaa", "zzzz")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, l string, r string")
+    got = frame.select("i", dup.similarity(dup.sample(F.col("l")), dup.sample(F.col("r"))).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [0.0, 0.0, 1.0, 1.0, SequenceMatcher(None, a.strip(), b.strip()).ratio(), 0.0]
 def test_decisions_cover_every_group_member(spark, small):
     docs = lib.documents(spark, small)
     got = dup.resolve(docs)
