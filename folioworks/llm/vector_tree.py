@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from folioworks.llm.common import vector_size
 from folioworks.llm.vector_dups import distinct_vectors
@@ -147,18 +147,21 @@ def _matrix(vectors: pa.Array | list, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(vectors if isinstance(vectors, list) else vectors.to_pylist()), np.float64).reshape(-1, size)
 
 
-_FOUND = "query_id long, vec_id long, score double, leaf long"
+_BEST = pa.list_(pa.struct([("below", pa.float64()), ("vec_id", pa.int64()), ("leaf", pa.int64())]))
+_FOUND = "query_id long, best array<struct<below: double, vec_id: long, leaf: long>>"
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 4
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "vec_id", "score", "leaf"])
+def _found(best: dict[int, list[tuple]]) -> pa.RecordBatch:
+    """A row for each query with its best (score below zero, id, leaf), which sort as they should rank."""
+    lists = [[{"below": s, "vec_id": i, "leaf": leaf} for s, i, leaf in held] for held in best.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(lists, _BEST)], ["query_id", "best"])
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(query_id, rank, vec_id, score, leaf): the lists of each query, k from a task at most, become one."""
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
+    merged = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("place", "x"))
+    return merged.select("query_id", (F.col("place") + 1).alias("rank"), "x.vec_id", (-F.col("x.below")).alias("score"), "x.leaf")
 
 
 def exact(queries: list[tuple[int, bytes]], index: DataFrame, size: int, k: int) -> DataFrame:
@@ -168,8 +171,8 @@ def exact(queries: list[tuple[int, bytes]], index: DataFrame, size: int, k: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors, names, leaves = _matrix(batch.column(1), size), batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            yield _found([(int(ids[i]), int(names[p]), float(s), int(leaves[p]))
-                          for i, places, scores in best_rows(own, ids, vectors, names, k) for p, s in zip(places, scores)])
+            yield _found({int(ids[i]): [(-float(s), int(names[p]), int(leaves[p])) for p, s in zip(places, scores)]
+                          for i, places, scores in best_rows(own, ids, vectors, names, k)})
 
     return _top(index.select("id", "vector", "leaf").mapInArrow(run, _FOUND), k)
 
@@ -242,17 +245,14 @@ def nearest(table: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
                 queries, names = _matrix([batch.column(2)[i].as_py()], size), rows.field(0).to_numpy()
                 for q, places, scores in best_rows(queries, ids, _matrix(rows.field(1), size), names, k):
                     held = best.setdefault(int(ids[q]), [])
-                    held += [(-float(s), int(names[p])) for p, s in zip(places, scores)]
+                    held += [(-float(s), int(names[p]), -1) for p, s in zip(places, scores)]
                     if len(held) > 8 * k:
                         held[:] = sorted(held)[:k]
             if len(best) > 20_000:
-                yield _found(_kept(best, k))
+                yield _found({q: sorted(held)[:k] for q, held in best.items()})
                 best = {}
-        yield _found(_kept(best, k))
+        yield _found({q: sorted(held)[:k] for q, held in best.items()})
 
     ranked = _top(pairs.mapInArrow(run, _FOUND), k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-
-def _kept(best: dict[int, list[tuple]], k: int) -> list[tuple]:
-    return [(q, name, -s, None) for q, held in best.items() for s, name in sorted(held)[:k]]
