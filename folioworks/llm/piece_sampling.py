@@ -86,19 +86,28 @@ class Lattices:
             elif not (model.is_control(i) or model.is_unknown(i)):
                 self.weight[piece] = (i, 1.0 / (2.0 + min(-model.get_score(i), size)))
         self.rare = 1.0 / (2.0 + size)
-        self.tables = []
-        for length in range(1, self.LONGEST + 1):
-            own = [(p, *w) for p, w in self.weight.items() if len(p) == length]
-            codes = _codes("".join(p for p, _, _ in own)).reshape(len(own), length)
-            hashes = np.zeros(len(own), np.uint64)
-            for column in codes.T:
-                hashes = hashes * self.BASE + column + np.uint64(1)
-            order = np.argsort(hashes)
-            self.tables.append((hashes[order], np.array([x[1] for x in own], np.int32)[order], np.array([x[2] for x in own])[order]))
+        self.tables = self._prefix_tables()
         self.fallback: dict[int, int] = {}
         self.spelt: list[bytes] = []  # what a negative piece number stands for
         self.reset()
 
+    def _prefix_tables(self) -> list[tuple[np.ndarray, ...]]:
+        """For each length the pieces' beginnings: hash, piece or -1, weight, and whether a longer piece begins so."""
+        names, tables = [p for p in self.weight if len(p) <= self.LONGEST], []
+        codes, sizes = _codes("".join(names)), np.array([len(p) for p in names])
+        begin, hashes = np.cumsum(sizes) - sizes, np.zeros(len(names), np.uint64)
+        ids, weights = np.array([self.weight[p][0] for p in names], np.int32), np.array([self.weight[p][1] for p in names])
+        for length in range(1, int(sizes.max()) + 1):
+            keep = sizes >= length
+            begin, hashes, ids, weights, sizes = (x[keep] for x in (begin, hashes, ids, weights, sizes))
+            hashes = hashes * self.BASE + codes[begin + length - 1] + np.uint64(1)
+            table, place = np.unique(hashes, return_inverse=True)
+            piece, weight, more = np.full(len(table), -1, np.int32), np.zeros(len(table)), np.zeros(len(table), bool)
+            whole = sizes == length
+            piece[place[whole]], weight[place[whole]], more[place[~whole]] = ids[whole], weights[whole], True
+            tables.append((table, piece, weight, more))
+        return tables
+
     def reset(self) -> None:
         self.start: dict[str, int] = {}
         self.first = np.zeros(1, np.int64)
@@ -121,31 +130,33 @@ class Lattices:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the word's end
         at, hashes, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
-        for length, (table, pieces, weights) in enumerate(self.tables, 1):
-            keep = left[at] >= length
-            at, hashes = at[keep], hashes[keep]
+        for length, (table, pieces, weights, more) in enumerate(self.tables, 1):
             hashes = hashes * self.BASE + codes[at + length - 1] + np.uint64(1)
-            if len(table):
-                spot = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-                hit = table[spot] == hashes
-                found.append((at[hit], np.full(int(hit.sum()), length), pieces[spot[hit]], weights[spot[hit]]))
+            spot = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+            begun = table[spot] == hashes
+            hit = np.flatnonzero(begun & (pieces[spot] >= 0))
+            found.append((at[hit], np.full(len(hit), length), pieces[spot[hit]], weights[spot[hit]]))
             if length == 1:
-                lost = at[~hit]
+                lost = np.delete(at, hit)
                 distinct, place = np.unique(codes[lost], return_inverse=True)
                 spelt = np.array([self._spell(int(c)) for c in distinct], np.int32)
                 found.append((lost, np.ones(len(lost), np.int64), spelt[place], np.full(len(lost), self.rare)))
+            on = np.flatnonzero(begun & more[spot] & (left[at] > length))  # only these can become longer pieces
+            at, hashes = at[on], hashes[on]
         node, length, piece, weight = (np.concatenate(x) for x in zip(*found))
         # Mass of the ways to the word's end, from its last character back.
         mass = np.ones(len(codes) + 1)
-        order = np.argsort(left[node], kind="stable")
-        cuts = np.searchsorted(left[node][order], np.arange(1, int(left.max()) + 2))
+        order = np.lexsort((node, left[node]))
+        node, length, piece, weight = node[order], length[order], piece[order], weight[order]
+        cuts = np.searchsorted(left[node], np.arange(1, int(left.max()) + 2))
         ends = left[node] == length
-        way = np.empty(len(node))
+        way, fresh = np.empty(len(node)), np.concatenate([[True], node[1:] != node[:-1]])
         for low, high in zip(cuts[:-1], cuts[1:]):
-            e = order[low:high]
-            way[e] = weight[e] * np.where(ends[e], 1.0, mass[node[e] + length[e]])
-            distinct, place = np.unique(node[e], return_inverse=True)
-            mass[distinct] = np.bincount(place, weights=way[e])
+            if low == high:
+                continue
+            way[low:high] = weight[low:high] * np.where(ends[low:high], 1.0, mass[node[low:high] + length[low:high]])
+            first = np.flatnonzero(fresh[low:high])
+            mass[node[low:high][first]] = np.add.reduceat(way[low:high], first)
         prob = way / mass[node]
         order = np.lexsort((-prob, node))
         node, length, piece, prob, ends = node[order], length[order], piece[order], prob[order], ends[order]
@@ -170,15 +181,24 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(BLANK + text.replace(" ", BLANK))
 
 
-def _uniform(*parts: np.ndarray) -> np.ndarray:
-    """A number in (0, 1) from a hash of whole numbers."""
-    x = np.zeros(np.broadcast_shapes(*(np.shape(p) for p in parts)), np.uint64)
+def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for part in parts:
-            x = (x + np.asarray(part).astype(np.uint64) + np.uint64(1)) * _ODD
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
+        x = (x + np.uint64(1)) * _ODD
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _seeds(keys: np.ndarray, turn: int, use: int) -> np.ndarray:
+    """A row's seed for one round and one use of random numbers."""
+    with np.errstate(over="ignore"):
+        return _mixed(_mixed(keys) + np.uint64(4 * turn + use))
+
+
+def _uniform(seeds: np.ndarray, place: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) from a hash of a seed, a word's place and a step in it, of which a word has at most ``RUN`` + 1."""
+    with np.errstate(over="ignore"):
+        x = _mixed(seeds + (place * 64 + step).astype(np.uint64))
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
 
 
@@ -204,11 +224,15 @@ class Sampler:
         self.keys = np.array(keys, np.int64).view(np.uint64)
         self.k, self.lattices = k, lattices
 
-    def _walk(self, at: np.ndarray, node: np.ndarray, step: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
+    def _start(self, turn: int) -> None:
+        """The rows' seeds of a round: for walks, first values, other edges and bounds."""
+        self.seeds = [_seeds(self.keys, turn, use) for use in range(4)]
+
+    def _walk(self, at: np.ndarray, node: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, ...]:
         """Edges from each word's node to its end, in text order: (word, node, step, edge)."""
         out: list[tuple[np.ndarray, ...]] = []
         while len(at):
-            u = _uniform(self.keys[self.row[at]], turn, self.place[at], step, 0)
+            u = _uniform(self.seeds[0][self.row[at]], self.place[at], step)
             edge = self.edge_of[node]
             short = np.flatnonzero(self.upto[edge] < u)
             while len(short):
@@ -229,20 +253,23 @@ class Sampler:
         rows = len(self.offset) - 1
         paths: list[list[tuple]] = [[] for _ in range(rows)]
         queues: list[list[tuple]] = [[] for _ in range(rows)]
-        top = -np.log(-np.log(_uniform(self.keys, 0, 0, 0, 1)))
-        walked = self._walk(np.arange(len(self.first)), self.first.copy(), np.zeros(len(self.first), np.int64), 0)
+        self._start(0)
+        none = np.zeros(rows, np.int64)
+        top = -np.log(-np.log(_uniform(self.seeds[1], none, none)))
+        walked = self._walk(np.arange(len(self.first)), self.first.copy(), np.zeros(len(self.first), np.int64))
         cuts = np.searchsorted(walked[0], self.offset)
         for r in range(rows):
             own = tuple(x[cuts[r]:cuts[r + 1]] for x in walked)
-            self._settle(r, own, 0, np.zeros(0), float(top[r]), 0, (), paths, queues)
+            self._settle(r, own, 0, np.zeros(0), float(top[r]), (), paths, queues)
         for turn in range(1, self.k):
+            self._start(turn)
             todo, at, node, step = [], [], [], []
             for r in range(rows):
                 if not queues[r]:
                     continue
                 bound, source, place, used = heapq.heappop(queues[r])
                 prefix = paths[r][source][0]
-                edge = self._other(r, turn, prefix, place, used)
+                edge = self._other(r, prefix, place, used)
                 word, here, depth = int(prefix[0][place]), int(prefix[1][place]), int(prefix[2][place])
                 todo.append((r, -bound, source, place, used, edge, word, here, depth))
                 after = int(self.next[edge])
@@ -252,23 +279,23 @@ class Sampler:
                 at.append(later), node.append(self.first[later]), step.append(np.zeros(len(later), np.int64))
             if not todo:
                 break
-            walked = self._walk(np.concatenate(at), np.concatenate(node), np.concatenate(step), turn)
+            walked = self._walk(np.concatenate(at), np.concatenate(node), np.concatenate(step))
             for r, bound, source, place, used, edge, word, here, depth in todo:
                 low, high = np.searchsorted(walked[0], [word, self.offset[r + 1]])
                 old = paths[r][source][0]
                 fresh = tuple(np.concatenate([o[:place], [x], w[low:high]]) for o, x, w in
                               zip(old, (word, here, depth, edge), walked))
-                self._settle(r, fresh, place, paths[r][source][1][:place], bound, turn, used, paths, queues)
+                self._settle(r, fresh, place, paths[r][source][1][:place], bound, used, paths, queues)
         return [self._scored(r, paths[r], queues[r]) for r in range(rows)]
 
-    def _other(self, r: int, turn: int, prefix: tuple, place: int, used: tuple[int, ...]) -> int:
+    def _other(self, r: int, prefix: tuple, place: int, used: tuple[int, ...]) -> int:
         """An edge of a node other than the used ones, by its probability."""
         open_ = [e for e in self._edges(int(prefix[1][place])) if e not in used]
         upto = np.cumsum(self.prob[open_])
-        u = float(_uniform(self.keys[r], turn, int(prefix[0][place] - self.offset[r]), int(prefix[2][place]), 2))
+        u = float(_uniform(self.seeds[2][r:r + 1], prefix[0][place:place + 1] - self.offset[r], prefix[2][place:place + 1])[0])
         return open_[min(int(np.searchsorted(upto, u * upto[-1])), len(open_) - 1)]
 
-    def _settle(self, r, path, place, head, value, turn, used, paths, queues) -> None:
+    def _settle(self, r, path, place, head, value, used, paths, queues) -> None:
         """Record a path and put the nodes that split off from it, from decision ``place`` on, into the queue.
 
         ``head`` has the summed log probabilities of the decisions before.
@@ -278,15 +305,15 @@ class Sampler:
         before = float(head[-1]) if len(head) else 0.0
         sums = np.concatenate([head, before + np.cumsum(np.log(p))])
         paths[r].append((path, sums, value))
-        rest, alone = 1.0 - p, self._degree(nodes) == 1
+        rest = 1.0 - p  # exactly zero where there is no other edge
         if used and len(nodes):  # at the first decision the edges that were used before are out as well
             open_ = [e for e in self._edges(int(nodes[0])) if e not in used and e != edges[0]]
-            rest[0], alone[0] = self.prob[open_].sum() if open_ else 0.0, not open_
-        some = np.flatnonzero(~alone & (rest > 0))
+            rest[0] = self.prob[open_].sum() if open_ else 0.0
+        some = np.flatnonzero(rest > 0)
         if not len(some):
             return
         prior = np.concatenate([[before], sums[place:-1]])[some]
-        u = _uniform(self.keys[r], turn, words[some] - self.offset[r], steps[some], 3)
+        u = _uniform(self.seeds[3][r:r + 1], words[some] - self.offset[r], steps[some])
         bounds = _cut_gumbel(prior + np.log(rest[some]), value, u)
         most = min(len(bounds), self.k)  # no more than this many can come up
         for i in np.argpartition(-bounds, most - 1)[:most]:
@@ -297,9 +324,6 @@ class Sampler:
     def _edges(self, node: int) -> range:
         return range(int(self.edge_of[node]), int(self.edge_of[node + 1]))
 
-    def _degree(self, nodes: np.ndarray) -> np.ndarray:
-        return self.edge_of[nodes + 1] - self.edge_of[nodes]
-
     def _scored(self, r: int, paths: list[tuple], queue: list[tuple]) -> list[tuple[np.ndarray, float, float, float]]:
         bound = -queue[0][0] if queue else None
         out = []
