@@ -74,8 +74,12 @@ def strip_ws(c: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    """Lower case plus the sharp-s expansion; enough for the Latin languages here."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding: upper case first, which expands ligatures and the sharp s; every sigma becomes the inner one.
+
+    The sigma step also keeps the optimizer from joining the two conversions.
+    The dotless i is the one letter that folds further here, to a plain i.
+    """
+    return F.lower(F.translate(F.upper(c), "Σ", "σ"))
 
 
 def content_hash(c: Column) -> Column:

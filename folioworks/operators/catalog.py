@@ -36,14 +36,16 @@ def active(df: DataFrame) -> DataFrame:
 def without_exact_copies(documents: DataFrame) -> DataFrame:
     """J5 over exact copies: one document per (hash, language, title) survives.
 
-    The survivor is an aggregate, so a group of any size is combined before the
-    shuffle, and the way back is a semi-join on the unique id.
+    A live copy survives before a deleted one.  The survivor is an aggregate, so
+    a group of any size is combined before the shuffle, and the way back is a
+    semi-join on the unique id.
     """
-    hashed = spread(documents.select("doc_id", "language", "title", "text"))
+    gone = F.col("deleted_at").isNotNull() if "deleted_at" in documents.columns else F.lit(False)
+    hashed = spread(documents.select("doc_id", "language", "title", "text", gone.alias("gone")))
     kept = (
         hashed.groupBy(content_hash(F.col("text")).alias("h"), "language",
                           normalize_title(F.col("title")).alias("t"))
-        .agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+        .agg(F.min_by("doc_id", F.struct("gone", "doc_id")).alias("doc_id")).select("doc_id")
     )
     return documents.join(kept, "doc_id", "left_semi")
 

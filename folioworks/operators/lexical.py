@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioworks.functions.text import WORD
+from folioworks.functions.text import WORD, bind
 from folioworks.operators.ranking import top_per_group
 from folioworks.session import bounded_broadcast, cut_lineage, spread, write_once
 
@@ -96,14 +96,16 @@ def cover_density(hits: Column, terms: Column) -> Column:
     def step(acc: Column, hit: Column) -> Column:
         here = acc["seen"] + 1
         last = F.transform(acc["last"], lambda v, k: F.when(k + 1 == hit["term"], here).otherwise(v))
-        left = F.array_min(last)
-        inside = here - left + 1
-        covered = F.slice(hits, left, inside)
-        weight = F.aggregate(covered, F.lit(0.0), lambda s, h: s + h["inv"])
-        gap = hit["at"] - F.get(covered, F.lit(0))["at"] - (inside - 1)
-        gained = F.when(left > acc["left"], inside / weight / (gap + 1)).otherwise(F.lit(0.0))
-        return F.struct(last.alias("last"), left.alias("left"), here.alias("seen"),
-                        (acc["score"] + gained).alias("score"))
+
+        def grown(last: Column, left: Column) -> Column:
+            inside = here - left + 1
+            covered = F.slice(hits, left, inside)
+            weight = F.aggregate(covered, F.lit(0.0), lambda s, h: s + h["inv"])
+            gap = hit["at"] - F.get(hits, left - 1)["at"] - (inside - 1)
+            gained = F.when(left > acc["left"], inside / weight / (gap + 1)).otherwise(F.lit(0.0))
+            return F.struct(last.alias("last"), left.alias("left"), here.alias("seen"), (acc["score"] + gained).alias("score"))
+
+        return bind(last, lambda seen: bind(F.array_min(seen), lambda left: grown(seen, left)))
 
     return F.aggregate(hits, start, step, lambda acc: acc["score"])
 

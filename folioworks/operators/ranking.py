@@ -21,14 +21,14 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 
 
 def fit_skipping(candidates: DataFrame, keys: Sequence[str], rank: str, tokens: str, budget: int,
-                 most: int) -> DataFrame:
+                 most: int | None = None) -> DataFrame:
     """Walk the ranked items, skip those that no longer fit, keep going.
 
     Not a prefix sum: a later, smaller item may still fit.  Only the best
-    ``most`` items of a group are walked, so the array folded here has at most
-    that many entries.
+    ``most`` items of a group are walked, if it is given; without it a group has
+    to be as bounded as one conversation or one query's candidates are.
     """
-    top = candidates.where(F.col(rank) <= most)
+    top = candidates if most is None else candidates.where(F.col(rank) <= most)
     walk = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(rank, tokens))).alias("_items"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("kept"))
     fits = lambda acc, x: acc["used"] + x[tokens] <= budget

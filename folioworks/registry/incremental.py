@@ -194,13 +194,12 @@ def cache_lookups(spark, d):
 
 
 @query("streamed_quota_windows", "I14 I16", """
-SELECT event_type, CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, count(*) AS hits, greatest(count(*) - 60, 0) AS rejected FROM events
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""")
+SELECT event_type, CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, count(*) AS hits, greatest(count(*) - 60, 0) AS rejected FROM events GROUP BY 1, 2""")
 def streamed_quota_windows(spark, d):
     schema = lib.table(spark, d, "events").schema
     events = stream.event_stream(spark, d, "events.parquet", schema)
-    done = stream.materialize(stream.rate_windows(events, "1 day", 60, ["event_type"], "10 minutes"), "quota")
-    return done.select("event_type", F.to_date("window_start").cast("string").alias("day"), "hits", "rejected")
+    counted = stream.rate_windows(events, "1 day", 60, ["event_type"], "10 minutes")
+    return stream.latest_windows(counted, "quota", ["event_type", "window_start"]).select("event_type", F.to_date("window_start").cast("string").alias("day"), "hits", "rejected")
 
 
 @query("streamed_cache_lookups", "I15", _TTL.format(ttl=40000))

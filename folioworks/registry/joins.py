@@ -162,13 +162,13 @@ def workspaces_with_sources(spark, d):
 @query("reading_history", "W8 J22", """
 SELECT user_id, rn, k, p_name FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY last_ts DESC, k) AS rn
   FROM (SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, max(ts) AS last_ts FROM events GROUP BY 1, 2))
-JOIN part ON p_partkey = k WHERE rn <= 40""")
+JOIN part ON p_partkey = k WHERE rn <= 80""")
 def reading_history(spark, d):
     seen = (lib.table(spark, d, "events")
             .select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), "ts")
             .groupBy("user_id", "k").agg(F.max("ts").alias("last_ts")))
     newest = Window.partitionBy("user_id").orderBy(F.desc("last_ts"), "k")
-    recent = seen.withColumn("rn", F.row_number().over(newest)).where("rn <= 40")
+    recent = seen.withColumn("rn", F.row_number().over(newest)).where("rn <= 80")
     part = lib.table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name")
     return recent.join(part, "k").select("user_id", F.col("rn").cast("bigint").alias("rn"), "k", "p_name")
 

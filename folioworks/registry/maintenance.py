@@ -102,7 +102,7 @@ def legacy_sources(spark, d):
 
 
 @query("active_without_copies", "J5 S1 L2", using(LIBRARY) + r"""
-SELECT source_key, count(*) AS n FROM library l WHERE deleted_s IS NULL AND NOT EXISTS (SELECT 1 FROM library o WHERE o.doc_id < l.doc_id AND o.language = l.language
+SELECT source_key, count(*) AS n FROM library l WHERE deleted_s IS NULL AND NOT EXISTS (SELECT 1 FROM library o WHERE o.doc_id < l.doc_id AND o.deleted_s IS NULL AND o.language = l.language
   AND sha256(trim(regexp_replace(o.text, '\s+', ' ', 'g'))) = sha256(trim(regexp_replace(l.text, '\s+', ' ', 'g'))) AND trim(regexp_replace(replace(lower(o.title), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) = trim(regexp_replace(replace(lower(l.title), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g'))) GROUP BY 1""")
 def active_without_copies(spark, d):
     kept = catalog.without_exact_copies(lib.documents(spark, d))

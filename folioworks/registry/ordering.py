@@ -23,7 +23,7 @@ _TURNS = f"turns AS (SELECT conv_id, turn + 1 AS rank, role, CAST({TOKENS_SQL.fo
 
 
 @query("context_skipping_budget", "W3 X2", using(_TURNS) + """,
-ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rank) AS rn FROM turns WHERE rank <= 6),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rank) AS rn FROM turns),
 walk AS (
   SELECT conv_id, rn, rank, tokens, tokens <= 160 AS kept, CASE WHEN tokens <= 160 THEN tokens ELSE 0 END AS used FROM ordered WHERE rn = 1
   UNION ALL
@@ -31,7 +31,7 @@ walk AS (
   FROM walk w JOIN ordered o ON o.conv_id = w.conv_id AND o.rn = w.rn + 1)
 SELECT conv_id, rank, tokens FROM walk WHERE kept""")
 def context_skipping_budget(spark, d):
-    return ranking.fit_skipping(_turns(spark, d), ["conv_id"], "rank", "tokens", 160, 6).select(
+    return ranking.fit_skipping(_turns(spark, d), ["conv_id"], "rank", "tokens", 160).select(
         "conv_id", "rank", "tokens")
 
 

@@ -96,13 +96,13 @@ notes AS (
   FROM (SELECT *, conv_id * 7 + turn AS k FROM conversations))
 """
 
-# Exact copies of an earlier text, with the confirmed verdict that hides them.
+# Exact copies of an earlier text (live ones come before deleted ones), with the confirmed verdict that hides them.
 DUPLICATES = r"""
 hidden AS (
   SELECT doc_id AS duplicate_id
   FROM (SELECT doc_id, n_chars, count(*) OVER (PARTITION BY h, language, t) AS n,
-          row_number() OVER (PARTITION BY h, language, t ORDER BY doc_id) AS rn
-        FROM (SELECT doc_id, language, n_chars, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h,
+          row_number() OVER (PARTITION BY h, language, t ORDER BY deleted_s IS NOT NULL, doc_id) AS rn
+        FROM (SELECT doc_id, language, n_chars, deleted_s, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h,
                 trim(regexp_replace(lower(title), '[^\p{L}\p{N}_]+', ' ', 'g')) AS t FROM library))
   WHERE rn > 1)
 """

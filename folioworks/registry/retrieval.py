@@ -53,20 +53,20 @@ def local_answer(spark, d):
     return search.local_answer(_search(spark, d, 5)).withColumn("citation_id", F.col("citation_id").cast("bigint"))
 
 
-# At most eight lexemes per query, so that the oracle can spell the covers out.
+# Covers end where the earliest of the terms' last hits moves.
 _TERMS_SQL = r"""
-q AS (SELECT item_id AS query_id, list_sort(list_distinct(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 3))) AS terms FROM benchmark),
+q AS (SELECT item_id AS query_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS terms FROM benchmark),
 d AS (SELECT doc_id, regexp_extract_all(lower(title), '[\p{L}\p{N}_]+') AS a, regexp_extract_all(lower(coalesce(author, '')), '[\p{L}\p{N}_]+') AS b,
   regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS c, language, source_key FROM library),
 dl AS (SELECT doc_id, list_concat(list_concat(a, b), c) AS w, len(a) AS na, len(b) AS nb, language, source_key FROM d),
-pairs AS (SELECT query_id, doc_id, terms, w, na, nb, language, source_key FROM q JOIN dl ON list_has_all(w, terms)),
+pairs AS (SELECT query_id, doc_id, terms, w, na, nb, language, source_key FROM q JOIN dl ON len(terms) > 0 AND list_has_all(w, terms)),
 hits AS (SELECT query_id, doc_id, pos, list_position(terms, w[pos]) AS term, len(terms) AS n,
     CASE WHEN pos <= na THEN 1.0::DOUBLE WHEN pos <= na + nb THEN 2.5::DOUBLE ELSE 5.0::DOUBLE END AS inv
   FROM (SELECT *, unnest(range(1, len(w) + 1)) AS pos FROM pairs) WHERE list_contains(terms, w[pos])),
 numbered AS (SELECT *, row_number() OVER p AS i, sum(inv) OVER p AS cum FROM hits WINDOW p AS (PARTITION BY query_id, doc_id ORDER BY pos)),
-lasts AS (SELECT *, CASE n WHEN 1 THEN t1 WHEN 2 THEN least(t1, t2) ELSE least(t1, t2, t3) END AS lft FROM (
-  SELECT *, coalesce(max(i) FILTER (WHERE term = 1) OVER p, 0) AS t1, coalesce(max(i) FILTER (WHERE term = 2) OVER p, 0) AS t2,
-    coalesce(max(i) FILTER (WHERE term = 3) OVER p, 0) AS t3 FROM numbered WINDOW p AS (PARTITION BY query_id, doc_id ORDER BY pos))),
+lasts AS (SELECT query_id, doc_id, i, pos, cum, inv, min(latest) AS lft FROM (
+  SELECT *, coalesce(max(CASE WHEN term = t THEN i END) OVER (PARTITION BY query_id, doc_id, t ORDER BY i), 0) AS latest
+  FROM (SELECT *, unnest(range(1, n + 1)) AS t FROM numbered)) GROUP BY ALL),
 covers AS (SELECT l.*, coalesce(lag(lft) OVER (PARTITION BY query_id, doc_id ORDER BY i), 0) AS before FROM lasts l),
 gains AS (SELECT c.query_id, c.doc_id, c.i, (c.i - c.lft + 1) / (c.cum - s.cum + s.inv) / (c.pos - s.pos - (c.i - c.lft) + 1) AS gain
   FROM covers c JOIN numbered s ON s.query_id = c.query_id AND s.doc_id = c.doc_id AND s.i = c.lft WHERE c.lft > c.before),
@@ -74,10 +74,8 @@ ranks AS (SELECT query_id, doc_id, sum(gain ORDER BY i) AS score FROM gains GROU
 """
 
 
-def _queries(spark, d, text_words: int = 3):
-    head = F.slice(lexical.words(F.col("text")), 1, text_words)
-    return lib.table(spark, d, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_sort(F.array_distinct(head)).alias("terms"))
+def _queries(spark, d):
+    return lexical.query_terms(lib.table(spark, d, "benchmark"), "item_id", F.col("text"))
 
 
 @query("all_terms_match", "F16", using(LIBRARY) + r"""
@@ -85,8 +83,7 @@ SELECT q.item_id AS query_id, l.doc_id FROM (SELECT item_id, list_distinct(regex
 JOIN (SELECT doc_id, regexp_extract_all(lower(title || ' ' || coalesce(author, '') || ' ' || text), '[\p{L}\p{N}_]+') AS w FROM library) l ON list_has_all(l.w, q.terms)""")
 def all_terms_match(spark, d):
     index = lexical.build_index(lib.documents(spark, d))
-    queries = lexical.query_terms(lib.table(spark, d, "benchmark"), "item_id", F.col("text"))
-    return lexical.match_all(index, queries).select("query_id", "doc_id")
+    return lexical.match_all(index, _queries(spark, d)).select("query_id", "doc_id")
 
 
 @query("cover_density_rank", "X49 O2 F16 X48", using(LIBRARY, _TERMS_SQL) + """
@@ -153,8 +150,7 @@ def _hybrid_inputs(spark, d):
     points = lib.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = (lib.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("q"))
              .join(points, "doc_id").join(docs.select("doc_id", "language"), "doc_id")
-             .select(F.col("doc_id").alias("query_id"), "language", "embedding",
-                     F.array_join(F.slice(lexical.words(F.col("q")), 1, 3), " ").alias("text")))
+             .select(F.col("doc_id").alias("query_id"), "language", "embedding", F.col("q").alias("text")))
     passages = docs.select(
         "doc_id", (F.col("doc_id") / 4).cast("bigint").alias("parent_id"), "title", "author", "text", "language",
         "source_key", t.token_count(F.col("text")).cast("bigint").alias("token_count"))

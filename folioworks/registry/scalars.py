@@ -232,7 +232,10 @@ def prompt_hashes(spark, d):
     return lib.table(spark, d, "conversations").select("conv_id", "turn", privacy.prompt_hash(payload).alias("prompt_hash"))
 
 
-@query("user_ids", "X40", None)
+@query("user_ids", "X40", """
+SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+  || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS user_id
+FROM (SELECT c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('library:user:' || trim(c_name))) AS h FROM customer)""")
 def user_ids(spark, d):
     return (lib.table(spark, d, "customer")
             .select("c_custkey", privacy.user_id(F.col("c_name"), "library:user:").alias("user_id")))

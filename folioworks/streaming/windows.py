@@ -91,6 +91,27 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def latest_windows(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+    """I16: windowed counts over the available input, with the windows that are still open at its end.
+
+    In update mode a micro-batch gives the windows it has changed.  It writes
+    them to a folder of its own, which a replay writes over.  Counts only grow,
+    so a window's largest count is its last.
+    """
+    spark, counts = stream.sparkSession, [c for c in stream.columns if c not in keys]
+    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")  # for a folder without any files
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (stream.writeStream.foreachBatch(store).option("checkpointLocation", state).outputMode("update")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    seen = spark.read.schema(stream.schema).parquet(out)
+    return seen.groupBy(*keys).agg(F.max(F.struct(*counts)).alias("_last")).select(*keys, "_last.*")
+
+
 def materialize(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over the available input and read its output back."""
     spark = stream.sparkSession
