@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from folioworks import fixed_values as fv
 from folioworks.functions.text import content_hash, normalize_title
 from folioworks.functions.urls import normalize_source_type
-from folioworks.operators.filters import resolve_column, seed_flag, source_type_of
-from folioworks.session import inline_table, spread
+from folioworks.operators.filters import resolve_column, seed_flag, source_match, source_type_of
+from folioworks.session import inline_table, spread, write_once
 
 
 def display_status() -> Column:
@@ -101,14 +101,21 @@ def topic_counts(documents: DataFrame, limit: int) -> DataFrame:
 
 def list_documents(documents: DataFrame, sources: DataFrame, *, limit: int = 30, offset: int = 0,
                    search: str | None = None, language: str | None = None, status: str | None = None,
-                   cursor: int | None = None, include_seed: bool = True) -> DataFrame:
+                   cursor: int | None = None, include_seed: bool = True, source_type: str | None = None,
+                   decisions: DataFrame | None = None) -> DataFrame:
     """One page with the total of the whole selection.
 
-    The total is a scalar subquery rather than a window over everything, which
-    would move the selection into a single task.
+    The texts are read once: what the page shows of each selected document is
+    stored, and both the page and the total come from there.  The total is a
+    scalar subquery rather than a window over everything, which would move the
+    selection into a single task.
     """
     limit, offset = max(1, min(limit, 100)), max(0, offset)
     rows = active(documents)
+    if decisions is not None:
+        rows = without_confirmed_duplicates(rows, decisions)
+    if source_type:
+        rows = rows.where(source_match(rows, [source_type]))
     if search:
         like = F.lit(f"%{search}%")
         rows = rows.where(F.ilike("title", like) | F.ilike(F.coalesce("text", F.lit("")), like)
@@ -123,13 +130,15 @@ def list_documents(documents: DataFrame, sources: DataFrame, *, limit: int = 30,
         rows = rows.where(~seed_flag(F.col("raw_metadata")))
     if cursor is not None:
         rows = rows.where(F.col("doc_id") > cursor)
-    total = rows.agg(F.count("*").alias("n")).scalar()
-    page = rows.select(
+    shown = rows.select(
         "doc_id", "title", "author", "source_key", source_type_of(rows).alias("source_type"), "language",
         display_status().alias("display_status"), "canonical_url", source_url_of(rows).alias("source_url"),
         F.left(F.coalesce("text", F.lit("")), F.lit(360)).alias("excerpt"),
-        F.unix_seconds("updated_at").alias("updated_s"), seed_flag(F.col("raw_metadata")).alias("seed"),
-    ).orderBy(F.when(F.col("seed"), 1).otherwise(0), F.desc("updated_s"), "doc_id").offset(offset).limit(limit)
+        F.unix_seconds("updated_at").alias("updated_s"), seed_flag(F.col("raw_metadata")).alias("seed"))
+    if search:
+        shown = write_once(shown, "listing")
+    total = shown.agg(F.count("*").alias("n")).scalar()
+    page = shown.orderBy(F.when(F.col("seed"), 1).otherwise(0), F.desc("updated_s"), "doc_id").offset(offset).limit(limit)
     named = page.join(sources.select("source_key", "source_name"), "source_key")
     return named.withColumn("total", total)
 

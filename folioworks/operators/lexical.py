@@ -52,9 +52,11 @@ def build_index(documents: DataFrame, title: str = "title", second: str = "autho
         "lexemes")
 
 
-def match_all(index: DataFrame, queries: DataFrame) -> DataFrame:
+def match_all(index: DataFrame, queries: DataFrame, same: str | None = None) -> DataFrame:
     """F16: index rows joined to the queries all of whose terms they hold.
 
+    With ``same`` both sides carry that column and only equal values match.
+
     Only the rarest term of a query is looked up in the postings, so a frequent
     word in a query never multiplies rows.  The few candidates are then checked
     against the document's own lexemes in one pass over the index.
@@ -62,13 +64,18 @@ def match_all(index: DataFrame, queries: DataFrame) -> DataFrame:
     needed = queries.where(F.size("terms") > 0)
     q_terms = needed.select("query_id", F.explode("terms").alias("term"))
     wanted = bounded_broadcast(q_terms.select("term").distinct(), MAX_BROADCAST_TERMS)
-    postings = index.select("doc_id", F.explode(F.array_distinct("lexemes")).alias("term")).join(
+    postings = index.select("doc_id", *([same] if same else []), F.explode(F.array_distinct("lexemes")).alias("term")).join(
         wanted, "term", "left_semi")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     rarest = (q_terms.join(frequency, "term", "left").groupBy("query_id")
               .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"),
                    F.min(F.coalesce("df", F.lit(0))).alias("df")).where("df > 0").drop("df"))
-    candidates = cut_lineage(postings.join(rarest, "term").select("query_id", "doc_id"))
+    candidates = postings.join(rarest, "term")
+    if same:
+        own = needed.select("query_id", F.col(same).alias("_wanted"))
+        candidates = candidates.join(own, "query_id").where(F.col(same) == F.col("_wanted"))
+        needed = needed.drop(same)
+    candidates = cut_lineage(candidates.select("query_id", "doc_id"))
     pairs = candidates.join(needed, "query_id")
     return (index.join(bounded_broadcast(pairs, MAX_BROADCAST_PAIRS), "doc_id")
             .where(F.size(F.array_except("terms", "lexemes")) == 0))
@@ -110,12 +117,12 @@ def cover_density(hits: Column, terms: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["score"])
 
 
-def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
+def scored(index: DataFrame, queries: DataFrame, same: str | None = None) -> DataFrame:
     """Every matching (query_id, doc_id) with its cover-density rank."""
     extra = [c for c in index.columns if c not in ("doc_id", "lexemes", "n_a", "n_b")]
-    others = [c for c in queries.columns if c not in ("query_id", "terms")]
+    others = [c for c in queries.columns if c not in ("query_id", "terms", same)]
     hits = query_hits(F.col("lexemes"), F.col("n_a"), F.col("n_b"), F.col("terms"))
-    found = match_all(index, queries).select("query_id", "doc_id", *extra, *others, "terms", hits.alias("hits"))
+    found = match_all(index, queries, same).select("query_id", "doc_id", *extra, *others, "terms", hits.alias("hits"))
     return found.withColumn("lexical_score", cover_density(F.col("hits"), F.col("terms"))).drop("hits", "terms")
 
 

@@ -9,7 +9,7 @@ from folioworks.config import MODES
 from folioworks.functions.text import limit_text, search_patterns
 from folioworks.functions.urls import normalize_source_type
 from folioworks.operators import lexical, ranking, vectors
-from folioworks.operators.catalog import active, description_of, source_url_of
+from folioworks.operators.catalog import active, description_of, source_url_of, without_confirmed_duplicates
 from folioworks.operators.filters import (MetadataFilter, ilike_any, json_text_ilike, metadata_predicate,
                                           source_type_of)
 from folioworks.session import cut_lineage, spread
@@ -80,37 +80,41 @@ def local_answer(hits: DataFrame, most: int = 5) -> DataFrame:
 
 
 def fused_candidates(documents: DataFrame, points: DataFrame, queries: DataFrame, mode: str = "balanced",
-                     hidden: DataFrame | None = None) -> DataFrame:
+                     decisions: DataFrame | None = None, filters: MetadataFilter | None = None) -> DataFrame:
     """Both retrieval legs of every query, merged and scored.
 
     ``documents`` are passages: (doc_id, parent_id, title, author, text,
-    language, source_key, token_count); ``points`` hold their vectors;
-    ``queries`` are (query_id, text, language, embedding).  Confirmed
-    duplicates go before the top-k is taken, so no over-fetch is needed.
+    language, source_key, token_count) and what ``filters`` looks at; ``points``
+    hold their vectors; ``queries`` are (query_id, text, language, embedding).
+    Filtered passages (F2) and confirmed duplicates (J6) go before either leg
+    ranks, so no over-fetch is needed, and a query's language is compared before
+    anything is scored.
     """
     m = MODES[mode]
-    if hidden is not None:
-        documents = documents.join(hidden.select("doc_id"), "doc_id", "left_anti")
+    if filters is not None:
+        documents = documents.where(metadata_predicate(documents, filters))
+    if decisions is not None:
+        documents = without_confirmed_duplicates(documents, decisions)
     points = points.join(documents.select("doc_id", "language"), "doc_id")
     semantic = vectors.nearest_batch(points, queries.select("query_id", "embedding", "language"), m.leg_limit,
                                      match="language").drop("rn")
-    spoken = lexical.query_terms(queries, "query_id", F.col("text"), ["language"]).withColumnRenamed(
-        "language", "q_language")
-    scored = (lexical.scored(lexical.build_index(documents, carry=["language"]), spoken)
-              .where(F.col("language") == F.col("q_language")).select("query_id", "doc_id", "lexical_score"))
+    spoken = lexical.query_terms(queries, "query_id", F.col("text"), ["language"])
+    scored = lexical.scored(lexical.build_index(documents, carry=["language"]), spoken, same="language").select(
+        "query_id", "doc_id", "lexical_score")
     leg = ranking.top_per_group(scored, ["query_id"], [F.desc("lexical_score"), F.col("doc_id")], m.leg_limit)
-    both = semantic.join(leg.drop("rn"), ["query_id", "doc_id"], "full_outer")
+    # At most two legs of rows for each query, cut so that neither leg runs again below.
+    both = cut_lineage(semantic.join(leg.drop("rn"), ["query_id", "doc_id"], "full_outer"))
     return ranking.score_merged(both.join(documents, "doc_id"), ["query_id"]).withColumnRenamed("doc_id", "item")
 
 
 def hybrid_search(documents: DataFrame, points: DataFrame, queries: DataFrame, mode: str = "balanced",
-                  hidden: DataFrame | None = None) -> DataFrame:
+                  decisions: DataFrame | None = None, filters: MetadataFilter | None = None) -> DataFrame:
     """L3: fused candidates, diversified, cut and fitted to the context budget."""
     m = MODES[mode]
-    fused = fused_candidates(documents, points, queries, mode, hidden)
-    spread = ranking.diversify(fused, ["query_id"], "parent_id", [F.desc("final_score"), F.col("item")])
+    fused = fused_candidates(documents, points, queries, mode, decisions, filters)
+    ordered = ranking.diversify(fused, ["query_id"], "parent_id", [F.desc("final_score"), F.col("item")])
     # A few rows per query, read twice below; without the cut both legs would run twice.
-    cut = cut_lineage(spread.where(F.col("position") <= m.final_limit))
+    cut = cut_lineage(ordered.where(F.col("position") <= m.final_limit))
     return ranking.fit_skipping(cut, ["query_id"], "position", "token_count", m.context_token_budget, m.final_limit)
 
 

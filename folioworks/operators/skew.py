@@ -52,3 +52,18 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], b
     return (local.join(offsets, [*keys, "_bucket"])
             .withColumn(name, F.col("_before") + F.col("_inside"))
             .drop("_bucket", "_value", "_inside", "_before"))
+
+
+def overall_total(df: DataFrame, order: Sequence[str], value: Column, name: str, bucket_rows: int = 65_536) -> DataFrame:
+    """Cumulative ``value`` over a whole table along the columns ``order``, which must be a key of it.
+
+    The table is cut into ranges of about ``bucket_rows`` rows, whatever its ids
+    look like, and stored, so that a row stays in its range when a task is
+    repeated.  One row per range is accumulated over the table.
+    """
+    stored = cut_lineage(df.withColumn("_value", value))
+    parts = max(1, -(-stored.count() // bucket_rows))
+    ranged = cut_lineage(stored.repartitionByRange(parts, *order).withColumn("_bucket", F.spark_partition_id()))
+    total = running_total(ranged.withColumn("_all", F.lit(0)), ["_all"], [F.col(c) for c in order], F.col("_bucket"),
+                          F.col("_value"), name)
+    return total.drop("_all")

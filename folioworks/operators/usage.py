@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioworks import config
-from folioworks.operators.skew import running_total
+from folioworks.operators.skew import join_group_facts, overall_total
+from folioworks.session import cut_lineage
 
 
 def embedding_cost(tokens: Column) -> Column:
@@ -53,8 +54,11 @@ def indexing_estimate(chunks: DataFrame, records: DataFrame, cache: DataFrame) -
     neither can fan out.
     """
     done = records.select("chunk_id", "text_hash").distinct().withColumn("_done", F.lit(True))
-    stored = cache.select("text_hash").distinct().withColumn("_stored", F.lit(True))
-    judged = chunks.join(done, ["chunk_id", "text_hash"], "left").join(stored, "text_hash", "left")
+    # Passages that share a hash may be many; each hash is looked up once and joined back as a group.
+    hashes = chunks.groupBy("text_hash").agg(F.count("*").alias("_size"))
+    stored = hashes.join(cache.select("text_hash").distinct().withColumn("_stored", F.lit(True)), "text_hash", "left")
+    judged = join_group_facts(chunks.where("text_hash IS NOT NULL"), stored, ["text_hash"], "_size").unionByName(
+        chunks.where("text_hash IS NULL"), allowMissingColumns=True).join(done, ["chunk_id", "text_hash"], "left")
     skipped = F.coalesce("_done", F.lit(False))
     cached = ~skipped & F.coalesce("_stored", F.lit(False))
     fresh = ~skipped & ~F.coalesce("_stored", F.lit(False))
@@ -66,17 +70,29 @@ def indexing_estimate(chunks: DataFrame, records: DataFrame, cache: DataFrame) -
 
 
 def embedding_plan(chunks: DataFrame, daily_limit: int, batch_size: int = config.EMBEDDING_BATCH,
-                   bucket_rows: int = 65_536) -> DataFrame:
+                   cache: DataFrame | None = None, used_today: Column | int = 0, bucket_rows: int = 65_536) -> DataFrame:
     """Batches of ``batch_size`` per document and whether the day's budget still admits each.
 
-    A batch runs while the running token total up to it stays within the limit;
-    the first one that does not pauses the rest.  The total is accumulated in
-    two levels, so no task sees all batches.
+    Only passages without a stored vector cost tokens: those whose hash is
+    neither in ``cache`` nor in an earlier batch.  A batch runs while the tokens
+    ``used_today`` and the running total up to it stay within the limit; the
+    first one that does not pauses the rest.
     """
-    batches = (chunks.withColumn("batch", F.floor(F.col("chunk_index") / batch_size))
-               .groupBy("doc_id", "batch")
-               .agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens")))
-    ordered = running_total(
-        batches.withColumn("_all", F.lit(0)), ["_all"], [F.col("doc_id"), F.col("batch")],
-        F.floor(F.col("doc_id") / bucket_rows), F.col("tokens"), "total_tokens").drop("_all")
-    return ordered.withColumn("admitted", F.col("total_tokens") <= daily_limit)
+    own = F.concat_ws("-", F.lit("none"), "doc_id", "chunk_index")  # a passage without a hash shares it with nothing
+    placed = cut_lineage(chunks.select("doc_id", F.floor(F.col("chunk_index") / batch_size).alias("batch"),
+                                       F.coalesce("text_hash", own).alias("text_hash"), "token_count"))
+    # One row for every hash, however many passages share it.
+    first = placed.groupBy("text_hash").agg(F.min(F.struct("doc_id", "batch")).alias("_first"), F.count("*").alias("_size"))
+    if cache is not None:
+        known = cache.select("text_hash").distinct().withColumn("_stored", F.lit(True))
+        first = first.join(known, "text_hash", "left")
+    else:
+        first = first.withColumn("_stored", F.lit(None).cast("boolean"))
+    judged = join_group_facts(placed, first, ["text_hash"], "_size")
+    fresh = F.col("_stored").isNull() & (F.col("_first") == F.struct("doc_id", "batch"))
+    batches = judged.groupBy("doc_id", "batch").agg(
+        F.count("*").alias("chunks"), F.count_if(~fresh).alias("cached"),
+        F.coalesce(F.sum(F.when(fresh, F.col("token_count"))), F.lit(0)).cast("bigint").alias("tokens"))
+    ordered = overall_total(batches, ["doc_id", "batch"], F.col("tokens"), "total_tokens", bucket_rows)
+    used = used_today if isinstance(used_today, Column) else F.lit(used_today)
+    return ordered.withColumn("admitted", used + F.col("total_tokens") <= daily_limit)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioworks.operators.ranking import top_per_group
 
-MAX_BROADCAST_QUERIES = 4096
+#: Rows of a tile and of a block; together they bound what a task of the batch search holds.
+TILE_POINTS, BLOCK_QUERIES = 8192, 1024
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -31,69 +32,56 @@ def centroid(points: DataFrame, vector: str = "embedding") -> Column:
 
 
 def nearest_batch(points: DataFrame, queries: DataFrame, k: int, match: str | None = None) -> DataFrame:
-    """O3 for many queries: exact search, each task sends on at most ``k`` points per query.
+    """O3 for many queries: exact search over tiles of points and blocks of queries.
 
     ``points`` has (doc_id, embedding), ``queries`` has (query_id, embedding);
     with ``match`` both carry that column and only equal values are compared.
-    The query matrix is shipped to the tasks in slices of a fixed size, so the
-    driver and the tasks never hold more than one slice.
+    A tile meets every block once, as a pair of shuffled groups of bounded size,
+    and hands on its ``k`` best points for each query.  Neither side passes
+    through the driver.  Vectors that are null, zero or not finite take no part.
     """
-    spark = points.sparkSession
-    columns = ["doc_id", "embedding"] + ([match] if match else [])
-    result = None
-    for rows in _slices(queries):
-        shipped = spark.sparkContext.broadcast((
-            np.array([r["query_id"] for r in rows]),
-            np.array([r["embedding"] for r in rows], dtype=np.float64),
-            np.array([r[match] for r in rows], dtype=object) if match else None))
-        scored = points.select(*columns).mapInPandas(_scorer(shipped, k, match),
-                                                     "query_id long, doc_id long, semantic_score double")
-        result = scored if result is None else result.unionByName(scored)
-    return top_per_group(result, ["query_id"], [F.desc("semantic_score"), F.col("doc_id")], k)
-
-
-def _slices(queries: DataFrame):
-    """Query rows in lists of at most ``MAX_BROADCAST_QUERIES``; usually one list."""
-    rows = queries.limit(MAX_BROADCAST_QUERIES + 1).collect()
-    if len(rows) <= MAX_BROADCAST_QUERIES:
-        yield rows
-        return
-    count = -(-queries.count() // (MAX_BROADCAST_QUERIES // 2))
-    for number in range(count):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == number)
-        rows = part.limit(MAX_BROADCAST_QUERIES + 1).collect()
-        if len(rows) > MAX_BROADCAST_QUERIES:
-            raise ValueError("query ids are not unique")
-        yield rows
-
-
-def _scorer(shipped, k: int, match: str | None):
-    def score(batches):
-        ids, matrix, labels = shipped.value
-        if not len(ids):
-            return
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            block = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            block /= np.linalg.norm(block, axis=1, keepdims=True)
-            scores = matrix @ block.T
-            if match:
-                same = labels[:, None] == batch[match].to_numpy(dtype=object)[None, :]
-                scores = np.where(same, scores, -np.inf)
-            docs = batch["doc_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(docs, scores.shape), -scores), axis=1)[:, :k]
-            found = pd.DataFrame({
-                "query_id": np.repeat(ids, order.shape[1]), "doc_id": docs[order].ravel(),
-                "semantic_score": np.take_along_axis(scores, order, axis=1).ravel()})
-            found = found[np.isfinite(found["semantic_score"])]
-            best = found if best is None else pd.concat([best, found])
-            best = (best.sort_values(["query_id", "semantic_score", "doc_id"], ascending=[True, False, True])
-                    .groupby("query_id", sort=False).head(k))
-        if best is not None:
-            yield best
-
-    return score
+    keys = ["tile", "block"] + (["match"] if match else [])
+    tiles, blocks = -(-points.count() // TILE_POINTS) or 1, -(-queries.count() // BLOCK_QUERIES) or 1
+    dealt = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts).cast("bigint"))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        # New names for all columns: both sides may come from the same table.
+        equal = [F.col(match).alias("match")] if match else []
+        return df.where("embedding IS NOT NULL").select(F.col(name).alias("id"), F.col("embedding").alias("vector"), *equal)
+
+    left = rows(points, "doc_id").withColumn("tile", dealt("id", tiles)).withColumn("block", every(blocks))
+    right = rows(queries, "query_id").withColumn("block", dealt("id", blocks)).withColumn("tile", every(tiles))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_tile_search(k), "query_id long, doc_id long, semantic_score double")
+    return top_per_group(found, ["query_id"], [F.desc("semantic_score"), F.col("doc_id")], k)
+
+
+def _unit_rows(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows that have a direction."""
+    if not len(frame):
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    matrix = np.stack(frame["vector"].to_numpy()).astype(np.float64)
+    norms = np.linalg.norm(matrix, axis=1)
+    good = np.isfinite(norms) & (norms > 0)
+    return frame["id"].to_numpy()[good], matrix[good] / norms[good, None]
+
+
+def _tile_search(k: int):
+    def search(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        docs, matrix = _unit_rows(points)
+        ids, asked = _unit_rows(queries)
+        parts = []
+        if len(docs) and len(ids):
+            scores = asked @ matrix.T
+            take = min(k, len(docs))
+            least = np.partition(scores, len(docs) - take, axis=1)[:, len(docs) - take]
+            for query, row, bound in zip(ids, scores, least):
+                near = np.flatnonzero(row >= bound)  # ties at the bound are settled by the id
+                near = near[np.lexsort((docs[near], -row[near]))[:take]]
+                parts.append(pd.DataFrame({"query_id": query, "doc_id": docs[near], "semantic_score": row[near]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "doc_id": [], "semantic_score": []})
+
+    return search
 
 
 def latest_points(points: DataFrame, key: str, version: str) -> DataFrame:

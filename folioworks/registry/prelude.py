@@ -96,6 +96,13 @@ notes AS (
   FROM (SELECT *, conv_id * 7 + turn AS k FROM conversations))
 """
 
+DECISIONS = r"""
+decisions AS (
+  SELECT doc_id AS duplicate_id, CASE WHEN toxic = 1 THEN 'exact_duplicate' WHEN quality = 0 THEN 'probable_duplicate' ELSE 'translation' END AS classification,
+    CASE WHEN doc_id % 4 = 0 THEN 'pending' ELSE 'confirmed' END AS review_status FROM labels),
+confirmed AS (SELECT DISTINCT duplicate_id FROM decisions WHERE review_status = 'confirmed' AND classification IN ('exact_duplicate', 'probable_duplicate'))
+"""
+
 # Exact copies of an earlier text (live ones come before deleted ones), with the confirmed verdict that hides them.
 DUPLICATES = r"""
 hidden AS (

@@ -7,25 +7,36 @@ from folioworks.functions import text as t, urls
 from folioworks.operators import catalog
 from folioworks.operators.filters import source_type_of
 from folioworks.registry import query
-from folioworks.registry.prelude import LIBRARY, NOTES, PARAGRAPHS, SOURCES, using
+from folioworks.registry.prelude import DECISIONS, LIBRARY, NOTES, PARAGRAPHS, SOURCES, using
 from folioworks.sources import library as lib
 
 STATUS_SQL = "CASE WHEN is_indexed THEN 'INDEXED' ELSE upper(coalesce(status, 'PENDING')) END"
 
 
-@query("document_listing", "P1 W1 O1 O11 J1 F13", using(LIBRARY, SOURCES) + f"""
-SELECT p.*, s.source_name, (SELECT count(*) FROM library WHERE deleted_s IS NULL
-    AND upper(coalesce(status, 'PENDING')) <> 'FAILED'
-    AND (title ILIKE '%the%' OR text ILIKE '%the%' OR coalesce(author, '') ILIKE '%the%')) AS total
+def _listing_sql(condition: str, offset: int) -> str:
+    chosen = f"""deleted_s IS NULL AND upper(coalesce(status, 'PENDING')) <> 'FAILED' AND doc_id NOT IN (SELECT duplicate_id FROM confirmed) AND {condition}"""
+    return using(LIBRARY, SOURCES, DECISIONS) + f"""
+SELECT p.*, s.source_name, (SELECT count(*) FROM library WHERE {chosen}) AS total
 FROM (SELECT doc_id, title, author, source_key, coalesce(meta_source_type, source_key) AS source_type, language,
     {STATUS_SQL} AS display_status, canonical_url, coalesce(meta_source_url, canonical_url) AS source_url,
     left(coalesce(text, ''), 360) AS excerpt, updated_s, coalesce(meta_is_seed, 'false') = 'true' AS seed
-  FROM library WHERE deleted_s IS NULL AND upper(coalesce(status, 'PENDING')) <> 'FAILED'
-    AND (title ILIKE '%the%' OR text ILIKE '%the%' OR coalesce(author, '') ILIKE '%the%')
+  FROM library WHERE {chosen}
   ORDER BY CASE WHEN coalesce(meta_is_seed, 'false') = 'true' THEN 1 ELSE 0 END, updated_s DESC, doc_id
-  LIMIT 30 OFFSET 10) p JOIN sources s USING (source_key)""")
+  LIMIT 30 OFFSET {offset}) p JOIN sources s USING (source_key)"""
+
+
+@query("document_listing", "P1 W1 O1 O11 J1 J5 F13",
+       _listing_sql("(title ILIKE '%the%' OR text ILIKE '%the%' OR coalesce(author, '') ILIKE '%the%')", 10))
 def document_listing(spark, d):
-    return catalog.list_documents(lib.documents(spark, d), lib.sources(spark, d), limit=30, offset=10, search="the")
+    return catalog.list_documents(lib.documents(spark, d), lib.sources(spark, d), limit=30, offset=10, search="the",
+                                  decisions=lib.decisions(spark, d))
+
+
+@query("documents_of_type", "P1 O1 J5 F8",
+       _listing_sql("(meta_source_type = 'discursosud' OR source_key = 'discursosud')", 0))
+def documents_of_type(spark, d):
+    return catalog.list_documents(lib.documents(spark, d), lib.sources(spark, d), source_type="discursosud",
+                                  decisions=lib.decisions(spark, d))
 
 
 @query("effective_type_and_status", "P2 P3 F8", using(LIBRARY) + f"""

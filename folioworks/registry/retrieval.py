@@ -1,12 +1,14 @@
 """Retrieval: textual search, lexical rank, vectors, fusion."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from folioworks.functions import text as t
 from folioworks.operators import catalog, chunking, lexical, ranking, search, study, vectors
 from folioworks.operators.filters import MetadataFilter
 from folioworks.registry import query
-from folioworks.registry.prelude import DUPLICATES, LIBRARY, NOTES, PARAGRAPHS, SOURCES, using
+from folioworks.registry.prelude import DECISIONS, DUPLICATES, LIBRARY, NOTES, PARAGRAPHS, SOURCES, using
 from folioworks.sources import library as lib
 
 _QUERY = "thin the, on that?"
@@ -130,19 +132,34 @@ def latest_vector_points(spark, d):
         "cell", F.col("vec_id").alias("doc_id"), F.size("embedding").cast("bigint").alias("dimensions"))
 
 
-_HYBRID_SQL = using(LIBRARY, _TERMS_SQL) + f""",
+def _fused_sql(condition: str = "true") -> str:
+    """Both legs over the passages that meet ``condition``, merged and scored as ``fused``."""
+    return using(LIBRARY, DECISIONS, _TERMS_SQL) + f""",
+open_docs AS (SELECT * FROM library l WHERE {condition}),
 asked AS (SELECT b.item_id AS query_id, e.embedding, l.language AS q_language FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id JOIN library l ON l.doc_id = b.item_id),
 sem AS (SELECT query_id, item, s FROM (SELECT a.query_id, p.vec_id AS item, {_COS.format(a='a.embedding', b='p.embedding')} AS s,
     row_number() OVER (PARTITION BY a.query_id ORDER BY {_COS.format(a='a.embedding', b='p.embedding')} DESC, p.vec_id) AS rn
-  FROM asked a JOIN embeddings p ON true JOIN library l ON l.doc_id = p.vec_id AND l.language = a.q_language) WHERE rn <= 32),
+  FROM asked a JOIN embeddings p ON true JOIN open_docs l ON l.doc_id = p.vec_id AND l.language = a.q_language) WHERE rn <= 32),
 lex AS (SELECT query_id, item, s FROM (SELECT r.query_id, r.doc_id AS item, r.score AS s, row_number() OVER (PARTITION BY r.query_id ORDER BY r.score DESC, r.doc_id) AS rn
-  FROM ranks r JOIN asked a USING (query_id) JOIN library l ON l.doc_id = r.doc_id AND l.language = a.q_language) WHERE rn <= 32),
+  FROM ranks r JOIN asked a USING (query_id) JOIN open_docs l ON l.doc_id = r.doc_id AND l.language = a.q_language) WHERE rn <= 32),
 merged AS (SELECT query_id, item, coalesce(sem.s, 0) AS ss, coalesce(lex.s, 0) AS ls FROM sem FULL JOIN lex USING (query_id, item)),
 scaled AS (SELECT query_id, item,
     CASE WHEN max(ss) OVER w = min(ss) OVER w THEN CASE WHEN ss > 0 THEN 1.0 ELSE 0.0 END ELSE (ss - min(ss) OVER w) / (max(ss) OVER w - min(ss) OVER w) END AS sn,
     CASE WHEN max(ls) OVER w = min(ls) OVER w THEN CASE WHEN ls > 0 THEN 1.0 ELSE 0.0 END ELSE (ls - min(ls) OVER w) / (max(ls) OVER w - min(ls) OVER w) END AS ln
-  FROM merged WINDOW w AS (PARTITION BY query_id))
-SELECT query_id, item, round(f, 5) AS final_score FROM (SELECT query_id, item, 0.52 * sn + 0.36 * ln + 0.03 AS f FROM scaled)"""
+  FROM merged WINDOW w AS (PARTITION BY query_id)),
+fused AS (SELECT query_id, item, 0.52 * sn + 0.36 * ln + 0.03 AS f FROM scaled)"""
+
+
+# Of a document three passages come before its others; then the best six are walked and those that no longer fit are skipped.
+_FITTED_SQL = r""",
+placed AS (SELECT query_id, item, f, row_number() OVER (PARTITION BY query_id ORDER BY nth > 3, f DESC, item) AS position
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item // 4 ORDER BY f DESC, item) AS nth FROM fused)),
+walk AS (SELECT p.*, len(regexp_extract_all(l.text, '[\p{L}\p{N}_]+|[^\t\n\f\r\x0B \p{L}\p{N}_]')) AS token_count, l.title, l.source_key, l.language, l.text
+  FROM placed p JOIN library l ON l.doc_id = p.item WHERE position <= 6),
+fold AS (SELECT query_id, position, token_count <= 4500 AS fits, CASE WHEN token_count <= 4500 THEN token_count ELSE 0 END AS used FROM walk WHERE position = 1
+  UNION ALL SELECT w.query_id, w.position, o.used + w.token_count <= 4500, o.used + CASE WHEN o.used + w.token_count <= 4500 THEN w.token_count ELSE 0 END
+  FROM fold o JOIN walk w ON w.query_id = o.query_id AND w.position = o.position + 1),
+fitted AS (SELECT w.* FROM walk w JOIN fold USING (query_id, position) WHERE fits)"""
 
 
 def _hybrid_inputs(spark, d):
@@ -153,23 +170,36 @@ def _hybrid_inputs(spark, d):
              .select(F.col("doc_id").alias("query_id"), "language", "embedding", F.col("q").alias("text")))
     passages = docs.select(
         "doc_id", (F.col("doc_id") / 4).cast("bigint").alias("parent_id"), "title", "author", "text", "language",
-        "source_key", t.token_count(F.col("text")).cast("bigint").alias("token_count"))
+        "source_key", "category", "tags", "published_on", t.token_count(F.col("text")).cast("bigint").alias("token_count"))
     return passages, points, asked
 
 
-@query("fused_candidates", "J14 W6 X51 L3", _HYBRID_SQL)
+@query("fused_candidates", "J14 W6 X51 L3", _fused_sql() + " SELECT query_id, item, round(f, 5) AS final_score FROM fused")
 def fused_candidates(spark, d):
     return search.fused_candidates(*_hybrid_inputs(spark, d), mode="low").select(
         "query_id", "item", F.round("final_score", 5).alias("final_score"))
 
 
-@query("hybrid_search", "L3 L5 W2 W3 J6 J13 J14 W6 X51")
+@query("filtered_candidates", "F2 F3 J6 J14 L3", _fused_sql("""l.category IN ('Talks', 'Discursos') AND l.published_on >= DATE '2001-01-01'
+  AND CAST(to_json(l.tags) AS VARCHAR) ILIKE '%faith%' AND l.doc_id NOT IN (SELECT duplicate_id FROM confirmed)""") + """
+SELECT query_id, item, round(f, 5) AS final_score FROM fused""")
+def filtered_candidates(spark, d):
+    wanted = MetadataFilter(categories=["Talks", "Discursos"], tags=["faith"], published_after=date(2001, 1, 1))
+    found = search.fused_candidates(*_hybrid_inputs(spark, d), mode="low", decisions=lib.decisions(spark, d), filters=wanted)
+    return found.select("query_id", "item", F.round("final_score", 5).alias("final_score"))
+
+
+@query("hybrid_search", "L3 L5 W2 W3 J13 J14 W6 X51", _fused_sql() + _FITTED_SQL + """
+SELECT query_id, item, position, token_count, round(f, 5) AS final_score FROM fitted""")
 def hybrid_search(spark, d):
     return search.hybrid_search(*_hybrid_inputs(spark, d), mode="low").select(
-        "query_id", "item", "position", "token_count", F.round("final_score", 5).alias("final_score"))
+        "query_id", "item", F.col("position").cast("bigint").alias("position"), "token_count", F.round("final_score", 5).alias("final_score"))
 
 
-@query("context_blocks", "P8 L5")
+@query("context_blocks", "P8 L5", _fused_sql() + _FITTED_SQL + """
+SELECT query_id, string_agg(concat_ws(chr(10), '[' || position || ']', 'Title: ' || title, 'Source: ' || coalesce(source_key, 'Unknown'),
+    'Language: ' || coalesce(language, 'unknown'), 'Text:', left(text, 2400)), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS context
+FROM fitted GROUP BY query_id""")
 def context_blocks(spark, d):
     return search.context_block(search.hybrid_search(*_hybrid_inputs(spark, d), mode="low"), 6)
 
@@ -201,7 +231,16 @@ def export_lines(spark, d):
     return study.export_lines(notes)
 
 
-@query("wrapped_lines", "S14")
+@query("wrapped_lines", "S14", using(NOTES) + r""",
+lines AS (SELECT note_id, generate_subscripts(parts, 1) AS n, unnest(parts) AS line FROM (SELECT note_id, string_split(content, chr(10)) AS parts FROM notes)),
+cut AS (SELECT note_id, n, flatten(list_transform(list_filter(string_split(regexp_replace(trim(regexp_replace(line, '[#>]', '', 'g')), '\s+', ' ', 'g'), ' '),
+  lambda w: w <> ''), lambda w: regexp_extract_all(w, '.{1,88}'))) AS words FROM lines),
+fill AS (SELECT note_id, n, 1 AS i, coalesce(words[1], '') AS held, NULL::VARCHAR AS full_line FROM cut
+  UNION ALL SELECT c.note_id, c.n, f.i + 1, CASE WHEN length(f.held) + 1 + length(words[f.i + 1]) <= 88 THEN f.held || ' ' || words[f.i + 1] ELSE words[f.i + 1] END,
+    CASE WHEN length(f.held) + 1 + length(words[f.i + 1]) > 88 THEN f.held END
+  FROM fill f JOIN cut c ON c.note_id = f.note_id AND c.n = f.n AND f.i < len(c.words))
+SELECT note_id, full_line AS line FROM fill WHERE full_line IS NOT NULL
+UNION ALL SELECT f.note_id, held FROM fill f JOIN cut c USING (note_id, n) WHERE f.i = greatest(len(c.words), 1)""")
 def wrapped_lines(spark, d):
     notes = lib.notes(spark, d).select("note_id", F.explode(F.split("content", "\n")).alias("line"))
     return notes.select("note_id", F.explode(study.wrap_lines(F.col("line"))).alias("line"))

@@ -166,3 +166,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("turn") % 3 == 1).alias("pinned"),
         F.when(F.col("conv_id") % 10 == 3, F.timestamp_seconds(F.lit(1735689600))).alias("deleted_at"),
     )
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored duplicate decisions, as the labelled documents stand in for them."""
+    label = table(spark, sf_dir, "labels")
+    return label.select(
+        F.col("doc_id").alias("duplicate_id"),
+        F.when(F.col("toxic") == 1, "exact_duplicate").when(F.col("quality") == 0, "probable_duplicate").otherwise("translation")
+        .alias("classification"),
+        F.when(F.col("doc_id") % 4 == 0, "pending").otherwise("confirmed").alias("review_status"))
