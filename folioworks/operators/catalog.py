@@ -8,6 +8,7 @@ from folioworks import fixed_values as fv
 from folioworks.functions.text import content_hash, normalize_title
 from folioworks.functions.urls import normalize_source_type
 from folioworks.operators.filters import resolve_column, seed_flag, source_match, source_type_of
+from folioworks.operators.ranking import top_per_group
 from folioworks.session import inline_table, spread, write_once
 
 
@@ -111,7 +112,7 @@ def list_documents(documents: DataFrame, sources: DataFrame, *, limit: int = 30,
     selection into a single task.
     """
     limit, offset = max(1, min(limit, 100)), max(0, offset)
-    rows = active(documents)
+    rows = active(spread(documents) if search else documents)
     if decisions is not None:
         rows = without_confirmed_duplicates(rows, decisions)
     if source_type:
@@ -180,3 +181,45 @@ def activity_metrics(events: DataFrame, until: Column) -> DataFrame:
         F.countDistinct(F.when(recent, F.col("user_id"))).alias("active_users"),
         F.count_if(F.col("kind") == "embedding").alias("embeddings"),
         F.count_if(F.col("status") != "ok").alias("failures"))
+
+
+def usage_dashboard(access: DataFrame, workspaces: DataFrame, citations: DataFrame, activity: DataFrame, feedback: DataFrame,
+                    documents: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """The ten counters of the administration page in one row; every table is read once and reduced to one row."""
+    live = F.col("deleted_at").isNull()
+    recent = F.col("updated_at") >= now - F.expr("INTERVAL 30 DAYS")
+    one_row = [
+        access.agg(F.count("*").alias("beta_users"), F.count_if(F.col("status") == "approved").alias("approved_users")),
+        workspaces.agg(F.countDistinct(F.when(recent, F.col("user_id"))).alias("active_users"),
+                       F.count_if(live).alias("workspaces_created")),
+        citations.agg(F.count_if(live & (F.col("kind") == "quote")).alias("saved_quotes"),
+                      F.count_if(live & (F.col("kind") == "post_it")).alias("post_its_created")),
+        activity.agg(F.count_if(F.col("kind") == "export").alias("exports")),
+        feedback.agg(F.count("*").alias("feedback")),
+        documents.agg(F.count_if("is_indexed").alias("documents_indexed")),
+        jobs.agg(F.count_if(F.lower("status").isin("failed", "error")).alias("recent_errors"))]
+    whole = one_row[0].withColumn("_row", F.lit(1))
+    for part in one_row[1:]:
+        whole = whole.join(part.withColumn("_row", F.lit(1)), "_row")
+    return whole.drop("_row")
+
+
+def document_detail(documents: DataFrame, sources: DataFrame, passages: DataFrame, tags: DataFrame, most: int = 200) -> DataFrame:
+    """Each document with its source, all its tags, the number of its passages and the first ``most`` of them.
+
+    Passages are ranked before they are gathered, so a record holds ``most`` of
+    them however long its document is; tags of a document are few.
+    """
+    counted = passages.groupBy("doc_id").agg(F.count("*").alias("chunks_available"))
+    shown = (top_per_group(passages, ["doc_id"], [F.col("chunk_index")], most).groupBy("doc_id")
+             .agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("chunks")))
+    related = tags.groupBy("doc_id").agg(F.array_sort(F.collect_set("tag")).alias("_related"))
+    rows = active(documents)
+    own = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+    added = F.coalesce(F.col("_related"), F.array().cast("array<string>"))
+    joined = (rows.join(sources.select("source_key", "source_name"), "source_key").join(counted, "doc_id", "left")
+              .join(shown, "doc_id", "left").join(related, "doc_id", "left"))
+    return joined.select(
+        "doc_id", "title", "author", "source_name", "language", "category", "canonical_url", display_status().alias("display_status"),
+        F.year("published_on").alias("year"), F.array_distinct(F.concat(own, added)).alias("tags"), "text",
+        F.coalesce("chunks_available", F.lit(0)).alias("chunks_available"), "chunks")

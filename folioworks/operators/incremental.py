@@ -237,3 +237,20 @@ def cache_hits(lookups: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
     kind = lookups.schema[key].dataType.simpleString()
     return ordered.mapInPandas(walk, f"{key} {kind}, second long, lookups long, miss boolean")
 
+
+
+def update_by_id_or_key(stored: DataFrame, patch: DataFrame, id_col: str, key_col: str, columns: Sequence[str]) -> DataFrame:
+    """``patch`` rows name their target by its id or by its key; columns that are not null are taken.
+
+    An OR in a join would test every pair, so ids and keys are joined one after
+    the other; a target named both ways takes the id's values first.  Targets
+    are unique within ``patch``.
+    """
+    def named(prefix: str, on: str) -> DataFrame:
+        return patch.select(F.col("target").alias(f"{prefix}{on}"), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+
+    by_id, by_key = named("_i_", id_col), named("_k_", key_col)
+    both = (stored.join(by_id, F.col(id_col).cast("string") == F.col(f"_i_{id_col}"), "left")
+            .join(by_key, F.col(key_col) == F.col(f"_k_{key_col}"), "left"))
+    changed = [F.coalesce(f"_i_{c}", f"_k_{c}", c).alias(c) if c in columns else F.col(c) for c in stored.columns]
+    return both.select(*changed)

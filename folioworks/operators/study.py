@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from folioworks import fixed_values as fv
 from folioworks.functions.text import either
@@ -262,3 +262,18 @@ def fallback_suggestions(projects: DataFrame, most: int) -> DataFrame:
     wanted = F.filter(base, lambda s: F.array_contains(F.col("block_types"), s["type"]))
     chosen = F.slice(F.when(F.size(wanted) > 0, wanted).otherwise(base), 1, most)
     return projects.select("*", F.posexplode(chosen).alias("place", "s")).select("*", "s.type", F.col("s.title").alias("heading")).drop("s")
+
+
+def source_filters(rows: DataFrame, deleted: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """The source filters that owners see in their workspaces, newest first; those named in ``deleted`` are gone."""
+    owners = workspaces.select("workspace_id", "user_id")
+    live = rows.where("deleted_at IS NULL").join(deleted.select("filter_id").distinct(), "filter_id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("workspace_id").orderBy(F.desc("updated_at"), "filter_id"))
+    return live.join(owners, ["workspace_id", "user_id"], "left_semi").withColumn("place", place)
+
+
+def feedback_page(feedback: DataFrame, changes: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest feedback after its status changes; the last change of an item counts."""
+    last = changes.groupBy("feedback_id").agg(F.max_by("status", F.struct("changed_at", "status")).alias("_status"))
+    return (feedback.join(last, "feedback_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+            .orderBy(F.desc("created_at"), "feedback_id").limit(min(max(limit, 1), 200)))

@@ -73,23 +73,24 @@ def embedding_plan(chunks: DataFrame, daily_limit: int, batch_size: int = config
                    cache: DataFrame | None = None, used_today: Column | int = 0, bucket_rows: int = 65_536) -> DataFrame:
     """Batches of ``batch_size`` per document and whether the day's budget still admits each.
 
-    Only passages without a stored vector cost tokens: those whose hash is
-    neither in ``cache`` nor in an earlier batch.  A batch runs while the tokens
-    ``used_today`` and the running total up to it stay within the limit; the
-    first one that does not pauses the rest.
+    With a ``cache`` only passages without a stored vector cost tokens: those
+    whose hash is neither there nor in an earlier batch, whose vectors the cache
+    holds by then.  Without one every passage is paid for.  A batch runs while
+    the tokens ``used_today`` and the running total up to it stay within the
+    limit; the first one that does not pauses the rest.
     """
     own = F.concat_ws("-", F.lit("none"), "doc_id", "chunk_index")  # a passage without a hash shares it with nothing
-    placed = cut_lineage(chunks.select("doc_id", F.floor(F.col("chunk_index") / batch_size).alias("batch"),
-                                       F.coalesce("text_hash", own).alias("text_hash"), "token_count"))
-    # One row for every hash, however many passages share it.
-    first = placed.groupBy("text_hash").agg(F.min(F.struct("doc_id", "batch")).alias("_first"), F.count("*").alias("_size"))
+    judged = chunks.select("doc_id", F.floor(F.col("chunk_index") / batch_size).alias("batch"),
+                           F.coalesce("text_hash", own).alias("text_hash"), "token_count")
+    fresh = F.lit(True)
     if cache is not None:
+        placed = cut_lineage(judged)
         known = cache.select("text_hash").distinct().withColumn("_stored", F.lit(True))
-        first = first.join(known, "text_hash", "left")
-    else:
-        first = first.withColumn("_stored", F.lit(None).cast("boolean"))
-    judged = join_group_facts(placed, first, ["text_hash"], "_size")
-    fresh = F.col("_stored").isNull() & (F.col("_first") == F.struct("doc_id", "batch"))
+        # One row for every hash, however many passages share it.
+        first = (placed.groupBy("text_hash").agg(F.min(F.struct("doc_id", "batch")).alias("_first"), F.count("*").alias("_size"))
+                 .join(known, "text_hash", "left"))
+        judged = join_group_facts(placed, first, ["text_hash"], "_size")
+        fresh = F.col("_stored").isNull() & (F.col("_first") == F.struct("doc_id", "batch"))
     batches = judged.groupBy("doc_id", "batch").agg(
         F.count("*").alias("chunks"), F.count_if(~fresh).alias("cached"),
         F.coalesce(F.sum(F.when(fresh, F.col("token_count"))), F.lit(0)).cast("bigint").alias("tokens"))

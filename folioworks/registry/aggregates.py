@@ -178,3 +178,23 @@ FROM library GROUP BY 1""")
 def counts_by_url_type(spark, d):
     return lib.documents(spark, d).groupBy(
         urls.source_type(F.col("source_key"), F.col("canonical_url")).alias("source_type")).agg(F.count("*").alias("n"))
+
+
+@query("usage_dashboard", "A13", using(LIBRARY, JOBS, USAGE, NOTES) + """,
+ws AS (SELECT workspace_id, min(user_id) AS user_id, max(updated_s) AS updated_s, max(deleted_s) AS deleted_s FROM notes GROUP BY 1)
+SELECT (SELECT count(*) FROM customer) AS beta_users, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS approved_users,
+  (SELECT count(DISTINCT user_id) FROM ws WHERE updated_s >= (SELECT max(updated_s) FROM notes) - 30 * 86400) AS active_users,
+  (SELECT count(*) FROM ws WHERE deleted_s IS NULL) AS workspaces_created,
+  (SELECT count(*) FROM notes WHERE deleted_s IS NULL AND NOT pinned) AS saved_quotes, (SELECT count(*) FROM notes WHERE deleted_s IS NULL AND pinned) AS post_its_created,
+  (SELECT count(*) FROM usage WHERE kind = 'rerank') AS exports, (SELECT count(*) FROM conversations WHERE role = 'user') AS feedback,
+  (SELECT count(*) FROM library WHERE is_indexed) AS documents_indexed, (SELECT count(*) FROM jobs WHERE lower(status) IN ('failed', 'error')) AS recent_errors""")
+def usage_dashboard(spark, d):
+    notes = lib.notes(spark, d)
+    spaces = notes.groupBy("workspace_id").agg(
+        F.min("user_id").alias("user_id"), F.max("updated_at").alias("updated_at"), F.max("deleted_at").alias("deleted_at"))
+    access = lib.table(spark, d, "customer").select(F.when(F.col("c_acctbal") > 0, "approved").otherwise("pending").alias("status"))
+    return catalog.usage_dashboard(
+        access, spaces, notes.withColumn("kind", F.when(F.col("pinned"), "post_it").otherwise("quote")),
+        lib.usage(spark, d).select(F.when(F.col("kind") == "rerank", "export").otherwise("other").alias("kind")),
+        lib.table(spark, d, "conversations").where("role = 'user'"), lib.documents(spark, d), lib.jobs(spark, d),
+        notes.agg(F.max("updated_at").alias("now")).scalar())

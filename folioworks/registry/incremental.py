@@ -65,7 +65,7 @@ def inserted_assets(spark, d):
     return inc.insert_absent(stored, assets, ["url"], F.col("page_id"))
 
 
-@query("upserted_sources", "I4 S9 S10", using(SOURCES) + """
+@query("upserted_sources", "I4 S9", using(SOURCES) + """
 SELECT source_key, source_name AS source_name, coalesce(rate_limit, 30) AS rate_limit, cfg_language AS language, true AS observed FROM sources
 UNION ALL SELECT k, n, r, l, false FROM (VALUES ('byu_speeches_es', 'BYU Speeches Espanol', 30, 'es'), ('byu_speeches', 'BYU Speeches English', 30, 'en'),
   ('discursos_sud', 'Discursos SUD', 20, 'es'), ('general_conference', 'Conferencia General', 20, 'es'), ('church_manuals', 'Manuales de la Iglesia', 20, 'es'),
@@ -124,7 +124,7 @@ def index_work(spark, d):
         "doc_id", "work", F.col("missing").cast("int").alias("missing"))
 
 
-@query("patched_orders", "R3 R4 R15 R17", """
+@query("patched_orders", "R3 R4", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS server_rev FROM orders""")
 def patched_orders(spark, d):
     orders = lib.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").withColumn("server_rev", F.lit(1))
@@ -217,9 +217,24 @@ def requeued_urls(spark, d):
         F.countDistinct(urls.canonical(F.col("canonical_url"))).alias("urls"))
 
 
-@query("prioritized_lookup", "R30 S10", using(LIBRARY) + """
+@query("prioritized_lookup", "R30", using(LIBRARY) + """
 SELECT source_key, doc_id FROM (SELECT source_key, doc_id, row_number() OVER (PARTITION BY source_key ORDER BY CASE WHEN coalesce(author, '') = 'José Núñez' THEN 0 ELSE 1 END, doc_id) AS rn FROM library) WHERE rn = 1""")
 def prioritized_lookup(spark, d):
     docs = lib.documents(spark, d).select("source_key", "doc_id", "author")
     exact = F.coalesce("author", F.lit("")) == "José Núñez"
     return inc.prioritized(docs, "source_key", exact, "doc_id").select("source_key", "doc_id")
+
+
+@query("sources_patched_by_id_or_key", "R17", using(SOURCES) + """
+SELECT source_key, CASE WHEN num % 2 = 0 OR num % 3 = 0 THEN false ELSE enabled END AS enabled,
+  CASE WHEN num % 2 = 0 THEN 10 + num WHEN num % 3 = 0 THEN 20 + num ELSE rate_limit END AS rate_limit
+FROM (SELECT *, CAST(substr(source_key, 4) AS INTEGER) AS num FROM sources)""")
+def sources_patched_by_id_or_key(spark, d):
+    num = F.substr("source_key", F.lit(4)).cast("int")
+    stored = lib.sources(spark, d).select(num.alias("source_id"), "source_key", "enabled", "rate_limit")
+    off = F.lit(False).alias("enabled")
+    patch = stored.where("source_id % 2 = 0").select(
+        F.col("source_id").cast("string").alias("target"), off, (F.lit(10) + F.col("source_id")).alias("rate_limit")).unionByName(
+        stored.where("source_id % 3 = 0").select(F.col("source_key").alias("target"), off, (F.lit(20) + F.col("source_id")).alias("rate_limit")))
+    return inc.update_by_id_or_key(stored, patch, "source_id", "source_key", ["enabled", "rate_limit"]).select(
+        "source_key", "enabled", "rate_limit")

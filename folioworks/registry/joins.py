@@ -7,6 +7,7 @@ from folioworks.operators import catalog
 from folioworks.operators.filters import ilike_any
 from folioworks.registry import query
 from folioworks.registry.prelude import DUPLICATES, JOBS, LIBRARY, NOTES, PARAGRAPHS, SOURCES, using
+from folioworks.registry.projections import STATUS_SQL
 from folioworks.sources import library as lib
 
 HASH_SQL = r"sha256(trim(regexp_replace(text, '\s+', ' ', 'g')))"
@@ -189,3 +190,19 @@ def segment_revenue(spark, d):
     return (per_customer.join(lib.table(spark, d, "customer"), "c_custkey").join(nation, "c_nationkey")
             .groupBy("c_mktsegment", "n_name")
             .agg(F.sum("orders").alias("orders"), F.sum("value").cast("double").alias("value")))
+
+
+@query("document_details", "R18 J11 J12", using(LIBRARY, SOURCES, PARAGRAPHS) + f"""
+SELECT l.doc_id, l.title, s.source_name, {STATUS_SQL} AS display_status, CAST(year(l.published_on) AS INTEGER) AS year,
+  array_to_string(list_concat(l.tags, CASE WHEN l.doc_id % 2 = 0 THEN ['extra'] ELSE [] END), '|') AS tags, sha256(l.text) AS text_hash,
+  coalesce(p.n, 0) AS chunks_available, coalesce(p.shown, '') AS chunks
+FROM library l JOIN sources s USING (source_key) LEFT JOIN (SELECT doc_id, count(*) AS n,
+    sha256(string_agg(chunk_text, chr(10) ORDER BY chunk_index) FILTER (WHERE rn <= 200)) AS shown
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS rn FROM paragraphs) GROUP BY 1) p ON p.doc_id = l.doc_id WHERE l.deleted_s IS NULL""")
+def document_details(spark, d):
+    docs = lib.documents(spark, d)
+    tags = docs.where("doc_id % 2 = 0").select("doc_id", F.explode(F.array(F.lit("Faith"), F.lit("extra"))).alias("tag"))
+    found = catalog.document_detail(docs, lib.sources(spark, d), lib.paragraphs(spark, d), tags)
+    shown = F.sha2(F.array_join(F.col("chunks.chunk_text"), "\n"), 256)
+    return found.select("doc_id", "title", "source_name", "display_status", "year", F.array_join("tags", "|").alias("tags"),
+                        F.sha2("text", 256).alias("text_hash"), "chunks_available", F.coalesce(shown, F.lit("")).alias("chunks"))

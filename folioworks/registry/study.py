@@ -18,7 +18,7 @@ def _workspaces(spark, d):
 _WORKSPACES = "ws AS (SELECT workspace_id, min(user_id) AS user_id, count(*) AS notes, min_by(role, turn) AS name, max(updated_s) AS updated_s FROM notes GROUP BY 1)"
 
 
-@query("workspace_quota", "R4 R5 R10", using(NOTES, _WORKSPACES) + """
+@query("workspace_quota", "R4", using(NOTES, _WORKSPACES) + """
 SELECT user_id, count(*) AS workspaces, count(*) < 6 AS may_create FROM ws GROUP BY user_id""")
 def workspace_quota(spark, d):
     return study.workspace_quota(_workspaces(spark, d), 6)
@@ -116,3 +116,25 @@ def edited_blocks(spark, d):
     notes = lib.notes(spark, d).select("note_id", "role").withColumn("server_rev", F.lit(5))
     patch = notes.where("note_id % 3 = 0").select("note_id", F.lit("edited").alias("role"))
     return inc.update_non_null(notes, patch, "note_id", ["role"])
+
+
+@query("workspace_source_filters", "R5", using(NOTES, _WORKSPACES) + """
+SELECT note_id AS filter_id, workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY updated_s DESC, note_id) AS place
+FROM notes n WHERE deleted_s IS NULL AND NOT (pinned AND note_id % 2 = 0)
+  AND EXISTS (SELECT 1 FROM ws WHERE ws.workspace_id = n.workspace_id AND ws.user_id = n.user_id)""")
+def workspace_source_filters(spark, d):
+    rows = lib.notes(spark, d).withColumnRenamed("note_id", "filter_id")
+    return study.source_filters(rows, rows.where("pinned AND filter_id % 2 = 0"), _workspaces(spark, d)).select(
+        "filter_id", "workspace_id", F.col("place").cast("bigint").alias("place"))
+
+
+@query("feedback_inbox", "R15", using(NOTES) + """
+SELECT note_id AS feedback_id, user_id, CASE WHEN turn % 2 = 0 THEN CASE WHEN pinned THEN 'closed' ELSE 'seen' END ELSE 'new' END AS status
+FROM notes ORDER BY updated_s DESC, note_id LIMIT 50""")
+def feedback_inbox(spark, d):
+    notes = lib.notes(spark, d)
+    feedback = notes.select(F.col("note_id").alias("feedback_id"), "user_id", F.lit("new").alias("status"), F.col("updated_at").alias("created_at"))
+    touched = notes.where("turn % 2 = 0").select(F.col("note_id").alias("feedback_id"), "pinned")
+    changes = touched.select("feedback_id", F.lit("seen").alias("status"), F.lit(1).alias("changed_at")).unionByName(
+        touched.where("pinned").select("feedback_id", F.lit("closed").alias("status"), F.lit(2).alias("changed_at")))
+    return study.feedback_page(feedback, changes).select("feedback_id", "user_id", "status")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from folioworks.config import MODES
-from folioworks.operators import chunking, duplicates as dup, lexical, pages, ranking, skew, vectors
+from folioworks.operators import chunking, duplicates as dup, lexical, pages, ranking, skew, usage, vectors
 from folioworks.sources import library as lib
 
 
@@ -73,19 +73,18 @@ def test_match_and_rank_against_brute_force(spark):
     assert all(abs(found[k] - expected[k]) < 1e-9 for k in expected)
 
 
-@pytest.mark.parametrize("most", [4096, 3])
-def test_nearest_batch_against_numpy(spark, monkeypatch, most):
-    monkeypatch.setattr(vectors, "MAX_BROADCAST_QUERIES", most)
+@pytest.mark.parametrize("tile, block", [(8192, 1024), (7, 2)])
+def test_nearest_batch_against_numpy(spark, monkeypatch, tile, block):
+    monkeypatch.setattr(vectors, "TILE_POINTS", tile)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", block)
     rng = np.random.default_rng(1)
     points, asked = rng.normal(size=(50, 8)), rng.normal(size=(5, 8))
     p = spark.createDataFrame([(i, [float(x) for x in v], "ab"[i % 2]) for i, v in enumerate(points)],
                               "doc_id long, embedding array<double>, lang string")
     q = spark.createDataFrame([(i, [float(x) for x in v], "ab"[i % 2]) for i, v in enumerate(asked)],
                               "query_id long, embedding array<double>, lang string")
-    try:
-        found = {(r.query_id, r.doc_id) for r in vectors.nearest_batch(p, q, 4, match="lang").collect()}
-    except ValueError:
-        pytest.skip("hash put more than a slice's worth of ids together")
+    odd = spark.createDataFrame([(90, [0.0] * 8, "a"), (91, None, "a"), (92, [float("nan")] * 8, "b")], p.schema)
+    found = {(r.query_id, r.doc_id) for r in vectors.nearest_batch(p.unionByName(odd), q, 4, match="lang").collect()}
     cos = (asked @ points.T) / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(points, axis=1)
     expected = set()
     for i in range(5):
@@ -223,3 +222,22 @@ def test_decisions_cover_every_group_member(spark, small):
     keyed = dup.blocks(dup.features(docs))
     members = keyed.join(dup.groups(keyed).select("rule", "key", F.col("c.doc_id").alias("c")), ["rule", "key"]).where("doc_id <> c")
     assert {r[0] for r in members.select("doc_id").distinct().collect()} == {r.duplicate_id for r in got.collect()}
+
+
+def test_embedding_plan_counts_a_hash_once(spark):
+    """Half of the passages share one hash; ids are sparse; only the first batch with it pays, and stored hashes cost nothing."""
+    rows = [(d * 1_000_003, i, "hot" if i % 2 else f"h{d}-{i}", 10) for d in range(40) for i in range(6)]
+    chunks = spark.createDataFrame(rows + [(5, 0, None, 10), (5, 1, None, 10)], "doc_id long, chunk_index int, text_hash string, token_count long")
+    cache = spark.createDataFrame([("h1-0",), ("h1-0",)], "text_hash string")
+    got = {(r.doc_id, r.batch): r for r in usage.embedding_plan(chunks, 700, 2, cache=cache, used_today=100, bucket_rows=16).collect()}
+    total, seen = 100, {"h1-0"}
+    for doc in sorted({r[0] for r in rows} | {5}):
+        for batch in range(3):
+            mine = [h for d, i, h, _ in rows if d == doc and i // 2 == batch] if doc != 5 else (["n0", "n1"] if batch == 0 else [])
+            if not mine:
+                continue
+            tokens = sum(10 for h in mine if h not in seen)
+            seen |= set(mine)
+            total += tokens
+            assert (got[doc, batch].tokens, got[doc, batch].admitted) == (tokens, total <= 700)
+    assert sum(r.chunks for r in got.values()) == len(rows) + 2
