@@ -198,10 +198,10 @@ def usage_dashboard(access: DataFrame, workspaces: DataFrame, citations: DataFra
         feedback.agg(F.count("*").alias("feedback")),
         documents.agg(F.count_if("is_indexed").alias("documents_indexed")),
         jobs.agg(F.count_if(F.lower("status").isin("failed", "error")).alias("recent_errors"))]
-    whole = one_row[0].withColumn("_row", F.lit(1))
+    rows = one_row[0]
     for part in one_row[1:]:
-        whole = whole.join(part.withColumn("_row", F.lit(1)), "_row")
-    return whole.drop("_row")
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def document_detail(documents: DataFrame, sources: DataFrame, passages: DataFrame, tags: DataFrame, most: int = 200) -> DataFrame:

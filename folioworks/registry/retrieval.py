@@ -180,11 +180,11 @@ def fused_candidates(spark, d):
         "query_id", "item", F.round("final_score", 5).alias("final_score"))
 
 
-@query("filtered_candidates", "F2 F3 J6 J14 L3", _fused_sql("""l.category IN ('Talks', 'Discursos') AND l.published_on >= DATE '2001-01-01'
+@query("filtered_candidates", "F2 F3 J6 J14 L3", _fused_sql("""l.category IN ('Talks', 'Discursos') AND l.published_on >= DATE '2000-03-01'
   AND CAST(to_json(l.tags) AS VARCHAR) ILIKE '%faith%' AND l.doc_id NOT IN (SELECT duplicate_id FROM confirmed)""") + """
 SELECT query_id, item, round(f, 5) AS final_score FROM fused""")
 def filtered_candidates(spark, d):
-    wanted = MetadataFilter(categories=["Talks", "Discursos"], tags=["faith"], published_after=date(2001, 1, 1))
+    wanted = MetadataFilter(categories=["Talks", "Discursos"], tags=["faith"], published_after=date(2000, 3, 1))
     found = search.fused_candidates(*_hybrid_inputs(spark, d), mode="low", decisions=lib.decisions(spark, d), filters=wanted)
     return found.select("query_id", "item", F.round("final_score", 5).alias("final_score"))
 
