@@ -6,8 +6,13 @@ dealt into blocks by their id.  A block tells which n-grams its documents hold;
 the distinct n-grams of all blocks are joined, order by order, with the count
 tables, which are sharded by n-gram; and each block gets the log probabilities
 of its own n-grams back, from which its documents' perplexities are summed up.
-A document is kept if its perplexity is at most the quantile of the trusted
-documents of its language.
+A document is kept if its perplexity is at most the limit of its language.
+
+The limit is calibrated where bad documents are named as well: one in three
+trusted documents is held out of the counts, and the limit is the step that
+best parts the held-out trusted documents from the bad ones, by the share of
+trusted documents kept less the share of bad ones kept.  Without named bad
+documents it is a quantile of the trusted ones.
 
 A text goes to its block in compressed batches.  Characters above U+FFFE are
 read as U+FFFD, so an n-gram is one 64-bit number of four 16-bit characters.
@@ -16,7 +21,9 @@ Defined cases: null, empty and blank texts have no perplexity and are not kept;
 a null language is a language of its own; a language without trusted documents
 takes the quantile over all; without any trusted text every text that is not
 blank is kept; repeated rows are judged each; rows without an id are judged too,
-but are not trusted.
+but are not trusted; a language with fewer than ten held-out or ten bad documents
+takes the distance from its held-out median that is calibrated over all, one with
+fewer than five held-out ones its quantile, and without ten of both all do.
 """
 
 from __future__ import annotations
@@ -39,6 +46,8 @@ BLOCK_CHARS = 16_000_000
 #: A batch of texts for one block is sent when it holds this many characters.
 SEND_CHARS, HOLD_CHARS = 1_000_000, 24_000_000
 QUANTILE = 0.99
+#: One in so many trusted documents is held out for the calibration; what it takes at least on either side.
+HELD_OUT, LEAST_CALIBRATED, LEAST_CENTRE = 3, 10, 5
 #: Log perplexities are counted in steps of this size for the quantiles.
 STEP = 1e-3
 SLICE = 1_000_000
@@ -232,13 +241,59 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     return sofar.where(F.col("upto") >= quantile * F.col("total")).groupBy("whole", "lang").agg(F.min("step").alias("limit"))
 
 
+def held_out(ids: DataFrame) -> DataFrame:
+    """The ids that the counts leave out: one in ``HELD_OUT`` by a hash."""
+    return ids.where(F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(HELD_OUT)) == 0)
+
+
+def calibrated(scored: DataFrame) -> DataFrame:
+    """(whole, lang, limit): the step that best parts what is held out from what is bad; whole is for all other languages.
+
+    ``scored`` has the marks ``held`` and ``bad``.  Steps are counted from the
+    median of the language's held-out documents, so that languages can be added
+    up.  Of equally good limits the middle one is taken.
+    """
+    step = F.floor(F.col("log_perplexity") / STEP)
+    usable = scored.where("(held OR bad) AND log_perplexity IS NOT NULL").select("lang", step.alias("step"), "held", "bad")
+    median = F.percentile_approx(F.when(F.col("held"), F.col("step")), 0.5).alias("centre")
+    centres = usable.groupBy("lang").agg(median, F.count_if("held").alias("n")).where(F.col("n") >= LEAST_CENTRE).select(F.col("lang").alias("of"), "centre")
+    middle = usable.agg(median).first()["centre"] or 0
+    counted = (usable.groupBy("lang", "step").agg(F.count_if("held").alias("good"), F.count_if("bad").alias("poor"))
+               .join(centres, F.col("lang").eqNullSafe(F.col("of"))).select("lang", (F.col("step") - F.col("centre")).alias("step"), "good", "poor"))
+    every = counted.groupBy("step").agg(F.sum("good").alias("good"), F.sum("poor").alias("poor"))
+    both = counted.select(F.lit(False).alias("whole"), "lang", "step", "good", "poor").union(
+        every.select(F.lit(True), F.lit(None).cast("string"), "step", "good", "poor"))
+    # Steps are few whatever the number of documents.
+    by = Window.partitionBy("whole", "lang")
+    so_far = by.orderBy("step")
+    sums = both.select("whole", "lang", "step", F.sum("good").over(so_far).alias("kept"), F.sum("poor").over(so_far).alias("missed"),
+                       F.sum("good").over(by).alias("goods"), F.sum("poor").over(by).alias("poors"), F.lead("step").over(so_far).alias("next"))
+    gain = F.col("kept") / F.col("goods") - F.col("missed") / F.col("poors")
+    enough = sums.where((F.col("goods") >= LEAST_CALIBRATED) & (F.col("poors") >= LEAST_CALIBRATED))
+    best = enough.groupBy("whole", "lang").agg(F.max(F.struct(gain, F.col("step"), F.col("next"))).alias("best"))
+    between = F.floor((F.col("best.step") + F.coalesce("best.next", F.col("best.step") + 1) - 1) / 2)
+    best = best.select("whole", "lang", between.alias("limit"))
+    whole = best.where("whole").first()
+    if whole is None:
+        return best
+    own = best.where("NOT whole").select("lang", "limit")
+    named = (centres.join(own, F.col("of").eqNullSafe(F.col("lang")), "left")
+             .select(F.lit(False).alias("whole"), F.col("of").alias("lang"), (F.col("centre") + F.coalesce("limit", F.lit(whole["limit"]))).alias("limit")))
+    return named.union(scored.sparkSession.range(1).select(F.lit(True), F.lit(None).cast("string"), F.lit(middle + whole["limit"]).cast("long")))
+
+
 def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-           quantile: float = QUANTILE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, lang, trusted, perplexity, threshold, keep) of every row; ``trusted`` has the trusted ids in column id."""
+           quantile: float = QUANTILE, block_chars: int = BLOCK_CHARS, bad: DataFrame | None = None) -> DataFrame:
+    """(id, lang, trusted, perplexity, threshold, keep) of every row.
+
+    ``trusted`` has the trusted ids in column id, and so has ``bad`` those of
+    documents that are to go, for the calibration.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     good = trusted.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id")).distinct()
     blocks = parts_for(source.agg(F.sum(F.length("text"))).first()[0] or 1, block_chars)
-    asked = write_once(block_grams(blocked(source, blocks), good, blocks), "kneser-asked")
+    out = held_out(good) if bad is not None else good.limit(0)
+    asked = write_once(block_grams(blocked(source, blocks), good.join(out, "id", "left_anti"), blocks), "kneser-asked")
     every = write_once(asked.groupBy("gram").agg(F.sum("n").alias("n")), "kneser-grams")
     tables = count_tables(every.where("n > 0"))
     known = write_once(log_probabilities(every.select("gram"), tables), "kneser-known")
@@ -246,6 +301,15 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     scored = write_once(perplexities(blocked(source, blocks), answers), "kneser-scored")
     scored = scored.join(good.withColumn("trusted", F.lit(True)), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     limits = thresholds(scored, quantile)
+    if bad is not None:
+        poor = bad.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id")).distinct().join(good, "id", "left_anti")
+        marks = (scored.join(out.withColumn("held", F.lit(True)), "id", "left").join(poor.withColumn("bad", F.lit(True)), "id", "left")
+                 .select("lang", "log_perplexity", F.coalesce("held", F.lit(False)).alias("held"), F.coalesce("bad", F.lit(False)).alias("bad")))
+        better = write_once(calibrated(marks), "kneser-limits")
+        # What is not calibrated keeps its quantile; AQE decides how these few rows are joined.
+        other = better.select(F.col("whole").alias("w"), F.col("lang").alias("l"), F.col("limit").alias("better"))
+        limits = (limits.join(other, (F.col("whole") == F.col("w")) & F.col("lang").eqNullSafe(F.col("l")), "left")
+                  .select("whole", "lang", F.coalesce("better", "limit").alias("limit")))
     own = limits.where("NOT whole").select(F.coalesce("lang", F.lit("")).alias("key"), F.col("lang").isNull().alias("no_lang"), F.col("limit").alias("own"))
     whole = limits.where("whole").first()
     # Languages of trusted documents; AQE decides how they are joined.

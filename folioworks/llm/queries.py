@@ -32,11 +32,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trusted are documents that are labelled good and not toxic, and never otherwise."""
+    """Trusted are documents that are labelled good and not toxic, and never otherwise; the other labelled ones are bad."""
     labels = table(spark, sf_dir, "labels")
-    trusted = (labels.groupBy(F.col("doc_id").alias("id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-               .where("good").select("id"))
-    found = kneser_ney.judged(table(spark, sf_dir, "documents"), trusted)
+    labelled = labels.groupBy(F.col("doc_id").alias("id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    found = kneser_ney.judged(table(spark, sf_dir, "documents"), labelled.where("good").select("id"),
+                              bad=labelled.where("NOT good").select("id"))
     return found.select(F.col("id").alias("doc_id"), "lang", "trusted", "perplexity", "threshold", "keep")
 
 

@@ -157,6 +157,23 @@ def test_no_trusted_text_keeps_all(spark, frame, awkward):
     assert kneser_ney.judged(frame([]), spark.createDataFrame([], "id long")).collect() == []
 
 
+def test_limit_is_calibrated_on_held_out_rows(spark):
+    """Bad documents below the largest trusted perplexities go, and few trusted ones with them."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60)]
+    rows = [(i, "en" if i % 4 else "fr", " ".join(rng.choice(words, 60))) for i in range(400)]
+    rows += [(i, "en" if i % 4 else "fr", " ".join([*rng.choice(words, 54), *("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(6))])) for i in range(400, 460)]
+    rows += [(i, "en" if i % 2 else "fr", " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60))) for i in range(460, 472)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    ids = lambda found: spark.createDataFrame([(i,) for i in found], "id long")
+    trusted = [*range(400), *range(460, 472)]  # 12 outliers are called trusted
+    got = {r.id: r.keep for r in kneser_ney.judged(docs, ids(trusted), bad=ids(range(400, 430))).collect()}
+    assert sum(got[i] for i in range(400)) >= 380
+    assert sum(got[i] for i in range(430, 460)) <= 3  # and so do those that nobody has named
+    loose = {r.id: r.keep for r in kneser_ney.judged(docs, ids(trusted)).collect()}
+    assert sum(loose[i] for i in range(430, 460)) > 20
+
+
 # --- vectors -------------------------------------------------------------------------------------------------------
 
 def awkward_vectors():
