@@ -21,7 +21,7 @@ so a row's samples do not depend on the rows around it.
 Defined cases: a null text is the empty text, whose one segmentation is the
 blank that the model puts in front; a text with fewer than k segmentations gives
 all it has, with score zero as log inclusion; characters without a piece are
-their bytes; runs of more than 40 characters without a blank are cut; a null key
+their bytes; a run without a blank is one word however long it is; a null key
 counts as zero; repeated rows give the same samples.
 """
 
@@ -40,13 +40,13 @@ from folioworks.llm.common import bounded_batches, per_process
 VOCABULARY = "piece_bpe_32k.model"
 K = 3
 BLANK = "▁"
-RUN = 40
+#: The longest words whose lattice is kept; that of a longer one is built with scaled masses, for its rows only.
+SHORT = 40
 #: Words whose lattice a worker remembers, and rows that are sampled at a time.
 REMEMBERED = 150_000
 GROUP_CHARS = 1_000_000
 #: No piece holds a Latin letter and one of these signs, so letters in front of such a sign are a word of their own.
-_WORD = re.compile(f"{BLANK}{{0,{RUN}}}+[A-Za-z\u00c0-\u024f]{{1,{RUN}}}+(?=[.,;:!?])|"
-                   f"{BLANK}{{0,{RUN}}}[^{BLANK}\n]{{1,{RUN}}}|{BLANK}{{1,{RUN}}}|\n")
+_WORD = re.compile(f"{BLANK}*+[A-Za-z\u00c0-\u024f]++(?=[.,;:!?])|{BLANK}*+[^{BLANK}\n]++|{BLANK}++|\n")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,6 +110,7 @@ class Lattices:
 
     def reset(self) -> None:
         self.start: dict[str, int] = {}
+        self.passing: list[str] = []  # long words, whose nodes and edges lie behind all others
         self.first = np.zeros(1, np.int64)
         self.upto, self.piece, self.next, self.prob = (np.zeros(0, kind) for kind in (np.float64, np.int32, np.int64, np.float64))
 
@@ -122,6 +123,23 @@ class Lattices:
             self.fallback[code] = self.bytes[raw[0]] if len(raw) == 1 else -len(self.spelt)
         return self.fallback[code]
 
+    def know(self, words: set[str]) -> None:
+        """Lattices of all ``words``; those of long ones are given up at the next call."""
+        if self.passing:
+            self.first = self.first[:self.lasting[0]]
+            for name in ("upto", "piece", "next", "prob"):
+                setattr(self, name, getattr(self, name)[:self.lasting[1]])
+            for word in self.passing:
+                del self.start[word]
+            self.passing = []
+        if len(self.start) > REMEMBERED:
+            self.reset()
+        fresh = [w for w in words if w not in self.start]
+        self.add([w for w in fresh if len(w) <= SHORT])
+        self.lasting = len(self.first), len(self.upto)
+        self.passing = [w for w in fresh if len(w) > SHORT]
+        self.add(self.passing)
+
     def add(self, words: list[str]) -> None:
         """The lattices of new words; the nodes of a word are its characters."""
         if not words:
@@ -151,13 +169,24 @@ class Lattices:
         cuts = np.searchsorted(left[node], np.arange(1, int(left.max()) + 2))
         ends = left[node] == length
         way, fresh = np.empty(len(node)), np.concatenate([[True], node[1:] != node[:-1]])
+        # The mass of a long word leaves the range of numbers, so nodes of long words have a power of two beside it.
+        scaled, power = int(sizes.max()) > SHORT, np.zeros(len(codes) + 1, np.int64)
         for low, high in zip(cuts[:-1], cuts[1:]):
             if low == high:
                 continue
-            way[low:high] = weight[low:high] * np.where(ends[low:high], 1.0, mass[node[low:high] + length[low:high]])
+            here, after, last = node[low:high], node[low:high] + length[low:high], ends[low:high]
+            way[low:high] = weight[low:high] * np.where(last, 1.0, mass[after])
             first = np.flatnonzero(fresh[low:high])
-            mass[node[low:high][first]] = np.add.reduceat(way[low:high], first)
-        prob = way / mass[node]
+            if scaled:
+                base = np.where(left[here] == 1, 0, power[here + 1])  # every character is an edge, so there is a next node
+                way[low:high] = np.ldexp(way[low:high], np.where(last, 0, power[after]) - base)
+                total = np.add.reduceat(way[low:high], first)
+                way[low:high] /= np.repeat(total, np.diff(np.append(first, high - low)))
+                mass[here[first]], more = np.frexp(total)
+                power[here[first]] = base[first] + more
+            else:
+                mass[here[first]] = np.add.reduceat(way[low:high], first)
+        prob = way if scaled else way / mass[node]
         order = np.lexsort((-prob, node))
         node, length, piece, prob, ends = node[order], length[order], piece[order], prob[order], ends[order]
         count = np.bincount(node, minlength=len(codes))
@@ -196,9 +225,12 @@ def _seeds(keys: np.ndarray, turn: int, use: int) -> np.ndarray:
 
 
 def _uniform(seeds: np.ndarray, place: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """A number in (0, 1) from a hash of a seed, a word's place and a step in it, of which a word has at most ``RUN`` + 1."""
+    """A number in (0, 1) from a hash of a seed, a word's place and a step in it; steps from 64 on are hashed once more."""
     with np.errstate(over="ignore"):
-        x = _mixed(seeds + (place * 64 + step).astype(np.uint64))
+        x = _mixed(seeds + (place * 64 + (step & 63)).astype(np.uint64))
+        far = np.flatnonzero(step > 63)
+        if len(far):
+            x[far] = _mixed(x[far] + (step[far] >> 6).astype(np.uint64))
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
 
 
@@ -212,10 +244,8 @@ class Sampler:
 
     def __init__(self, lattices: Lattices, texts: list[str], keys: list[int], k: int):
         words = [words_of(t) for t in texts]
-        if len(lattices.start) > REMEMBERED:
-            lattices.reset()
         every = [w for row in words for w in row]
-        lattices.add(list({w for w in every if w not in lattices.start}))
+        lattices.know(set(every))
         self.first = np.fromiter(map(lattices.start.__getitem__, every), np.int64, len(every))
         self.edge_of, self.upto, self.piece, self.next, self.prob = lattices.first, lattices.upto, lattices.piece, lattices.next, lattices.prob
         self.offset = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)

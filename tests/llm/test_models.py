@@ -74,6 +74,38 @@ def test_samples_follow_the_model(lattices):
             assert sum(1 / s for s in scores[ids]) / n == pytest.approx(1, abs=0.15)
 
 
+@pytest.mark.parametrize("text", ["a-host_of/" + "internationalization" * 20, "Zm9yZXZlcg/+" * 60, "日本語then" * 50])
+def test_long_runs_are_one_lattice(lattices, text):
+    """Log probabilities against the mass of all segmentations of the whole run, added up in logarithms."""
+    words = piece_sampling.words_of(text)
+    assert len(words) == 1 and len(words[0]) == len(text) + 1
+    word, mass = words[0], [0.0]
+    for j in range(1, len(words[0]) + 1):
+        ways = [mass[i] + math.log(lattices.weight[word[i:j]][1]) for i in range(max(0, j - 16), j) if word[i:j] in lattices.weight]
+        ways += [mass[j - 1] + math.log(lattices.rare)] if word[j - 1] not in lattices.weight else []
+        mass.append(float(np.logaddexp.reduce(ways)))
+    log_weight = {piece: math.log(w) for piece, w in lattices.weight.values()}
+    starts = set()
+    for key in range(40):
+        sampler = piece_sampling.Sampler(lattices, ["then in", text, "no"], [1, key, 2], 3)
+        found = sampler.run()[1]
+        assert len({sampler.ids(edges) for edges, *_ in found}) == 3
+        for edges, logp, *_ in found:
+            want = sum(log_weight.get(int(p), math.log(lattices.rare)) if p >= 0 else math.log(lattices.rare) for p in sampler.piece[edges])
+            assert logp == pytest.approx(want - mass[-1], rel=1e-7, abs=1e-7)
+            starts |= {int(sampler.next[e] - sampler.first[1]) for e in edges}
+    assert max(starts) > 64
+    assert len(lattices.passing) == 1 and len(lattices.start) < piece_sampling.REMEMBERED
+    piece_sampling.Sampler(lattices, ["then in"], [1], 1)
+    assert word not in lattices.start
+
+
+def test_no_step_of_a_long_word_repeats_a_number():
+    seeds = np.full(4000, 77, np.uint64)
+    place, step = np.divmod(np.arange(4000), 2000)
+    assert len(set(piece_sampling._uniform(seeds, place, step))) == 4000
+
+
 def test_sampling_awkward(frame, awkward):
     rows = awkward + [(40, "twice upon a time"), (41, "twice upon a time")]
     got = piece_sampling.sampled(frame(rows)).collect()
