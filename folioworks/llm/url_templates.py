@@ -24,8 +24,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioworks.session import cut_lineage, write_once
 
-#: Segments that are branches of the tree; those behind are one wildcard.
-DEPTH = 6
 #: How many standard errors a branch differs from its siblings at least to stay, and its least labelled pages.
 DIFFERENT, LEAST_LABELLED = 2.58, 5
 #: Labelled pages that the smoothing counts as.
@@ -56,9 +54,8 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def form_of(path: Column) -> Column:
-    """The segments of a path with digits as wildcards; those behind ``DEPTH`` are one."""
-    segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", ANY))
-    return F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit(ANY + ANY)))).otherwise(segments)
+    """The segments of a path with digits as wildcards."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", ANY))
 
 
 def _rate(good: Column, n: Column, prior: Column) -> Column:
@@ -66,9 +63,15 @@ def _rate(good: Column, n: Column, prior: Column) -> Column:
 
 
 def merged_templates(forms: DataFrame) -> DataFrame:
-    """(host, form, template) for each row of ``forms``: (host, form array, good, labelled)."""
+    """(host, form, good, labelled, template) for each row of ``forms``: (host, form array, good, labelled).
+
+    Goes on level by level to the deepest form; forms that end leave the tree at
+    the next cut, so a few deep paths do not keep all others in it.
+    """
     tree = forms.withColumn("template", F.array().cast("array<string>"))
-    for level in range(DEPTH):
+    ended = []
+    deepest = forms.agg(F.max(F.size("form"))).first()[0] or 0
+    for level in range(deepest):
         here = tree.withColumn("segment", F.get("form", F.lit(level)))
         branches = here.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(
             F.sum("good").alias("g"), F.sum("labelled").alias("n"))
@@ -86,6 +89,10 @@ def merged_templates(forms: DataFrame) -> DataFrame:
             .otherwise(F.concat("template", F.array(F.when(F.col("stays"), F.col("segment")).otherwise(F.lit(ANY))))).alias("template"))
         if level % 3 == 2:
             tree = cut_lineage(tree)
+            ended.append(tree.where(F.size("form") <= level + 1))
+            tree = tree.where(F.size("form") > level + 1)
+    for part in ended:
+        tree = tree.unionByName(part)
     return tree
 
 

@@ -364,6 +364,17 @@ def test_templates_merge_and_split(spark):
     assert {got[i].template for i in range(400, 460)} == {"/*/*"} and got[400].purity == pytest.approx(got[401].purity)
 
 
+def test_deep_paths_are_judged_to_their_end(spark):
+    pages = [(i, f"http://d.net/a/b/c/d/e/f/g/{'news' if i % 2 else 'spam'}/x/{i}") for i in range(200)] + [(200, "http://d.net/a"), (201, "http://d.net/a/b/c/d")]
+    labels = [(i, i % 2) for i in range(200)]
+    got = {r.id: r for r in url_templates.judged_pages(
+        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "key long, good int")).collect()}
+    assert len(got) == 202
+    assert {got[i].template.split("/")[8] for i in range(200)} == {"news", "spam"}
+    assert all(got[i].verdict == ("allow" if i % 2 else "block") and got[i].template.count("/") == 10 for i in range(200))
+    assert got[200].template == "/*" and got[201].template == "/*/*/*/*"
+
+
 def test_url_query_whole_table(spark, small):
     urls = {r.page_id: r.url for r in table(spark, small, "pages").collect()}
     got = queries.op7_url_filters(spark, small).collect()
