@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioworks.llm import (kneser_ney, languages, lines, packing, piece_sampling, secrets, simhash, url_templates, vector_dups,
-                            vector_tree)
+from folioworks.llm import (kneser_ney, languages, lines, packing, piece_sampling, secrets, simhash, token_links, url_templates, vector_dups,
+                            vector_tree, word_runs)
 from folioworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +101,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", (language_fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_links.linked(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("groups", "groups_sha256")
+
+
+def with_planted_period(doc_id: int | None, words: list[str]) -> list[str]:
+    """The words of every tenth document with a periodic end, as the checksum of its id says; a null id changes nothing."""
+    if doc_id is None or not words or (h := zlib.crc32(str(doc_id).encode())) % 10:
+        return words
+    n, g = len(words), h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    return words[:start] + [words[start + (i - start) % period] for i in range(start, n)]
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.collapsed(table(spark, sf_dir, "documents"), changed=with_planted_period)
+    spelt = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    # Runs come by start, then period, so the first of equal exponents is the one that is asked for.
+    beats = lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), beats)
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(spelt, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
 #: SQL for the queries that it can express.
 ORACLES: dict[str, str] = {
     "op6_line_dedup": r"""
