@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioworks.llm import (kneser_ney, languages, lines, packing, piece_sampling, secrets, simhash, token_links, url_templates, vector_dups,
-                            vector_tree, word_runs)
+from folioworks.llm import (kneser_ney, languages, lines, packing, piece_sampling, secrets, simhash, token_links, toxicity, url_templates,
+                            vector_dups, vector_tree, word_runs)
 from folioworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", (language_fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3, F.lit(1))
+    model = toxicity.learn(docs.where(fold != 1), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    score = F.col("toxicity")
+    return toxicity.scored(docs, model).select("doc_id", (fold == 1).alias("held_out"), score.alias("score"),
+                                               (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_links.linked(table(spark, sf_dir, "documents"), digest=True)
