@@ -359,7 +359,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     chosen = keyed.groupBy("key", "toxic").agg(F.min("id").alias("id")).select("id", "toxic").distinct()
     chosen = write_once(chosen, "toxicity-chosen")
     part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(PARTS)).cast("int")
-    return write_once(source.join(chosen, "id").select("text", "toxic", part.alias("part")), "toxicity-rows")
+    # The texts are dealt by id at every size; only the chosen ones are stored.
+    return write_once(source.join(chosen.hint("merge"), "id").select("text", "toxic", part.alias("part")), "toxicity-rows")
 
 
 #: Columns of counts: toxic and clean rows of each part.
