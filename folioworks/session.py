@@ -92,6 +92,13 @@ def write_once(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Delete the files of a table from ``write_once`` once nothing that is still to run reads it."""
+    for file in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core before a CPU-heavy step.
 
