@@ -30,6 +30,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -111,8 +112,8 @@ class Lattices:
     def reset(self) -> None:
         self.start: dict[str, int] = {}
         self.passing: list[str] = []  # long words, whose nodes and edges lie behind all others
-        self.first = np.zeros(1, np.int64)
-        self.upto, self.piece, self.next, self.prob = (np.zeros(0, kind) for kind in (np.float64, np.int32, np.int64, np.float64))
+        self.first = np.zeros(1, np.int32)
+        self.upto, self.piece, self.next, self.prob = (np.zeros(0, kind) for kind in (np.float64, np.int32, np.int32, np.float64))
 
     def _spell(self, code: int) -> int:
         """A character without a piece: its byte, or a number that stands for its bytes."""
@@ -164,7 +165,7 @@ class Lattices:
         node, length, piece, weight = (np.concatenate(x) for x in zip(*found))
         # Mass of the ways to the word's end, from its last character back.
         mass = np.ones(len(codes) + 1)
-        order = np.lexsort((node, left[node]))
+        order = np.argsort(left[node] << 40 | node << 8 | length)  # no two edges of a node are equally long
         node, length, piece, weight = node[order], length[order], piece[order], weight[order]
         cuts = np.searchsorted(left[node], np.arange(1, int(left.max()) + 2))
         ends = left[node] == length
@@ -187,7 +188,7 @@ class Lattices:
             else:
                 mass[here[first]] = np.add.reduceat(way[low:high], first)
         prob = way if scaled else way / mass[node]
-        order = np.lexsort((-prob, node))
+        order = _likeliest_first(node, prob)
         node, length, piece, prob, ends = node[order], length[order], piece[order], prob[order], ends[order]
         count = np.bincount(node, minlength=len(codes))
         begin = np.concatenate([[0], np.cumsum(count)])
@@ -195,12 +196,29 @@ class Lattices:
         upto = np.minimum(total[1:] - total[begin[node]], 1.0)
         upto[begin[1:] - 1] = 1.0
         nodes, edges = len(self.first) - 1, len(self.upto)
-        for name, new in (("upto", upto), ("piece", piece), ("next", np.where(ends, -1, nodes + node + length)), ("prob", prob)):
+        for name, new in (("upto", upto), ("piece", piece), ("next", np.where(ends, -1, nodes + node + length).astype(np.int32)), ("prob", prob)):
             setattr(self, name, np.concatenate([getattr(self, name), new]))
-        self.first = np.concatenate([self.first, edges + begin[1:]])
+        self.first = np.concatenate([self.first, (edges + begin[1:]).astype(np.int32)])  # REMEMBERED short words and one group's long ones
         self.start.update(zip(words, (nodes + np.cumsum(sizes) - sizes).tolist()))
 
 
+def _likeliest_first(node: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """The order by node, then falling probability, then place.
+
+    One number holds the node and the probability in single precision; where
+    that makes a tie the edges are ordered once more.
+    """
+    key = (node.astype(np.uint64) << np.uint64(32)) | (np.uint32(0xFFFFFFFF) - prob.astype(np.float32).view(np.uint32)).astype(np.uint64)
+    order = np.argsort(key)
+    sorted_ = key[order]
+    same = sorted_[1:] == sorted_[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+    if len(tied):
+        own = order[tied]
+        order[tied] = own[np.lexsort((own, -prob[own], node[own]))]
+    return order
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -239,6 +257,20 @@ def _cut_gumbel(place: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray
     return place - np.log(np.exp(np.minimum(place - top, 700.0)) - np.log(u))
 
 
+class _Path(NamedTuple):
+    """A settled path: the decisions of another one up to ``cut``, whose log probability is ``before``, and its own."""
+
+    parent: int
+    cut: int
+    before: float
+    value: float
+    words: np.ndarray
+    nodes: np.ndarray
+    steps: np.ndarray
+    edges: np.ndarray
+    sums: np.ndarray
+
+
 class Sampler:
     """Draws for many rows at once: each round settles the next path of every row that has one left."""
 
@@ -246,7 +278,7 @@ class Sampler:
         words = [words_of(t) for t in texts]
         every = [w for row in words for w in row]
         lattices.know(set(every))
-        self.first = np.fromiter(map(lattices.start.__getitem__, every), np.int64, len(every))
+        self.first = np.fromiter(map(lattices.start.__getitem__, every), np.int32, len(every))
         self.edge_of, self.upto, self.piece, self.next, self.prob = lattices.first, lattices.upto, lattices.piece, lattices.next, lattices.prob
         self.offset = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         self.row = np.repeat(np.arange(len(texts)), np.diff(self.offset))
@@ -281,86 +313,96 @@ class Sampler:
     def run(self) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each row (edges, log probability, perturbed value, log inclusion score), best first."""
         rows = len(self.offset) - 1
-        paths: list[list[tuple]] = [[] for _ in range(rows)]
-        queues: list[list[tuple]] = [[] for _ in range(rows)]
+        self.paths: list[list[_Path]] = [[] for _ in range(rows)]
+        self.queues: list[list[tuple]] = [[] for _ in range(rows)]
         self._start(0)
         none = np.zeros(rows, np.int64)
         top = -np.log(-np.log(_uniform(self.seeds[1], none, none)))
         walked = self._walk(np.arange(len(self.first)), self.first.copy(), np.zeros(len(self.first), np.int64))
-        cuts = np.searchsorted(walked[0], self.offset)
-        for r in range(rows):
-            own = tuple(x[cuts[r]:cuts[r + 1]] for x in walked)
-            self._settle(r, own, 0, np.zeros(0), float(top[r]), (), paths, queues)
+        self._settle(range(rows), walked, np.searchsorted(walked[0], self.offset), [(-1, 0, 0.0, float(t), ()) for t in top])
         for turn in range(1, self.k):
             self._start(turn)
-            todo, at, node, step = [], [], [], []
+            taken, heads, at, node, step = [], [], [], [], []
             for r in range(rows):
-                if not queues[r]:
+                if not self.queues[r]:
                     continue
-                bound, source, place, used = heapq.heappop(queues[r])
-                prefix = paths[r][source][0]
-                edge = self._other(r, prefix, place, used)
-                word, here, depth = int(prefix[0][place]), int(prefix[1][place]), int(prefix[2][place])
-                todo.append((r, -bound, source, place, used, edge, word, here, depth))
+                bound, source, place, used = heapq.heappop(self.queues[r])
+                path = self.paths[r][source]
+                word, here, depth = int(path.words[place]), int(path.nodes[place]), int(path.steps[place])
+                edge = self._other(r, word, here, depth, used)
+                taken.append((r, (source, path.cut + place, float(path.sums[place - 1]) if place else path.before, -bound, used)))
+                heads.append((word, here, depth, edge))
                 after = int(self.next[edge])
                 if after >= 0:
                     at.append(np.array([word])), node.append(np.array([after])), step.append(np.array([depth + 1]))
                 later = np.arange(word + 1, self.offset[r + 1])
                 at.append(later), node.append(self.first[later]), step.append(np.zeros(len(later), np.int64))
-            if not todo:
+            if not taken:
                 break
             walked = self._walk(np.concatenate(at), np.concatenate(node), np.concatenate(step))
-            for r, bound, source, place, used, edge, word, here, depth in todo:
-                low, high = np.searchsorted(walked[0], [word, self.offset[r + 1]])
-                old = paths[r][source][0]
-                fresh = tuple(np.concatenate([o[:place], [x], w[low:high]]) for o, x, w in
-                              zip(old, (word, here, depth, edge), walked))
-                self._settle(r, fresh, place, paths[r][source][1][:place], bound, used, paths, queues)
-        return [self._scored(r, paths[r], queues[r]) for r in range(rows)]
-
-    def _other(self, r: int, prefix: tuple, place: int, used: tuple[int, ...]) -> int:
+            # Each row's new decisions: the edge taken instead, then what was walked from there on.
+            first = np.searchsorted(walked[0], [h[0] for h in heads])
+            joined = tuple(np.insert(w, first, h) for w, h in zip(walked, zip(*heads)))
+            cuts = np.append(first + np.arange(len(heads)), len(joined[0]))
+            self._settle([r for r, _ in taken], joined, cuts, [how for _, how in taken])
+        return [self._scored(r) for r in range(rows)]
+
+    def _other(self, r: int, word: int, node: int, step: int, used: tuple[int, ...]) -> int:
         """An edge of a node other than the used ones, by its probability."""
-        open_ = [e for e in self._edges(int(prefix[1][place])) if e not in used]
+        open_ = [e for e in self._edges(node) if e not in used]
         upto = np.cumsum(self.prob[open_])
-        u = float(_uniform(self.seeds[2][r:r + 1], prefix[0][place:place + 1] - self.offset[r], prefix[2][place:place + 1])[0])
+        u = float(_uniform(self.seeds[2][r:r + 1], np.array([word - self.offset[r]]), np.array([step]))[0])
         return open_[min(int(np.searchsorted(upto, u * upto[-1])), len(open_) - 1)]
 
-    def _settle(self, r, path, place, head, value, used, paths, queues) -> None:
-        """Record a path and put the nodes that split off from it, from decision ``place`` on, into the queue.
+    def _settle(self, rows, decisions: tuple[np.ndarray, ...], cuts: np.ndarray, how: list[tuple]) -> None:
+        """Record a path of each row and put the nodes that split off from its new decisions into the row's queue.
 
-        ``head`` has the summed log probabilities of the decisions before.
+        Row ``i`` has the decisions (word, node, step, edge) from ``cuts[i]`` on.
+        ``how`` says which path it shares the decisions before with, how many,
+        their log probability, the path's perturbed value and the edges that are
+        out at the first new decision.
         """
-        words, nodes, steps, edges = (x[place:] for x in path)
+        words, nodes, steps, edges = decisions
         p = self.prob[edges]
-        before = float(head[-1]) if len(head) else 0.0
-        sums = np.concatenate([head, before + np.cumsum(np.log(p))])
-        paths[r].append((path, sums, value))
-        rest = 1.0 - p  # exactly zero where there is no other edge
-        if used and len(nodes):  # at the first decision the edges that were used before are out as well
-            open_ = [e for e in self._edges(int(nodes[0])) if e not in used and e != edges[0]]
-            rest[0] = self.prob[open_].sum() if open_ else 0.0
+        logs, rest = np.log(p), 1.0 - p  # rest is exactly zero where there is no other edge
+        sums, prior = np.empty(len(p)), np.empty(len(p))
+        bounds_of = cuts.tolist()
+        for (_, _, before, _, used), low, high in zip(how, bounds_of, bounds_of[1:]):
+            if low == high:
+                continue
+            np.cumsum(logs[low:high], out=sums[low:high])
+            sums[low:high] += before
+            prior[low], prior[low + 1:high] = before, sums[low:high - 1]
+            if used:  # the edges that were used before are out as well
+                open_ = [e for e in self._edges(int(nodes[low])) if e not in used and e != edges[low]]
+                rest[low] = self.prob[open_].sum() if open_ else 0.0
         some = np.flatnonzero(rest > 0)
-        if not len(some):
-            return
-        prior = np.concatenate([[before], sums[place:-1]])[some]
-        u = _uniform(self.seeds[3][r:r + 1], words[some] - self.offset[r], steps[some])
-        bounds = _cut_gumbel(prior + np.log(rest[some]), value, u)
-        most = min(len(bounds), self.k)  # no more than this many can come up
-        for i in np.argpartition(-bounds, most - 1)[:most]:
-            at = int(some[i])
-            gone = (*(used if at == 0 else ()), int(edges[at]))
-            heapq.heappush(queues[r], (-float(bounds[i]), len(paths[r]) - 1, place + at, gone))
+        own = self.row[words[some]]
+        u = _uniform(self.seeds[3][own], self.place[words[some]], steps[some])
+        values = np.repeat([h[3] for h in how], np.diff(cuts))[some]
+        bounds = _cut_gumbel(prior[some] + np.log(rest[some]), values, u)
+        parts = np.searchsorted(some, cuts).tolist()
+        for r, (parent, cut, before, value, used), low, high, one, two in zip(rows, how, bounds_of, bounds_of[1:], parts, parts[1:]):
+            self.paths[r].append(_Path(parent, cut, before, value, words[low:high], nodes[low:high], steps[low:high], edges[low:high], sums[low:high]))
+            if one == two:
+                continue
+            most = min(two - one, self.k)  # no more than this many can come up
+            for i in np.argpartition(-bounds[one:two], most - 1)[:most].tolist():
+                place = int(some[one + i]) - low
+                gone = (*(used if place == 0 else ()), int(edges[low + place]))
+                heapq.heappush(self.queues[r], (-float(bounds[one + i]), len(self.paths[r]) - 1, place, gone))
 
     def _edges(self, node: int) -> range:
         return range(int(self.edge_of[node]), int(self.edge_of[node + 1]))
 
-    def _scored(self, r: int, paths: list[tuple], queue: list[tuple]) -> list[tuple[np.ndarray, float, float, float]]:
-        bound = -queue[0][0] if queue else None
-        out = []
-        for path, sums, value in paths[:self.k]:
-            logp = float(sums[-1]) if len(sums) else 0.0
+    def _scored(self, r: int) -> list[tuple[np.ndarray, float, float, float]]:
+        bound = -self.queues[r][0][0] if self.queues[r] else None
+        out: list[tuple[np.ndarray, float, float, float]] = []
+        for path in self.paths[r][:self.k]:
+            logp = float(path.sums[-1]) if len(path.sums) else 0.0
             inclusion = 0.0 if bound is None else _log_inclusion(logp - bound)
-            out.append((path[3], logp, value, inclusion))
+            edges = path.edges if path.parent < 0 else np.concatenate([out[path.parent][0][:path.cut], path.edges])
+            out.append((edges, logp, path.value, inclusion))
         return out
 
     def ids(self, edges: np.ndarray) -> bytes:
