@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate, chain, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,94 +31,74 @@ PASSAGE_SEPARATORS = ("\n\n", ". ", "; ", ", ", " ")
 PASSAGE = "array<struct<section_title:string,start_char:int,end_char:int,token_count:int,text:string>>"
 
 
-class _Measured:
-    """A text whose token starts are found once; any span is then sized by bisection.
+#: A stretch that no empty line divides, from its first character that is not blank.
+_PARAGRAPH = re.compile(r"\S(?:(?!\n\n).)*", re.DOTALL)
+_NOT_BLANK = re.compile(r"\S")
 
-    Tokens never contain whitespace, so sizes of spans separated by whitespace
-    add up.
-    """
 
-    def __init__(self, text: str) -> None:
-        self.text = text
-        self.starts = [m.start() for m in _TOKEN.finditer(text)]
-
-    def size(self, start: int, end: int) -> int:
-        return bisect_left(self.starts, end) - bisect_left(self.starts, start)
-
-    def paragraphs(self) -> Iterator[tuple[int, int, int, str | None]]:
-        """(start, end, size, section) of every paragraph."""
-        section, at = None, 0
-        for raw in self.text.split("\n\n"):
-            block = raw.strip()
-            if block:
-                start = at + raw.index(block[0])
-                size = self.size(start, start + len(block))
-                if size <= HEADING_TOKENS and _HEADING.match(block):
-                    section = block.replace("#", "").strip()
-                yield start, start + len(block), size, section
-            at += len(raw) + 2
-
-    def sentences(self, start: int, end: int) -> Iterator[tuple[int, int, int]]:
-        at = start
-        for gap in _SENTENCE_END.finditer(self.text, start, end):
-            yield at, gap.start(), self.size(at, gap.start())
-            at = gap.end()
-        yield at, end, self.size(at, end)
-
-    def runs(self, start: int, end: int, target: int) -> Iterator[list[tuple[int, int, int]]]:
-        """Sentences of an oversize paragraph, grouped to about ``target`` tokens."""
-        run: list[tuple[int, int, int]] = []
-        for sentence in self.sentences(start, end):
-            if run and sum(s[2] for s in run) + sentence[2] > target:
-                yield run
-                run = []
-            run.append(sentence)
-        yield run
-
-    def passage(self, spans: list, joint: str, most: int, section: str | None) -> tuple:
-        """Spans joined into one passage, cut off after ``most`` tokens."""
-        size, end = sum(s[2] for s in spans), spans[-1][1]
-        pieces = [(s[0], s[1]) for s in spans]
-        if size > most:
-            cut = self.starts[bisect_left(self.starts, spans[0][0]) + most]
-            pieces = [(x, min(y, cut)) for x, y in pieces if x < cut]
-            size = most
-        body = joint.join(self.text[x:y] for x, y in pieces).strip()
-        return section, spans[0][0], end, size, body
+@dataclass
+class _Spans:
+    """Stretches of a text in order, with the number of tokens in front of each and behind the last one."""
 
-_NOT_BLANK = re.compile(r"\S")
+    starts: list[int]
+    ends: list[int]
+    before: list[int]
 
+    @classmethod
+    def of(cls, spans: list[tuple[int, int]], tokens: list[int]) -> _Spans:
+        sizes = [bisect_left(tokens, end) - bisect_left(tokens, start) for start, end in spans]
+        return cls([x for x, _ in spans], [y for _, y in spans], list(accumulate(sizes, initial=0)))
 
-def smart_passages(text: str, mode: CostMode) -> list[tuple]:
-    """Pack paragraphs up to the target, repeat a small tail, cut what is too long."""
-    source, out = _Measured(text), []
-    held: list[tuple[int, int, int, str | None]] = []
-    section = None
-    for start, end, size, heading in source.paragraphs():
-        if size > mode.chunk_max_tokens:
-            if held:
-                out.append(source.passage(held, "\n\n", mode.chunk_max_tokens, held[-1][3]))
-                held = []
-            out += [source.passage(run, " ", mode.chunk_max_tokens, section)
-                    for run in source.runs(start, end, mode.chunk_target_tokens)]
-            continue
-        if held and sum(h[2] for h in held) + size > mode.chunk_target_tokens:
-            out.append(source.passage(held, "\n\n", mode.chunk_max_tokens, held[-1][3]))
-            held = _tail(held, mode.chunk_overlap_tokens)
-        section = heading or section
-        held.append((start, end, size, section))
-    if held:
-        out.append(source.passage(held, "\n\n", mode.chunk_max_tokens, held[-1][3]))
-    return out
+    def size(self, i: int) -> int:
+        return self.before[i + 1] - self.before[i]
+
+    def windows(self, first: int, last: int, target: int, overlap: int | None) -> Iterator[tuple[int, int]]:
+        """Consecutive windows over the spans ``first`` to ``last``, each as long as ``target`` tokens allow.
 
+        A window has one span at least that no window had before; in front of it
+        are as many spans of the last window as ``overlap`` tokens allow.
+        """
+        begin = fresh = first
+        while fresh < last:
+            stop = min(last, max(fresh + 1, bisect_right(self.before, self.before[begin] + target) - 1))
+            yield begin, stop
+            begin = stop if overlap is None else max(begin, bisect_left(self.before, self.before[stop] - overlap))
+            fresh = stop
 
-def _tail(held: list, most: int) -> list:
-    """The longest run of closing paragraphs within ``most`` tokens."""
-    first, used = len(held), 0
-    while first and used + held[first - 1][2] <= most:
-        first -= 1
-        used += held[first][2]
-    return held[first:]
+    def text(self, text: str, tokens: list[int], begin: int, stop: int, joint: str, most: int) -> tuple[int, int, int, str]:
+        """(start, end, tokens, joined text) of a window; what goes beyond ``most`` tokens is cut off the text."""
+        size, limit = self.before[stop] - self.before[begin], self.ends[stop - 1]
+        if size > most:
+            limit = tokens[bisect_left(tokens, self.starts[begin]) + most]
+        parts = [text[x:min(y, limit)] for x, y in zip(self.starts[begin:stop], self.ends[begin:stop]) if x < limit]
+        return self.starts[begin], self.ends[stop - 1], min(size, most), joint.join(parts).strip()
+
+
+def smart_passages(text: str, mode: CostMode) -> list[tuple]:
+    """Windows over the paragraphs between oversize ones, and over the sentences of each oversize one.
+
+    A section is the last heading so far that has words.
+    """
+    tokens = [m.start() for m in _TOKEN.finditer(text)]
+    blocks = [(m.start(), m.start() + len(m[0].rstrip())) for m in _PARAGRAPH.finditer(text)]
+    paragraphs = _Spans.of(blocks, tokens)
+    heading = lambda i: paragraphs.size(i) <= HEADING_TOKENS and bool(_HEADING.match(text[slice(*blocks[i])]))
+    titles = [text[slice(*blocks[i])].replace("#", "").strip() or None if heading(i) else None for i in range(len(blocks))]
+    sections = list(accumulate(titles, lambda last, title: title if title is not None else last))
+    out = []
+    for oversize, run in groupby(range(len(blocks)), lambda i: paragraphs.size(i) > mode.chunk_max_tokens):
+        places = list(run)
+        if oversize:
+            for i in places:
+                gaps = [(m.start(), m.end()) for m in _SENTENCE_END.finditer(text, *blocks[i])]
+                edges = [blocks[i][0], *chain.from_iterable(gaps), blocks[i][1]]
+                sentences = _Spans.of(list(zip(edges[::2], edges[1::2])), tokens)
+                out += [(sections[i], *sentences.text(text, tokens, *window, " ", mode.chunk_max_tokens))
+                        for window in sentences.windows(0, len(gaps) + 1, mode.chunk_target_tokens, None)]
+        else:
+            out += [(sections[stop - 1], *paragraphs.text(text, tokens, begin, stop, "\n\n", mode.chunk_max_tokens)) for begin, stop in
+                    paragraphs.windows(places[0], places[-1] + 1, mode.chunk_target_tokens, mode.chunk_overlap_tokens)]
+    return out
 
 
 def fixed_passages(text: str) -> list[tuple]:
