@@ -1,21 +1,35 @@
-"""Full-text matching and cover-density ranking.
+"""Full-text matching and cover-density ranking over a stored positional index.
 
-A document is a list of lexemes with positions; the title is weighted A, the
+A document is a list of words with positions; the title is weighted A, the
 author or section B, the body C.  Matching means that every query lexeme occurs.
+
+The index is a table of postings (one row for a word of a document, with its
+places) in buckets by the word's hash, and a dictionary of the distinct words
+with their lexemes and the number of documents that hold them.  It is appended
+to in segments, merged, and kept between calls: ``open_index`` finds the index of
+a table whose files have not changed.  Lexemes are a matter of the dictionary
+alone: a query's lexeme is expanded to the words that have it in the language's
+configuration, so a stemmer touches distinct words only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioworks.functions.text import WORD, bind
 from folioworks.operators.ranking import top_per_group
-from folioworks.session import bounded_broadcast, cut_lineage, spread, write_once
+from folioworks.session import scratch_path, shared_dir, spread, write_once
 
-MAX_BROADCAST_TERMS = 200_000
-MAX_BROADCAST_PAIRS = 200_000
+#: Folders of postings; a query reads those of its words.
+BUCKETS = 16
+_POSTINGS = "word string, doc_id long, language string, config string, n_a int, n_b int, places array<int>, segment int, bucket int"
+_DICTIONARY = "config string, word string, lexeme string, df long, segment int"
+#: Changes when what is stored changes, so that old indexes are not opened.
+LAYOUT = "postings-1"
 
 # Inverse weights of the A, B and C fields.
 INVERSE_A, INVERSE_B, INVERSE_C = 1.0, 2.5, 5.0
@@ -32,72 +46,194 @@ def text_config(language: Column) -> Column:
             .when(language == "pt", "portuguese").otherwise("simple"))
 
 
-def query_terms(queries: DataFrame, key: str, text: Column, carry: Sequence[str] = ()) -> DataFrame:
-    return queries.select(F.col(key).alias("query_id"), *carry,
-                          F.array_sort(F.array_distinct(words(text))).alias("terms"))
+# Accents that are folded, and suffixes by configuration; the longest one goes that leaves three letters.
+ACCENTS = ("áàâãäéèêëíìîïóòôõöúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
+SUFFIXES = {
+    "spanish": """amientos imientos amiento imiento aciones uciones adoras adores ancias logias encias amente idades iendo ando aron ieron
+        acion ucion adora ador ancia encia mente idad ables ibles istas able ible ista osos osas oso osa ivos ivas ivo iva aban abas aba
+        ados adas ado ada idos idas ido ida iamos iais ian ias ia ara era ira ar er ir an en as es os a e o""",
+    "english": """ational fulness ousness iveness ization ations nesses ation ness ment ments able ible ings ing edly ies ied ers er ed ly es s e""",
+    "portuguese": """amentos imentos amento imento adoras adores acoes ucoes ancias encias amente idades ando endo indo aram eram iram acao ucao
+        adora ador ancia encia mente idade aveis iveis istas avel ivel ista osos osas oso osa ivos ivas ivo iva avam ava ados adas ado ada
+        idos idas ido ida ar er ir am em as es os a e o""",
+}
 
 
-def build_index(documents: DataFrame, title: str = "title", second: str = "author", body: str = "text",
-                carry: Sequence[str] = ()) -> DataFrame:
-    """The lexemes of the three fields in one array, with the lengths that separate them.
+def suffix_pattern(config: str) -> str:
+    """What a word of a configuration has to match to lose a suffix; group 1 stays."""
+    return "^(.{3,}?)(?:" + "|".join(SUFFIXES[config].split()) + ")$"
 
-    Tokenising is the costly step and every search reads the result several
-    times, so the index is a stored table, as the search column is in a
-    database.
-    """
-    part = lambda c: words(F.coalesce(F.col(c), F.lit("")))
-    a, b = part(title), part(second)
-    return write_once(spread(documents.select("doc_id", *carry, title, second, body)).select(
-        "doc_id", *carry, F.concat(a, b, part(body)).alias("lexemes"), F.size(a).alias("n_a"), F.size(b).alias("n_b")),
-        "lexemes")
 
+def lexeme(word: Column, config: Column) -> Column:
+    """A word as the configuration files it; ``simple`` files it as it is."""
+    folded = F.translate(word, *ACCENTS)
+    out = word
+    for name in SUFFIXES:
+        out = F.when(config == name, F.regexp_replace(folded, suffix_pattern(name), "$1")).otherwise(out)
+    return out
 
-def match_all(index: DataFrame, queries: DataFrame, same: str | None = None) -> DataFrame:
-    """F16: index rows joined to the queries all of whose terms they hold.
 
-    With ``same`` both sides carry that column and only equal values match.
+def query_terms(queries: DataFrame, key: str, text: Column, carry: Sequence[str] = ()) -> DataFrame:
+    return queries.select(F.col(key).alias("query_id"), *carry,
+                          F.array_sort(F.array_distinct(words(text))).alias("terms"))
 
-    Only the rarest term of a query is looked up in the postings, so a frequent
-    word in a query never multiplies rows.  The few candidates are then checked
-    against the document's own lexemes in one pass over the index.
+
+# --- the index -----------------------------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Index:
+    """``postings``: (bucket, segment, word, doc_id, language, config, n_a, n_b, places); ``dictionary``: (config, word, lexeme, df)."""
+
+    spark: SparkSession
+    path: str
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings")
+
+    @property
+    def counted(self) -> DataFrame:
+        """The dictionary of each segment."""
+        return self.spark.read.schema(_DICTIONARY).parquet(f"{self.path}/dictionary")
+
+    @property
+    def dictionary(self) -> DataFrame:
+        """Document counts of all segments, added up."""
+        return self.counted.groupBy("config", "word", "lexeme").agg(F.sum("df").alias("df"))
+
+    def append(self, documents: DataFrame, segment: int, title: str = "title", second: str = "author", body: str = "text",
+               by_language: bool = False) -> Index:
+        """Add documents that the index does not hold yet as a segment of their own.
+
+        ``by_language`` chooses each document's configuration by its column language.
+        """
+        part = lambda c: words(F.coalesce(F.col(c), F.lit("")))
+        language = F.col("language") if "language" in documents.columns else F.lit(None).cast("string")
+        config = text_config(language) if by_language else F.lit("simple")
+        cut = spread(documents.select("doc_id", language.alias("language"), title, second, body)).select(
+            "doc_id", "language", config.alias("config"), part(title).alias("a"), part(second).alias("b"), part(body).alias("c"))
+        placed = cut.select("doc_id", "language", "config", F.size("a").alias("n_a"), F.size("b").alias("n_b"),
+                            F.posexplode(F.concat("a", "b", "c")).alias("at", "word"))
+        rows = placed.groupBy("word", "doc_id").agg(
+            *[F.first(c).alias(c) for c in ("language", "config", "n_a", "n_b")], F.array_sort(F.collect_list(F.col("at") + 1)).alias("places"))
+        rows = rows.withColumn("bucket", bucket_of(F.col("word"))).withColumn("segment", F.lit(segment))
+        # A frequent word's bucket is split over files of about the advised size.
+        laid = rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "word", "doc_id")
+        laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment", "bucket").parquet(f"{self.path}/postings")
+        own = self.postings.where(F.col("segment") == segment)
+        counted = own.groupBy("config", "word").agg(F.count("*").alias("df"))
+        counted.select("config", "word", lexeme(F.col("word"), F.col("config")).alias("lexeme"), "df", F.lit(segment).alias("segment")).write.mode(
+            "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(f"{self.path}/dictionary")
+        return self
+
+    def merged(self, path: str) -> Index:
+        """The index with all segments laid together as segment 0, in a new folder."""
+        rows = self.postings.withColumn("segment", F.lit(0))
+        laid = rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "word", "doc_id")
+        laid.write.partitionBy("segment", "bucket").parquet(f"{path}/postings")
+        self.dictionary.withColumn("segment", F.lit(0)).write.partitionBy("segment").parquet(f"{path}/dictionary")
+        return Index(self.spark, path)
+
+    def rows_of(self, wanted: DataFrame) -> DataFrame:
+        """Postings of the buckets that the words of ``wanted`` fall in: ``BUCKETS`` numbers at most come back to prune folders."""
+        buckets = wanted.agg(F.collect_set(bucket_of(F.col("word")))).first()[0]
+        return self.postings.where(F.col("bucket").isin(buckets)).drop("segment", "bucket")
+
+
+def bucket_of(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def build_index(documents: DataFrame, title: str = "title", second: str = "author", body: str = "text", by_language: bool = False) -> Index:
+    """An index of its own for one table."""
+    spark = documents.sparkSession
+    return Index(spark, scratch_path(spark, "postings")).append(documents, 0, title, second, body, by_language)
+
+
+_OPEN: dict[tuple[str, str], Index] = {}
+
+
+def _state_of(documents: DataFrame, settings: str) -> str:
+    """A digest of what an index is made from: the files with their sizes and times, and the settings."""
+    spark, lines = documents.sparkSession, [LAYOUT, settings, str(BUCKETS)]
+    for file in sorted(documents.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        lines.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:32]
+
+
+def open_index(documents: DataFrame, label: str, title: str = "title", second: str = "author", body: str = "text", by_language: bool = False) -> Index:
+    """The stored index of ``documents``, built at the first call and again once its files change.
+
+    ``label`` names how the frame is derived from its files.  The index lies in
+    the shared folder and is found there by later sessions too; a build that died
+    has no mark of completion and is not opened.
+    """
+    spark = documents.sparkSession
+    state = _state_of(documents, f"{label} {title} {second} {body} {by_language}")
+    key = (spark.sparkContext.applicationId, state)
+    if key not in _OPEN:
+        index = Index(spark, f"{shared_dir(spark).rstrip('/')}/postings-{state}")
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{index.path}/COMPLETE")
+        files = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(mark):
+            index.append(documents, 0, title, second, body, by_language)
+            files.create(mark).close()
+        _OPEN[key] = index
+    return _OPEN[key]
+
+
+# --- matching ------------------------------------------------------------------------------------------------------
+
+def match_all(index: Index, queries: DataFrame, same_language: bool = False) -> DataFrame:
+    """F16: (query_id, doc_id, hits) of the documents that hold every lexeme of a query.
+
+    ``queries`` has (query_id, terms) and language where documents are indexed by
+    it or ``same_language`` asks for it.  Only a query's rarest lexeme is looked
+    up in the postings, so a frequent word never multiplies rows; the other
+    lexemes are looked up for the few candidates.  ``hits`` are the places of the
+    query's lexemes with the lexeme's number and the field's inverse weight.
     """
-    needed = queries.where(F.size("terms") > 0)
-    q_terms = needed.select("query_id", F.explode("terms").alias("term"))
-    wanted = bounded_broadcast(q_terms.select("term").distinct(), MAX_BROADCAST_TERMS)
-    postings = index.select("doc_id", *([same] if same else []), F.explode(F.array_distinct("lexemes")).alias("term")).join(
-        wanted, "term", "left_semi")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = (q_terms.join(frequency, "term", "left").groupBy("query_id")
-              .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"),
-                   F.min(F.coalesce("df", F.lit(0))).alias("df")).where("df > 0").drop("df"))
-    candidates = postings.join(rarest, "term")
-    if same:
-        own = needed.select("query_id", F.col(same).alias("_wanted"))
-        candidates = candidates.join(own, "query_id").where(F.col(same) == F.col("_wanted"))
-        needed = needed.drop(same)
-    candidates = cut_lineage(candidates.select("query_id", "doc_id"))
-    pairs = candidates.join(needed, "query_id")
-    return (index.join(bounded_broadcast(pairs, MAX_BROADCAST_PAIRS), "doc_id")
-            .where(F.size(F.array_except("terms", "lexemes")) == 0))
-
-
-def query_hits(lexemes: Column, n_a: Column, n_b: Column, terms: Column) -> Column:
-    """Places where a query term occurs: position, which term, inverse field weight."""
-    inverse = lambda at: (F.when(at <= n_a, INVERSE_A).when(at <= n_a + n_b, INVERSE_B)
-                          .otherwise(INVERSE_C))
-    placed = F.transform(lexemes, lambda w, i: F.when(F.array_contains(terms, w), F.struct(
-        (i + 1).alias("at"), F.array_position(terms, w).cast("int").alias("term"), inverse(i + 1).alias("inv"))))
-    return F.array_compact(placed)
+    spoken = F.col("language") if "language" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", spoken.alias("spoken"), F.explode("terms").alias("asked"))
+    # A query is read in its own language's configuration and in the simple one.
+    named = asked.withColumn("config", F.explode(F.array_distinct(F.array(F.lit("simple"), text_config(F.col("spoken"))))))
+    lexemes = named.select("query_id", "spoken", "config", lexeme(F.col("asked"), F.col("config")).alias("lexeme")).distinct()
+    needed = lexemes.groupBy("query_id", "config").agg(F.count("*").alias("needed"))
+    found = lexemes.join(index.counted, ["config", "lexeme"]).groupBy("query_id", "spoken", "config", "lexeme", "word").agg(F.sum("df").alias("df"))
+    found = write_once(found, "query-words")  # read four times below
+    each = found.groupBy("query_id", "config", "lexeme").agg(F.sum("df").alias("df"))
+    rarest = each.groupBy("query_id", "config").agg(F.count("*").alias("have"), F.min_by("lexeme", F.struct("df", "lexeme")).alias("lexeme"))
+    rarest = rarest.join(needed, ["query_id", "config"]).where("have = needed")
+    # Numbers of lexemes in alphabetical order, as cover density counts them.
+    numbers = each.groupBy("query_id", "config").agg(F.array_sort(F.collect_list("lexeme")).alias("all_lexemes"))
+    postings = index.rows_of(found)
+    first = found.join(rarest, ["query_id", "config", "lexeme"]).select("query_id", "spoken", "config", "word", "needed")
+    candidates = postings.join(first, ["word", "config"])
+    if same_language:
+        candidates = candidates.where(F.col("language") == F.col("spoken"))
+    candidates = candidates.select("query_id", "config", "doc_id", "needed").distinct()
+    pairs = candidates.join(found.select("query_id", "config", "lexeme", "word"), ["query_id", "config"]).join(numbers, ["query_id", "config"])
+    pairs = pairs.select("query_id", "doc_id", "config", "needed", "word", F.array_position("all_lexemes", F.col("lexeme")).cast("int").alias("term"))
+    pairs = write_once(pairs, "query-pairs")  # of known size, so that few of them are sent to the postings
+    rows = postings.join(pairs, ["doc_id", "word", "config"])
+    inverse = lambda at: (F.when(at <= F.col("n_a"), INVERSE_A).when(at <= F.col("n_a") + F.col("n_b"), INVERSE_B).otherwise(INVERSE_C))
+    hits = F.transform("places", lambda at: F.struct(at.cast("int").alias("at"), F.col("term"), inverse(at).alias("inv")))
+    together = rows.select("query_id", "doc_id", "needed", hits.alias("hits")).groupBy("query_id", "doc_id", "needed").agg(
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # of one document
+    whole = F.size(F.array_distinct(F.transform("hits", lambda h: h["term"]))) == F.col("needed")
+    return together.where(whole).select("query_id", "doc_id", F.col("needed").cast("int").alias("needed"), "hits")
 
 
 def cover_density(hits: Column, terms: Column) -> Column:
-    """Sum over minimal covers of mean weight divided by one plus the words in between.
+    """``hits`` of ``terms`` lexemes; sum over minimal covers of mean weight divided by one plus the words in between.
 
     Walks the query hits in order and remembers the last hit of every term.  A
     cover ends at a hit exactly when the earliest of those last hits moves.
     """
     start = F.struct(
-        F.array_repeat(F.lit(0), F.size(terms)).alias("last"), F.lit(0).alias("left"), F.lit(0).alias("seen"),
+        F.array_repeat(F.lit(0), terms).alias("last"), F.lit(0).alias("left"), F.lit(0).alias("seen"),
         F.lit(0.0).alias("score"))
 
     def step(acc: Column, hit: Column) -> Column:
@@ -117,15 +253,12 @@ def cover_density(hits: Column, terms: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["score"])
 
 
-def scored(index: DataFrame, queries: DataFrame, same: str | None = None) -> DataFrame:
+def scored(index: Index, queries: DataFrame, same_language: bool = False) -> DataFrame:
     """Every matching (query_id, doc_id) with its cover-density rank."""
-    extra = [c for c in index.columns if c not in ("doc_id", "lexemes", "n_a", "n_b")]
-    others = [c for c in queries.columns if c not in ("query_id", "terms", same)]
-    hits = query_hits(F.col("lexemes"), F.col("n_a"), F.col("n_b"), F.col("terms"))
-    found = match_all(index, queries, same).select("query_id", "doc_id", *extra, *others, "terms", hits.alias("hits"))
-    return found.withColumn("lexical_score", cover_density(F.col("hits"), F.col("terms"))).drop("hits", "terms")
+    found = match_all(index, queries, same_language)
+    return found.select("query_id", "doc_id", cover_density(F.col("hits"), F.col("needed")).alias("lexical_score"))
 
 
-def ranked(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def ranked(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """O2: the best ``k`` documents of every query."""
     return top_per_group(scored(index, queries), ["query_id"], [F.desc("lexical_score"), F.col("doc_id")], k)

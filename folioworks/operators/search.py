@@ -12,7 +12,7 @@ from folioworks.operators import lexical, ranking, vectors
 from folioworks.operators.catalog import active, description_of, source_url_of, without_confirmed_duplicates
 from folioworks.operators.filters import (MetadataFilter, ilike_any, json_text_ilike, metadata_predicate,
                                           source_type_of)
-from folioworks.session import cut_lineage, spread
+from folioworks.session import spread, write_once
 
 W = fv.MATCH_WEIGHTS
 SNIPPET = 520
@@ -80,7 +80,8 @@ def local_answer(hits: DataFrame, most: int = 5) -> DataFrame:
 
 
 def fused_candidates(documents: DataFrame, points: DataFrame, queries: DataFrame, mode: str = "balanced",
-                     decisions: DataFrame | None = None, filters: MetadataFilter | None = None) -> DataFrame:
+                     decisions: DataFrame | None = None, filters: MetadataFilter | None = None,
+                     index: lexical.Index | None = None) -> DataFrame:
     """Both retrieval legs of every query, merged and scored.
 
     ``documents`` are passages: (doc_id, parent_id, title, author, text,
@@ -99,22 +100,24 @@ def fused_candidates(documents: DataFrame, points: DataFrame, queries: DataFrame
     semantic = vectors.nearest_batch(points, queries.select("query_id", "embedding", "language"), m.leg_limit,
                                      match="language").drop("rn")
     spoken = lexical.query_terms(queries, "query_id", F.col("text"), ["language"])
-    scored = lexical.scored(lexical.build_index(documents, carry=["language"]), spoken, same="language").select(
-        "query_id", "doc_id", "lexical_score")
+    # The index is of all passages; what the filters hide goes before the leg ranks.
+    scored = lexical.scored(index or lexical.build_index(documents), spoken, same_language=True)
+    scored = scored.join(documents.select("doc_id"), "doc_id", "left_semi")
     leg = ranking.top_per_group(scored, ["query_id"], [F.desc("lexical_score"), F.col("doc_id")], m.leg_limit)
     # At most two legs of rows for each query, cut so that neither leg runs again below.
-    both = cut_lineage(semantic.join(leg.drop("rn"), ["query_id", "doc_id"], "full_outer"))
+    both = write_once(semantic.join(leg.drop("rn"), ["query_id", "doc_id"], "full_outer"), "search-legs")
     return ranking.score_merged(both.join(documents, "doc_id"), ["query_id"]).withColumnRenamed("doc_id", "item")
 
 
 def hybrid_search(documents: DataFrame, points: DataFrame, queries: DataFrame, mode: str = "balanced",
-                  decisions: DataFrame | None = None, filters: MetadataFilter | None = None) -> DataFrame:
+                  decisions: DataFrame | None = None, filters: MetadataFilter | None = None,
+                  index: lexical.Index | None = None) -> DataFrame:
     """L3: fused candidates, diversified, cut and fitted to the context budget."""
     m = MODES[mode]
-    fused = fused_candidates(documents, points, queries, mode, decisions, filters)
+    fused = fused_candidates(documents, points, queries, mode, decisions, filters, index)
     ordered = ranking.diversify(fused, ["query_id"], "parent_id", [F.desc("final_score"), F.col("item")])
     # A few rows per query, read twice below; without the cut both legs would run twice.
-    cut = cut_lineage(ordered.where(F.col("position") <= m.final_limit))
+    cut = write_once(ordered.where(F.col("position") <= m.final_limit), "search-best")
     return ranking.fit_skipping(cut, ["query_id"], "position", "token_count", m.context_token_budget, m.final_limit)
 
 

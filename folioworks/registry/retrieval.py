@@ -80,23 +80,56 @@ def _queries(spark, d):
     return lexical.query_terms(lib.table(spark, d, "benchmark"), "item_id", F.col("text"))
 
 
+def _index(spark, d):
+    return lexical.open_index(lib.documents(spark, d), "library")
+
+
 @query("all_terms_match", "F16", using(LIBRARY) + r"""
 SELECT q.item_id AS query_id, l.doc_id FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS terms FROM benchmark) q
 JOIN (SELECT doc_id, regexp_extract_all(lower(title || ' ' || coalesce(author, '') || ' ' || text), '[\p{L}\p{N}_]+') AS w FROM library) l ON list_has_all(l.w, q.terms)""")
 def all_terms_match(spark, d):
-    index = lexical.build_index(lib.documents(spark, d))
-    return lexical.match_all(index, _queries(spark, d)).select("query_id", "doc_id")
+    return lexical.match_all(_index(spark, d), _queries(spark, d)).select("query_id", "doc_id")
 
 
 @query("cover_density_rank", "X49 O2 F16 X48", using(LIBRARY, _TERMS_SQL) + """
 SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM ranks) WHERE rn <= 20""")
 def cover_density_rank(spark, d):
-    found = lexical.scored(lexical.build_index(lib.documents(spark, d)), _queries(spark, d))
+    found = lexical.scored(_index(spark, d), _queries(spark, d))
     rounded = found.withColumn("raw", F.round("lexical_score", 9))
     top = ranking.top_per_group(rounded, ["query_id"], [F.desc("raw"), F.col("doc_id")], 20)
     return top.select("query_id", "doc_id", F.round("raw", 6).alias("score"))
 
 
+def _lexeme_sql(word: str, config: str) -> str:
+    folded = f"translate({word}, '{lexical.ACCENTS[0]}', '{lexical.ACCENTS[1]}')"
+    cases = " ".join(f"WHEN {config} = '{name}' THEN regexp_replace({folded}, '{lexical.suffix_pattern(name)}', '\\1')" for name in lexical.SUFFIXES)
+    return f"CASE {cases} ELSE {word} END"
+
+
+_CONFIG_SQL = "CASE {0} WHEN 'es' THEN 'spanish' WHEN 'en' THEN 'english' WHEN 'pt' THEN 'portuguese' ELSE 'simple' END"
+
+
+@query("language_lexeme_match", "X48 T5 F16", using(LIBRARY) + rf""",
+w AS (SELECT doc_id, language, {_CONFIG_SQL.format('language')} AS config,
+  unnest(list_distinct(regexp_extract_all(lower(title || ' ' || coalesce(author, '') || ' ' || text), '[\p{{L}}\p{{N}}_]+'))) AS word FROM library),
+held AS (SELECT DISTINCT doc_id, config, {_lexeme_sql('word', 'config')} AS lexeme FROM w),
+asked AS (SELECT b.item_id AS query_id, l.language, unnest(list_distinct(list_slice(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]+'), 3, 6))) AS word
+  FROM benchmark b JOIN library l ON l.doc_id = b.item_id),
+lex AS (SELECT DISTINCT query_id, config, {_lexeme_sql('word', 'config')} AS lexeme
+  FROM (SELECT query_id, word, unnest(list_distinct(['simple', {_CONFIG_SQL.format('language')}])) AS config FROM asked)),
+need AS (SELECT query_id, config, count(*) AS n FROM lex GROUP BY 1, 2)
+SELECT x.query_id, h.doc_id, any_value(x.config) AS config FROM lex x JOIN held h USING (config, lexeme) JOIN need n ON n.query_id = x.query_id AND n.config = x.config
+GROUP BY x.query_id, x.config, h.doc_id, n.n HAVING count(*) = n.n""")
+def language_lexeme_match(spark, d):
+    """Four words of every benchmark passage, read in the language of the document with its number."""
+    docs = lib.documents(spark, d)
+    index = lexical.open_index(docs, "library", by_language=True)
+    asked = lib.table(spark, d, "benchmark").join(docs.select(F.col("doc_id").alias("item_id"), "language"), "item_id").select(
+        F.col("item_id").alias("query_id"), "language", F.array_distinct(F.slice(lexical.words(F.col("text")), 3, 4)).alias("terms"))
+    spoken = docs.select("doc_id", lexical.text_config(F.col("language")).alias("config"))
+    return lexical.match_all(index, asked).join(spoken, "doc_id").select("query_id", "doc_id", "config")
+
+
 _COS = """list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"""
 
 
@@ -176,7 +209,7 @@ def _hybrid_inputs(spark, d):
 
 @query("fused_candidates", "J14 W6 X51 L3", _fused_sql() + " SELECT query_id, item, round(f, 5) AS final_score FROM fused")
 def fused_candidates(spark, d):
-    return search.fused_candidates(*_hybrid_inputs(spark, d), mode="low").select(
+    return search.fused_candidates(*_hybrid_inputs(spark, d), mode="low", index=_index(spark, d)).select(
         "query_id", "item", F.round("final_score", 5).alias("final_score"))
 
 
@@ -185,14 +218,14 @@ def fused_candidates(spark, d):
 SELECT query_id, item, round(f, 5) AS final_score FROM fused""")
 def filtered_candidates(spark, d):
     wanted = MetadataFilter(categories=["Talks", "Discursos"], tags=["faith"], published_after=date(2000, 3, 1))
-    found = search.fused_candidates(*_hybrid_inputs(spark, d), mode="low", decisions=lib.decisions(spark, d), filters=wanted)
+    found = search.fused_candidates(*_hybrid_inputs(spark, d), mode="low", decisions=lib.decisions(spark, d), filters=wanted, index=_index(spark, d))
     return found.select("query_id", "item", F.round("final_score", 5).alias("final_score"))
 
 
 @query("hybrid_search", "L3 L5 W2 W3 J13 J14 W6 X51", _fused_sql() + _FITTED_SQL + """
 SELECT query_id, item, position, token_count, round(f, 5) AS final_score FROM fitted""")
 def hybrid_search(spark, d):
-    return search.hybrid_search(*_hybrid_inputs(spark, d), mode="low").select(
+    return search.hybrid_search(*_hybrid_inputs(spark, d), mode="low", index=_index(spark, d)).select(
         "query_id", "item", F.col("position").cast("bigint").alias("position"), "token_count", F.round("final_score", 5).alias("final_score"))
 
 
@@ -201,7 +234,7 @@ SELECT query_id, string_agg(concat_ws(chr(10), '[' || position || ']', 'Title: '
     'Language: ' || coalesce(language, 'unknown'), 'Text:', left(text, 2400)), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS context
 FROM fitted GROUP BY query_id""")
 def context_blocks(spark, d):
-    return search.context_block(search.hybrid_search(*_hybrid_inputs(spark, d), mode="low"), 6)
+    return search.context_block(search.hybrid_search(*_hybrid_inputs(spark, d), mode="low", index=_index(spark, d)), 6)
 
 
 @query("talk_outline", "T3 W9 L7 P12 R24", using(LIBRARY) + """,

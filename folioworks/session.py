@@ -89,7 +89,7 @@ def write_once(df: DataFrame, label: str) -> DataFrame:
     """Store a derived table in the shared folder and read it back."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # known, so that no file is opened to find it
 
 
 def drop_stored(df: DataFrame) -> None:
