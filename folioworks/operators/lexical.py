@@ -226,6 +226,30 @@ def match_all(index: Index, queries: DataFrame, same_language: bool = False) ->
     return together.where(whole).select("query_id", "doc_id", F.col("needed").cast("int").alias("needed"), "hits")
 
 
+#: Letters of the beginnings by which words that hold a part of a word are found.
+GRAM = 3
+
+
+def holding(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of documents that may hold a query's text somewhere in a field.
+
+    Of a text its longest word is looked up: one with words on both sides is a
+    word of such a document, the first one ends a word there, the last one
+    begins one, and a lone one is any part of one.  Words are found by an
+    equality on their parts of up to ``GRAM`` letters.
+    """
+    parts = F.transform(words(F.col("text")), lambda w, i: F.struct(F.length(w).alias("size"), (-i).alias("at"), w.alias("word")))
+    longest = queries.select("query_id", F.size(parts).alias("n"), F.array_max(parts).alias("best")).where("n > 0")
+    anchors = longest.select("query_id", F.col("best.word").alias("part"), (F.col("best.at") == 0).alias("is_first"),
+                             (F.col("best.at") == 1 - F.col("n")).alias("is_last"), F.left("best.word", F.lit(GRAM)).alias("gram"))
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.transform(
+        F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: i + k - 1 <= F.length("word")), lambda i: F.substring("word", i, k))))
+    grams = index.counted.select("word").distinct().select("word", F.explode(F.array_distinct(starts)).alias("gram"))
+    fits = (F.contains("word", "part") & (F.col("is_first") | F.startswith("word", "part")) & (F.col("is_last") | F.endswith("word", "part")))
+    wanted = write_once(grams.join(anchors, "gram").where(fits).select("query_id", "word").distinct(), "query-parts")
+    return index.rows_of(wanted).join(wanted, "word").select("query_id", "doc_id").distinct()
+
+
 def cover_density(hits: Column, terms: Column) -> Column:
     """``hits`` of ``terms`` lexemes; sum over minimal covers of mean weight divided by one plus the words in between.
 

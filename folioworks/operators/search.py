@@ -79,6 +79,31 @@ def local_answer(hits: DataFrame, most: int = 5) -> DataFrame:
     return top.select(number.alias("citation_id"), "doc_id", "title", limit_text(F.col("snippet"), 380).alias("quote"))
 
 
+def lexical_leg(passages: lexical.Index, documents: lexical.Index, library: DataFrame, queries: DataFrame, same_language: bool = False) -> DataFrame:
+    """(query_id, route, doc_id, lexical_score), with a document fallback for the queries that find no passage.
+
+    ``passages`` and ``documents`` are the two indexes, ``library`` has the
+    documents' (doc_id, title, author, text, language), filtered as the search
+    is; ``queries`` has (query_id, text) and language where documents have to
+    share it.  A query without any passage is found by an anti-join and takes the
+    documents one of whose fields holds its text, scored by cover density, which
+    is zero where not all words occur.  A text without words finds nothing.
+    """
+    carry = ["language"] if "language" in queries.columns else []
+    terms = lexical.query_terms(queries, "query_id", F.col("text"), carry)
+    found = write_once(lexical.scored(passages, terms, same_language), "passage-leg")
+    empty = write_once(queries.join(found.select("query_id").distinct(), "query_id", "left_anti"), "fallback-queries")
+    fields = library.select("doc_id", *[F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("title", "author", "text")], F.col("language").alias("_language"))
+    held = lexical.holding(documents, empty).join(empty.select("query_id", F.lower("text").alias("_asked"), *[F.col(c).alias("_spoken") for c in carry]), "query_id")
+    held = held.join(fields, "doc_id").where(F.contains("_title", "_asked") | F.contains("_author", "_asked") | F.contains("_text", "_asked"))
+    if same_language:
+        held = held.where(F.col("_language") == F.col("_spoken"))
+    scores = lexical.scored(documents, terms.join(empty.select("query_id"), "query_id", "left_semi"), same_language)
+    fallback = held.select("query_id", "doc_id").join(scores, ["query_id", "doc_id"], "left")
+    return found.select("query_id", F.lit("passage").alias("route"), "doc_id", "lexical_score").unionByName(
+        fallback.select("query_id", F.lit("document").alias("route"), "doc_id", F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score")))
+
+
 def fused_candidates(documents: DataFrame, points: DataFrame, queries: DataFrame, mode: str = "balanced",
                      decisions: DataFrame | None = None, filters: MetadataFilter | None = None,
                      index: lexical.Index | None = None) -> DataFrame:

@@ -130,6 +130,28 @@ def language_lexeme_match(spark, d):
     return lexical.match_all(index, asked).join(spoken, "doc_id").select("query_id", "doc_id", "config")
 
 
+@query("fallback_leg", "F3 L6 R9 F16 F7", using(LIBRARY, PARAGRAPHS) + r"""
+, asked AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 12, 30) ELSE substr(text, 1, instr(text, ' ')) END AS text FROM benchmark),
+terms AS (SELECT query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM asked),
+passages AS (SELECT doc_id, chunk_index, list_distinct(regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}_]+')) AS w FROM paragraphs),
+leg AS (SELECT query_id, doc_id, chunk_index FROM terms JOIN passages ON len(t) > 0 AND list_has_all(w, t)),
+rest AS (SELECT a.query_id, l.doc_id FROM asked a JOIN library l ON contains(lower(l.title), lower(a.text)) OR contains(lower(coalesce(l.author, '')), lower(a.text))
+  OR contains(lower(l.text), lower(a.text)) WHERE a.query_id NOT IN (SELECT query_id FROM leg))
+SELECT query_id, 'passage' AS route, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index FROM leg UNION ALL SELECT query_id, 'document', doc_id, -1 FROM rest""")
+def fallback_leg(spark, d):
+    """Whole passages, parts that begin and end inside words, and first words, answered by one plan."""
+    docs = lib.documents(spark, d)
+    number = F.col("doc_id") * 1_000_000 + F.col("chunk_index")
+    passages = lib.paragraphs(spark, d).select(number.alias("doc_id"), F.lit("").alias("title"), F.lit("").alias("author"), F.col("chunk_text").alias("text"))
+    item, text = F.col("item_id"), F.col("text")
+    asked = lib.table(spark, d, "benchmark").select(item.alias("query_id"), F.when(item % 3 == 0, text).when(item % 3 == 1, F.substring(text, 12, 30)).otherwise(
+        F.left(text, F.instr(text, " "))).alias("text"))
+    found = search.lexical_leg(lexical.open_index(passages, "paragraphs"), _index(spark, d), docs, asked)
+    on_passage = F.col("route") == "passage"
+    return found.select("query_id", "route", F.when(on_passage, F.expr("doc_id DIV 1000000")).otherwise(F.col("doc_id")).alias("doc_id"),
+                        F.when(on_passage, F.col("doc_id") % 1_000_000).otherwise(F.lit(-1)).cast("bigint").alias("chunk_index"))
+
+
 _COS = """list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"""
 
 

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from folioworks.operators import lexical
+from folioworks.operators import lexical, search
 
 DOCS = [(1, "Hablando claro", None, "los hablantes hablaban ayer", "es"), (2, "Talks", "Ann", "they talked and talking helps", "en"),
         (3, "Hablando", None, "ein Wort: talked hablaban", "de"), (4, "", None, "", "es"), (5, None, None, None, None), (6, "talk", "hablar", "hablado", "pt")]
@@ -66,5 +66,37 @@ def test_only_wanted_buckets_are_read(spark):
     index = lexical.build_index(spark.createDataFrame(DOCS, SCHEMA))
     wanted = spark.createDataFrame([("talked",), ("hablaban",)], "word string")
     rows = index.rows_of(wanted)
-    files = {f.split("bucket=")[1].split("/")[0] for f in rows.inputFiles()}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+    files = {r.f.split("bucket=")[1].split("/")[0] for r in rows.select(F.input_file_name().alias("f")).collect()}
     assert len(files) <= 2 and {r.word for r in rows.collect()} >= {"talked", "hablaban"}
+
+
+def plain_fallback(docs, asked):
+    """Queries without a passage that has all their words take the documents that hold them as a part of a field."""
+    import re
+
+    words = lambda t: set(re.findall(r"\w+", (t or "").lower()))
+    out = set()
+    for q, text in asked:
+        held = {(q, "passage", i) for i, _, _, body, _ in docs if words(text) and words(text) <= words(body)}
+        rest = {(q, "document", i) for i, *fields, _ in docs if any(text.lower() in (f or "").lower() for f in fields)}
+        out |= held or (rest if words(text) else set())
+    return out
+
+
+def test_fallback_of_empty_legs_only(spark):
+    import random
+
+    rng = random.Random(6)
+    docs = [(i, *[" ".join(rng.choices(["alpha", "beta", "gamma-delta", "a", "be", "ta", "Zeta.", "x_1"], k=rng.randint(0, n))) for n in (3, 2, 9)], "en") for i in range(60)]
+    texts = ["alpha beta", "pha bet", "lph", "gamma", "a", "ta Ze", "zeta.", "x_1 al", "eta a be", "nothing here", "?!", "beta gamma-delta alp", "_1", "lta zeta", "alpha alpha alpha"]
+    texts += [" ".join(d[3].split()[1:4])[1:-1].strip() for d in docs[:25]]
+    asked = [(i, t) for i, t in enumerate(texts) if t]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    passages = lexical.build_index(frame.select("doc_id", F.lit("").alias("title"), F.lit("").alias("author"), "text", "language"))
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    got = search.lexical_leg(passages, lexical.build_index(frame), frame, queries).collect()
+    found = {(r.query_id, r.route, r.doc_id) for r in got}
+    assert found == plain_fallback(docs, asked) and len(found) == len(got)
+    assert {r.route for r in got} == {"passage", "document"}
