@@ -4,12 +4,15 @@ Distinct line keys are counted, dealt into shards by their hash, and each shard
 becomes a few compact arrays: the bit levels of a minimal perfect hash, and in
 its slot order a fingerprint, a saturating document count and the holder's id.
 Documents send the hashes of their lines to the shards and probe the arrays;
-line texts are never joined or shuffled.
+line texts are never joined or shuffled.  A shard's probes are as many as the
+documents that hold its keys, so a shard says how many tasks share them: probes
+are dealt by shard and salt, and the arrays are repeated for every salt.
 
 Defined cases: null and empty texts are one empty line; lines whose key has
 fewer code points than ``min_chars`` always stay; a line repeated in a document
 counts once, rows that share an id are one document; rows with a null id take
-no part and stay whole; extra columns stay as they are.
+no part and stay whole; extra columns stay as they are; a very long text is cut
+into its lines in one task; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 SHARD_KEYS = 65_536
 COUNT_TOP = (1 << 32) - 1
-#: A line that at least this share of all probes asks for is answered without the shards; there are at most 1024.
-HOT_SHARE = 1 / 1024
+#: Probes that one task takes.
+TASK_PROBES = 2_000_000
 GAMMA = 2  # bits a key in each level
 
 
@@ -146,11 +149,11 @@ def probe_shard(shard: dict, places: np.ndarray, prints: np.ndarray) -> tuple[np
     return out_counts, out_holders
 
 
-_SHARD = "shard long, levels array<binary>, sizes array<long>, prints binary, counts binary, holders binary, side binary"
+_SHARD = "shard long, probes long, levels array<binary>, sizes array<long>, prints binary, counts binary, holders binary, side binary"
 
 
 def _arrow_schema() -> pa.Schema:
-    return pa.schema([("shard", pa.int64()), ("levels", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())),
+    return pa.schema([("shard", pa.int64()), ("probes", pa.int64()), ("levels", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())),
                       ("prints", pa.binary()), ("counts", pa.binary()), ("holders", pa.binary()), ("side", pa.binary())])
 
 
@@ -160,7 +163,8 @@ def build_index(keys: DataFrame, shards: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         columns = {c: group.column(c).to_numpy() for c in ("shard", "h", "f", "docs", "holder")}
         packed = pack_shard(columns["h"], columns["f"], columns["docs"], columns["holder"])
-        return pa.Table.from_pylist([{"shard": int(columns["shard"][0]), **packed}], schema=_arrow_schema())
+        own = {"shard": int(columns["shard"][0]), "probes": int(columns["docs"].sum())}
+        return pa.Table.from_pylist([own | packed], schema=_arrow_schema())
 
     return keys.withColumn("shard", _shard_of(shards)).groupBy("shard").applyInArrow(run, _SHARD)
 
@@ -172,20 +176,20 @@ def _shard_of(shards: int):
 # --- the operator --------------------------------------------------------------------------------------------------
 
 def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-                 min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+                 min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, task_probes: int = TASK_PROBES) -> DataFrame:
     """(id, keys): per document the 64-bit fingerprints of the line keys it loses."""
     spark = docs.sparkSession
     bounded_batches(spark)
     probes = write_once(line_hashes(docs, id_col, text_col, min_chars).distinct(), "line-probes")
     keys = write_once(probes.groupBy("h", "f").agg(F.count("*").alias("docs"), F.max("id").alias("holder")), "line-keys")
     shards = parts_for(keys.count(), shard_keys)
-    index = build_index(keys, shards)
-    # Keys that many documents hold would gather in one shard's task.  At most 1 / HOT_SHARE of them can have this
-    # many probes each, so they may be sent to every task; the rest stays balanced.
-    hot_rows = max(1000, int(probes.count() * HOT_SHARE))
-    hot = F.broadcast(keys.where(F.col("docs") >= hot_rows))
-    lost_hot = probes.join(hot, ["h", "f"]).where((F.col("docs") >= min_docs) & (F.col("id") != F.col("holder"))).select("id", "f")
-    rest = probes.join(hot.select("h", "f"), ["h", "f"], "left_anti").withColumn("shard", _shard_of(shards))
+    index = write_once(build_index(keys, shards).withColumn("salts", F.ceil(F.col("probes") / task_probes)), "line-shards")
+    dealt = probes.withColumn("shard", _shard_of(shards))
+    # Few shards are probed so often; the others have one salt.
+    shared = index.where("salts > 1").select("shard", "salts")
+    salt = F.pmod(F.xxhash64("id", F.lit(3)), F.coalesce("salts", F.lit(1).cast("long")))
+    salted = dealt.join(shared, "shard", "left").select("id", "h", "f", "shard", salt.alias("salt"))
+    repeated = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts", "probes")
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         places, prints, ids = (left.column(c).to_numpy() for c in ("h", "f", "id"))
@@ -195,8 +199,8 @@ def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lost = (counts >= min(min_docs, COUNT_TOP)) & (holders != ids)
         return pa.table({"id": pa.array(ids[lost], pa.int64()), "f": pa.array(prints[lost], pa.int64())})
 
-    lost_rest = rest.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "id long, f long")
-    return lost_hot.unionByName(lost_rest).groupBy("id").agg(F.collect_list("f").alias("keys"))
+    lost = salted.groupBy("shard", "salt").cogroup(repeated.groupBy("shard", "salt")).applyInArrow(probe, "id long, f long")
+    return lost.groupBy("id").agg(F.collect_list("f").alias("keys"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
