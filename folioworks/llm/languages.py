@@ -11,7 +11,8 @@ Defined cases: a null text and a text without letters are ``und`` with score
 zero; a word in a script that no language was learned from is free for all of
 them and adds nothing to the score; rows without a language or an id teach
 nothing; ties between languages go to the first in alphabetical order; with
-nothing learned every text is ``und``.
+nothing learned every text is ``und``; a very long text is one path, with memory
+in proportion to its words times the languages; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -197,26 +198,26 @@ def label_text(model: Model, text: str | None, letter: np.ndarray, script: np.nd
                penalty: float = PENALTY) -> tuple[str, float, list[tuple[int, int, str]]]:
     """(language, score, spans).  The score is the share of letters in words that carry the language.
 
-    A long text is labelled slice by slice.
+    The words of a long text are scored slice by slice and labelled together.
     """
-    weights, spans, letters = np.zeros(len(model.langs)), [], 0
+    starts, ends, scores, free = [], [], [], []
+    letters = 0
     for offset, part in text_slices(text or "", letter):
         words = words_of(part, letter, script)
-        if not len(words.start):
-            continue
-        size = words.end - words.start
-        letters += int(size.sum())
-        if not model.langs:
-            continue
-        sums, known = word_scores(model, words)
-        labels = viterbi(sums, penalty)
-        weights += np.bincount(labels, weights=size * known, minlength=len(model.langs))
+        letters += int((words.end - words.start).sum())
+        if len(words.start) and model.langs:
+            sums, known = word_scores(model, words)
+            starts.append(words.start + offset)
+            ends.append(words.end + offset)
+            scores.append(sums)
+            free.append(known)
+    weights, spans = np.zeros(len(model.langs)), []
+    if scores:
+        start, end, known = (np.concatenate(x) for x in (starts, ends, free))
+        labels = viterbi(np.concatenate(scores), penalty)
+        weights = np.bincount(labels, weights=(end - start) * known, minlength=len(model.langs))
         turns = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1, [len(labels)]])
-        for a, b in zip(turns[:-1], turns[1:]):
-            span = (offset + int(words.start[a]), offset + int(words.end[b - 1]), model.langs[labels[a]])
-            if spans and spans[-1][2] == span[2]:
-                span = (spans.pop()[0], *span[1:])
-            spans.append(span)
+        spans = [(int(start[a]), int(end[b - 1]), model.langs[labels[a]]) for a, b in zip(turns[:-1], turns[1:])]
     if not letters or not model.langs:
         return UNKNOWN, 0.0, []
     return model.langs[int(weights.argmax())], float(weights.max() / letters), spans
