@@ -12,7 +12,9 @@ Each level is written to the shared folder before the next one reads it: a lost
 executor repeats its task from a table, never from an order that may change.
 
 Defined cases: a null text is the empty text, whose document is the end token
-alone; repeated rows are packed each; an empty table gives no rows.
+alone; repeated rows are packed each; rows with null or equal ids are dealt like
+others; a very long text is cut into pieces in one task; an empty table gives no
+rows; extra columns stay out of the way.
 """
 
 from __future__ import annotations
@@ -123,13 +125,16 @@ class WordCoder:
 
 def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
               path: Callable[[], str] | str = vocabulary_path) -> DataFrame:
-    """(id, piece, start, length, ids): the pieces of every document with their ids as little-endian bytes."""
+    """(id, piece, start, length, ids, deal): the pieces of every document with their ids as little-endian bytes.
+
+    ``deal`` is a number of each row, to be stored, that deals rows out.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = path() if callable(path) else path
         coder = per_process(f"word coder {file}", lambda: WordCoder(file))
-        end = np.array([END], "<u4").tobytes()
+        end, made = np.array([END], "<u4").tobytes(), TaskContext.get().partitionId() << 36
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -139,10 +144,12 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
                     rows.append((doc, piece, at // 4, len(part) // 4, part))
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "piece", "start", "length", "ids"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds)], pa.array(np.arange(made, made + len(rows)))],
+                                             ["id", "piece", "start", "length", "ids", "deal"])
+            made += len(rows)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, piece int, start long, length long, ids binary")
+    return source.mapInArrow(run, "id long, piece int, start long, length long, ids binary, deal long")
 
 
 # --- bins ----------------------------------------------------------------------------------------------------------
@@ -213,21 +220,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, carry:
     spark = pieces.sparkSession
     parts = parts_for(pieces.count(), per_task)
     member = F.struct("id", "piece", "start", "length", "crc")
+    # Rows are dealt by a stored number: the same row goes to the same task in every attempt.
+    own = F.col("deal") if "deal" in pieces.columns else F.xxhash64("id", "piece")
     items = pieces.select(F.col("length").alias("size"), F.col("id").alias("first_id"), F.col("piece").alias("first_piece"),
-                          F.array(member).alias("members"))
-    # Rows are dealt by their content: the same row goes to the same task in every attempt.
-    deal = F.xxhash64("first_id", "first_piece")
+                          F.array(member).alias("members"), own.alias("deal"))
     level, levels = 0, []
     while True:
         last = parts == 1
-        dealt = items.repartition(parts, deal)
+        dealt = items.repartition(parts, F.xxhash64("deal"))
         bins = write_once(dealt.mapInArrow(_packed(capacity, slack, carry, level, last), _BIN), f"packed-{level}")
         levels.append(bins.where("done"))
         if last:
             break
         parts = parts_for(parts, fan_in)
         first = F.col("members")[0]
-        items = bins.where("NOT done").select("size", first["id"].alias("first_id"), first["piece"].alias("first_piece"), "members")
+        items = bins.where("NOT done").select("size", first["id"].alias("first_id"), first["piece"].alias("first_piece"), "members",
+                                              F.col("sequence_id").alias("deal"))
         level += 1
     packed = levels[0]
     for more in levels[1:]:
@@ -239,7 +247,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, carry:
 
 def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, **settings) -> DataFrame:
     """Tokenize, cut and pack: (id, piece, start, length, crc, sequence_id, offset)."""
-    cut = pieces_of(docs, id_col, text_col, capacity).select("id", "piece", "start", "length", F.crc32("ids").alias("crc"))
+    cut = pieces_of(docs, id_col, text_col, capacity).select("id", "piece", "start", "length", F.crc32("ids").alias("crc"), "deal")
     return pack(write_once(cut, "packing-pieces"), capacity, **settings)
 
 

@@ -9,9 +9,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from folioworks.llm import languages, lines, packing, queries, secrets, simhash
 from folioworks.llm.common import block_links, connected_components, slices, spanning_pairs, table
+from folioworks.session import write_once
 
 
 def rows_of(spark, small, name="documents"):
@@ -181,10 +183,15 @@ def test_lines_awkward(frame, awkward):
     assert {r.doc_id for r in emptied.collect()} == {i for i, _ in awkward} - {4}
 
 
-def test_hot_lines_need_no_shard(frame):
+@pytest.mark.parametrize("task_probes", [50, 2_000_000])
+def test_a_line_that_everyone_holds_is_dealt_over_tasks(spark, frame, task_probes):
     rows = [(i, f"a line that everyone holds here\nown line number {i} of the text") for i in range(1200)]
-    got = lines.without_repeated_lines(frame(rows)).where("n_dropped = 0").collect()
-    assert [r.doc_id for r in got] == [1199]
+    got = lines.dropped_keys(frame(rows), task_probes=task_probes, shard_keys=100).collect()
+    assert sorted(r.id for r in got) == list(range(1199)) and {tuple(r["keys"]) for r in got} == {tuple(got[0]["keys"])}
+    if task_probes == 50:
+        # Some task for each fifty probes: the hot shard alone has two dozen salts.
+        keys = spark.createDataFrame([(1, 2, 1200, 1199)], "h long, f long, docs long, holder long")
+        assert lines.build_index(keys, 1).first().probes == 1200
 
 
 def test_perfect_hash_is_minimal():
@@ -325,3 +332,35 @@ def test_words_of_slices():
     words = languages.words_of(text, letter, script)
     assert [text[a:b] for a, b in zip(words.start, words.end)] == ["İstanbul", "größe", "ab", "cd"]
     assert "".join(p for _, p in languages.text_slices("ab cd " * 9, letter, 7)) == "ab cd " * 9
+
+
+def test_one_path_over_all_slices(spark, small, monkeypatch):
+    """A text of many slices gets the spans of one piece of text."""
+    docs = table(spark, small, "documents")
+    model = languages.learn(docs)
+    letter, script = languages.code_tables()
+    by_lang = {}
+    for r in docs.collect():
+        by_lang.setdefault(r.lang, []).append(r.text)
+    texts = [" ".join(t[k % len(t)][:150 + 40 * k] for t in by_lang.values()) for k in range(60)]
+    whole = [languages.label_text(model, t, letter, script) for t in texts]
+    assert sum(len(x[2]) > 1 for x in whole) > 30
+    monkeypatch.setattr(languages.text_slices, "__defaults__", (100,))
+    assert [languages.label_text(model, t, letter, script) for t in texts] == whole
+
+
+def test_rows_without_ids_are_dealt_like_others(spark, frame):
+    docs = frame([(None, f"text number {i}") for i in range(300)] + [(7, "the same text")] * 300)
+    stored = write_once(packing.pieces_of(docs), "dealt")
+    assert stored.select("deal").distinct().count() == 600
+    placed = packing.pack(stored.withColumn("crc", F.crc32("ids")), capacity=64, per_task=40).collect()
+    assert len(placed) == 600
+    filled = {}
+    for r in placed:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
