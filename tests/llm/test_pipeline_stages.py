@@ -4,7 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from folioworks.llm import shingle_dups
+from folioworks.llm import secrets, shingle_dups
 from folioworks.llm.common import table
 
 
@@ -94,3 +94,51 @@ def test_keys_of_similar_sets_meet():
         if b and 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)):
             keys = [set(shingle_dups.first_keys(np.unique(x), common, counts)) for x in (a, b)]
             assert keys[0] & keys[1]
+
+
+def test_every_stage_and_run(spark, small):
+    """run() against its stages one by one, each held to what it promises on its own input."""
+    docs = table(spark, small, "documents")
+    named = dict(corpus_pipeline.STAGES)
+    labelled = named["language_id"](spark, docs, small)
+    assert labelled.columns == docs.columns and {r.doc_id for r in labelled.collect()} <= {r.doc_id for r in docs.collect()}
+    assert labelled.count() > 0.95 * docs.count() and all(any(c.isalpha() for c in r.text) for r in labelled.collect())
+
+    lined = named["line_dedup"](spark, labelled, small)
+    holders = {}
+    for r in labelled.collect():
+        for key in {x.strip(" \t\n\x0b\x0c\r").lower() for x in r.text.split("\n") if len(x.strip(" \t\n\x0b\x0c\r")) >= 20}:
+            holders.setdefault(key, set()).add(r.doc_id)
+    lost = {k: max(v) for k, v in holders.items() if len(v) >= 3}
+    want = {}
+    for r in labelled.collect():
+        whole = r.text.split("\n")
+        kept = [x for x in whole if lost.get(x.strip(" \t\n\x0b\x0c\r").lower(), r.doc_id) == r.doc_id]
+        if len(kept) == len(whole) or any(x.strip() for x in kept):
+            want[r.doc_id] = "\n".join(kept)
+    assert {r.doc_id: r.text for r in lined.collect()} == want and all(r.n_chars == len(r.text) for r in lined.collect())
+
+    near = named["simhash_near_dedup"](spark, lined, small)
+    assert sorted(r.doc_id for r in near.collect()) == plain_kept([(r.doc_id, r.text) for r in lined.collect()])
+
+    masked = named["secret_scan"](spark, near, small)
+    before = {r.doc_id: r.text for r in near.collect()}
+    rules = secrets.compile_rules()
+    for r in masked.collect():
+        spans = [(a, b) for a, _, b in secrets.find(before[r.doc_id], rules)]
+        assert r.text == (secrets.masked(before[r.doc_id], spans, "[secret]") if spans else before[r.doc_id])
+    assert sum(r.text != before[r.doc_id] for r in masked.collect()) > 0
+
+    found = corpus_pipeline.run(spark, small)
+    pieces = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found.collect())
+    packed = named["best_fit_packing"](spark, masked, small).collect()
+    assert pieces == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed)
+    places = {}
+    for r in packed:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
