@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from folioworks import fixed_values as fv
 from folioworks.config import MODES
+from folioworks.functions.scripture import expand_query
 from folioworks.functions.text import limit_text, search_patterns
 from folioworks.functions.urls import normalize_source_type
 from folioworks.operators import lexical, ranking, vectors
@@ -146,6 +147,75 @@ def hybrid_search(documents: DataFrame, points: DataFrame, queries: DataFrame, m
     return ranking.fit_skipping(cut, ["query_id"], "position", "token_count", m.context_token_budget, m.final_limit)
 
 
+def rewritten(queries: DataFrame) -> DataFrame:
+    """``queries`` with their text expanded by the references it names and those asked for in ``refs``."""
+    refs = F.col("refs") if "refs" in queries.columns else F.lit(None).cast("array<string>")
+    return queries.withColumn("text", expand_query(F.col("text"), refs)).drop("refs")
+
+
+def passage_candidates(passages: DataFrame, vectors_of: DataFrame, queries: DataFrame, index: lexical.Index, mode: str = "balanced") -> DataFrame:
+    """J14 on passages: both legs of every query, merged per passage and scored.
+
+    ``passages`` are (passage_id, parent_id, language, source_key, token_count);
+    ``index`` is over them under the same ids.  ``vectors_of`` has an embedding
+    per ``passage_id``, or per ``parent_id`` where a passage is placed by its
+    document's vector.  Then the nearest documents are searched, not one copy of
+    a vector per passage: every document found has a passage, so the best
+    passages are those of as many documents at most.
+    """
+    m = MODES[mode]
+    own = "passage_id" in vectors_of.columns
+    key = "passage_id" if own else "parent_id"
+    placed = passages.select(key, "language").distinct().join(vectors_of.select(key, "embedding"), key)
+    near = vectors.nearest_batch(placed.withColumnRenamed(key, "doc_id"), queries.select("query_id", "embedding", "language"), m.leg_limit,
+                                 match="language").select("query_id", F.col("doc_id").alias(key), "semantic_score")
+    if not own:
+        spread_out = near.join(passages.select("parent_id", "passage_id"), "parent_id")
+        near = ranking.top_per_group(spread_out, ["query_id"], [F.desc("semantic_score"), F.col("passage_id")], m.leg_limit)
+    spoken = lexical.query_terms(queries, "query_id", F.col("text"), ["language"])
+    scored = lexical.scored(index, spoken, same_language=True).withColumnRenamed("doc_id", "passage_id")
+    scored = scored.join(passages.select("passage_id"), "passage_id", "left_semi")
+    leg = ranking.top_per_group(scored, ["query_id"], [F.desc("lexical_score"), F.col("passage_id")], m.leg_limit)
+    both = write_once(near.select("query_id", "passage_id", "semantic_score").join(leg.drop("rn"), ["query_id", "passage_id"], "full_outer"), "passage-legs")
+    return ranking.score_merged(both.join(passages, "passage_id"), ["query_id"])
+
+
+def passage_search(passages: DataFrame, vectors_of: DataFrame, queries: DataFrame, index: lexical.Index, mode: str = "balanced",
+                   relevance: DataFrame | None = None) -> DataFrame:
+    """L3/L5 on passages: rewritten queries, both legs, three passages of a document first, blend, context budget.
+
+    ``queries`` are (query_id, text, language, embedding) and, where given,
+    refs; columns of ``passages`` and ``vectors_of`` as for
+    ``passage_candidates``.  ``relevance`` has ``rerank`` scores under any keys of
+    the candidates (query_id, passage_id, parent_id).  Outside mode "low" it
+    re-orders the candidates in front that fit the candidate budget; what is
+    behind them is dropped, as nothing scored it.
+    """
+    m = MODES[mode]
+    queries = rewritten(queries)
+    order = [F.desc("final_score"), F.col("passage_id")]
+    ordered = ranking.diversify(passage_candidates(passages, vectors_of, queries, index, mode), ["query_id"], "parent_id", order)
+    if relevance is not None and mode != "low":
+        # At most two legs of rows for each query, so a plain running sum is bounded.
+        front = Window.partitionBy("query_id").orderBy("position")
+        shown = ordered.withColumn("_used", F.sum("token_count").over(front)).where(F.col("_used") <= m.candidate_token_budget)
+        judged = shown.join(relevance, [c for c in relevance.columns if c != "rerank"], "left")
+        blended = judged.withColumn("final_score", ranking.rerank_blend(F.col("rerank"), F.col("final_score")))
+        again = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "position")
+        ordered = blended.withColumn("position", F.row_number().over(again)).drop("_used", "rerank")
+    cut = write_once(ordered.where(F.col("position") <= m.final_limit), "passage-best")
+    fitted = ranking.fit_skipping(cut, ["query_id"], "position", "token_count", m.context_token_budget, m.final_limit)
+    return fitted.join(queries.select("query_id", F.col("text").alias("rewritten")), "query_id")
+
+
+def documents_of(hits: DataFrame) -> DataFrame:
+    """Found passages rolled up: of every document its best passage, how many were found, and its place."""
+    best = hits.groupBy("query_id", "parent_id").agg(
+        F.min("position").alias("first_position"), F.min_by("passage_id", "position").alias("best_passage"),
+        F.max("final_score").alias("score"), F.count("*").alias("passages"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first_position")))
+
+
 def context_block(hits: DataFrame, most: int) -> DataFrame:
     """The prompt context of each query; at most ``most`` hits of at most 2400 characters are joined."""
     named = lambda label, c: F.concat(F.lit(f"{label}: "), F.coalesce(c, F.lit("Unknown")))

@@ -251,6 +251,78 @@ def hybrid_search(spark, d):
         "query_id", "item", F.col("position").cast("bigint").alias("position"), "token_count", F.round("final_score", 5).alias("final_score"))
 
 
+# Lines as passages, three words of every benchmark text as a query; every fifth query names a scripture.
+_PASSAGE_TERMS_SQL = (_TERMS_SQL.replace("SELECT item_id AS query_id", "SELECT query_id").replace("FROM benchmark", "FROM asked")
+                      .replace("FROM library", "FROM passages"))
+_PASSAGE_SQL = using(LIBRARY, r"""
+passages AS (SELECT doc_id * 1000000 + i - 1 AS doc_id, doc_id AS parent_id, '' AS title, '' AS author, parts[i] AS text, language, source_key
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, language, source_key, string_split(text, chr(10)) AS parts FROM library)) WHERE parts[i] <> ''),
+asked AS (SELECT item_id AS query_id, embedding, q_language,
+    w || CASE WHEN item_id % 5 = 0 THEN ' Alma 32:21 Alma 32:21 scripture reference doctrinal citation' ELSE '' END AS text
+  FROM (SELECT b.item_id, e.embedding, l.language AS q_language, array_to_string(list_slice(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+'), 3, 5), ' ') AS w
+    FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id JOIN library l ON l.doc_id = b.item_id))
+""", _PASSAGE_TERMS_SQL) + f""",
+near AS (SELECT query_id, parent_id, s FROM (SELECT a.query_id, p.vec_id AS parent_id, {_COS.format(a='a.embedding', b='p.embedding')} AS s,
+    row_number() OVER (PARTITION BY a.query_id ORDER BY {_COS.format(a='a.embedding', b='p.embedding')} DESC, p.vec_id) AS rn
+  FROM asked a JOIN embeddings p ON true JOIN library l ON l.doc_id = p.vec_id AND l.language = a.q_language WHERE p.vec_id IN (SELECT parent_id FROM passages)) WHERE rn <= 80),
+sem AS (SELECT query_id, item, s FROM (SELECT n.query_id, p.doc_id AS item, n.s, row_number() OVER (PARTITION BY n.query_id ORDER BY n.s DESC, p.doc_id) AS rn
+  FROM near n JOIN passages p USING (parent_id)) WHERE rn <= 80),
+lex AS (SELECT query_id, item, s FROM (SELECT r.query_id, r.doc_id AS item, r.score AS s, row_number() OVER (PARTITION BY r.query_id ORDER BY r.score DESC, r.doc_id) AS rn
+  FROM ranks r JOIN asked a USING (query_id) JOIN passages p ON p.doc_id = r.doc_id AND p.language = a.q_language) WHERE rn <= 80),
+merged AS (SELECT query_id, item, coalesce(sem.s, 0) AS ss, coalesce(lex.s, 0) AS ls FROM sem FULL JOIN lex USING (query_id, item)),
+scaled AS (SELECT query_id, item,
+    CASE WHEN max(ss) OVER w = min(ss) OVER w THEN CASE WHEN ss > 0 THEN 1.0 ELSE 0.0 END ELSE (ss - min(ss) OVER w) / (max(ss) OVER w - min(ss) OVER w) END AS sn,
+    CASE WHEN max(ls) OVER w = min(ls) OVER w THEN CASE WHEN ls > 0 THEN 1.0 ELSE 0.0 END ELSE (ls - min(ls) OVER w) / (max(ls) OVER w - min(ls) OVER w) END AS ln
+  FROM merged WINDOW w AS (PARTITION BY query_id)),
+fused AS (SELECT query_id, item, 0.52 * sn + 0.36 * ln + 0.03 AS f FROM scaled),
+placed AS (SELECT query_id, item, f, row_number() OVER (PARTITION BY query_id ORDER BY nth > 3, f DESC, item) AS place
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item // 1000000 ORDER BY f DESC, item) AS nth FROM fused)),
+shown AS (SELECT * FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY place) AS used
+  FROM (SELECT x.*, len(regexp_extract_all(p.text, '[\\p{{L}}\\p{{N}}_]+|[^\\t\\n\\f\\r\\x0B \\p{{L}}\\p{{N}}_]')) AS tokens FROM placed x JOIN passages p ON p.doc_id = x.item)) WHERE used <= 22000),
+judged AS (SELECT query_id, item, tokens, f, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, place) AS position
+  FROM (SELECT s.* EXCLUDE (f), 0.7 * coalesce(b.quality, 0) + 0.3 * f AS f FROM shown s LEFT JOIN labels b ON b.doc_id = s.item // 1000000)),
+walk AS (SELECT * FROM judged WHERE position <= 12),
+fold AS (SELECT query_id, position, tokens <= 10000 AS fits, CASE WHEN tokens <= 10000 THEN tokens ELSE 0 END AS used FROM walk WHERE position = 1
+  UNION ALL SELECT w.query_id, w.position, o.used + w.tokens <= 10000, o.used + CASE WHEN o.used + w.tokens <= 10000 THEN w.tokens ELSE 0 END
+  FROM fold o JOIN walk w ON w.query_id = o.query_id AND w.position = o.position + 1),
+fitted AS (SELECT w.*, a.text AS rewritten FROM walk w JOIN fold USING (query_id, position) JOIN asked a USING (query_id) WHERE fits)"""
+
+
+def _passage_hits(spark, d):
+    docs = lib.documents(spark, d)
+    lines = docs.select("doc_id", "language", "source_key", F.posexplode(F.split("text", "\n")).alias("n", "text")).where("text <> ''")
+    number = F.col("doc_id") * 1_000_000 + F.col("n")
+    index = lexical.open_index(lines.select(number.alias("doc_id"), "language", F.lit("").alias("title"), F.lit("").alias("author"), "text"), "lines-by-language")
+    passages = lines.select(number.alias("passage_id"), F.col("doc_id").alias("parent_id"), "language", "source_key",
+                            t.token_count(F.col("text")).cast("bigint").alias("token_count"))
+    points = lib.table(spark, d, "embeddings").select(F.col("vec_id").alias("parent_id"), "embedding")
+    three = F.array_join(F.slice(lexical.words(F.col("text")), 3, 3), " ")
+    asked = (lib.table(spark, d, "benchmark").select(F.col("item_id").alias("parent_id"), three.alias("text"))
+             .join(points, "parent_id").join(docs.select(F.col("doc_id").alias("parent_id"), "language"), "parent_id")
+             .withColumn("text", F.concat("text", F.when(F.col("parent_id") % 5 == 0, " Alma 32:21").otherwise(""))).withColumnRenamed("parent_id", "query_id"))
+    judged = lib.table(spark, d, "labels").select(F.col("doc_id").alias("parent_id"), F.col("quality").cast("double").alias("rerank"))
+    return search.passage_search(passages, points, asked, index, relevance=judged)
+
+
+@query("passage_hybrid", "L3 L5 J14 W2 W3 W4 X51 X52 X53", _PASSAGE_SQL + """
+SELECT query_id, rewritten, item // 1000000 AS doc_id, item % 1000000 AS chunk_index, position, round(f, 5) AS final_score FROM fitted""")
+def passage_hybrid(spark, d):
+    """Passages placed by their document's vector and their own words; labels stand in for a model's relevance."""
+    return _passage_hits(spark, d).select(
+        "query_id", "rewritten", F.col("parent_id").alias("doc_id"), (F.col("passage_id") % 1_000_000).alias("chunk_index"),
+        F.col("position").cast("bigint").alias("position"), F.round("final_score", 5).alias("final_score"))
+
+
+@query("passage_documents", "L3 L5 R9", _PASSAGE_SQL + """
+SELECT query_id, item // 1000000 AS doc_id, min_by(item, position) AS best_passage, count(*) AS passages, round(max(f), 5) AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY min(position)) AS place FROM fitted GROUP BY query_id, item // 1000000""")
+def passage_documents(spark, d):
+    """The found passages rolled up to one row per query and document."""
+    return search.documents_of(_passage_hits(spark, d)).select(
+        "query_id", F.col("parent_id").alias("doc_id"), "best_passage", "passages", F.round("score", 5).alias("score"),
+        F.col("place").cast("bigint").alias("place"))
+
+
 @query("context_blocks", "P8 L5", _fused_sql() + _FITTED_SQL + """
 SELECT query_id, string_agg(concat_ws(chr(10), '[' || position || ']', 'Title: ' || title, 'Source: ' || coalesce(source_key, 'Unknown'),
     'Language: ' || coalesce(language, 'unknown'), 'Text:', left(text, 2400)), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS context
