@@ -1,7 +1,7 @@
 """Upserts and other stateful steps, as pure functions from old and new rows to the next table.
 
 Plain files have no MERGE, so each step returns the whole next state; the sinks
-in ``sources.tables`` write it as a new version.
+in ``sources.tables`` write it for the parts of the table that a batch touches.
 """
 
 from __future__ import annotations

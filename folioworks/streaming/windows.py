@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from folioworks.operators.incremental import last_per_key
 from folioworks.session import scratch_path
-from folioworks.sources.tables import VersionedTable
+from folioworks.sources.tables import KeyedTable
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -68,17 +68,19 @@ def _whole_seconds(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield chunk.assign(ts=chunk["ts"].astype("datetime64[ns]"))
 
 
-def upsert_sink(stream: DataFrame, table: VersionedTable, keys: Sequence[str], order: str,
-                merge: Callable[[DataFrame, DataFrame], DataFrame], initial: DataFrame) -> Callable[[DataFrame, int], None]:
-    """I1/I7 on a stream: every micro-batch is reduced to one row per key and merged.
+def upsert_sink(table: KeyedTable, order: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
+                writer: str = "stream") -> Callable[[DataFrame, int], None]:
+    """I1/I7 on a stream: every micro-batch is reduced to one row per key and merged into the parts it touches.
 
-    A batch that is replayed after a failure merges to the same state, because
-    the merge compares content hashes.
+    ``writer`` names the stream's checkpoint: its batch numbers are kept with the
+    table's state, so a batch replayed after a failure changes nothing.
     """
-    def apply(batch: DataFrame, _: int) -> None:
-        newest = last_per_key(batch, keys, F.col(order))
-        stored = table.read()
-        table.write(merge(stored if stored is not None else initial, newest))
+    def apply(batch: DataFrame, number: int) -> None:
+        newest = last_per_key(batch, table.keys, F.col(order)).persist()  # read for the parts, then for the rows
+        try:
+            table.apply(newest, merge, writer, number)
+        finally:
+            newest.unpersist()
 
     return apply
 
