@@ -153,7 +153,7 @@ def build_index(documents: DataFrame, title: str = "title", second: str = "autho
 _OPEN: dict[tuple[str, str], Index] = {}
 
 
-def _state_of(documents: DataFrame, settings: str) -> str:
+def files_state(documents: DataFrame, settings: str) -> str:
     """A digest of what an index is made from: the files with their sizes and times, and the settings."""
     spark, lines = documents.sparkSession, [LAYOUT, settings, str(BUCKETS)]
     for file in sorted(documents.inputFiles()):
@@ -171,7 +171,7 @@ def open_index(documents: DataFrame, label: str, title: str = "title", second: s
     has no mark of completion and is not opened.
     """
     spark = documents.sparkSession
-    state = _state_of(documents, f"{label} {title} {second} {body} {by_language}")
+    state = files_state(documents, f"{label} {title} {second} {body} {by_language}")
     key = (spark.sparkContext.applicationId, state)
     if key not in _OPEN:
         index = Index(spark, f"{shared_dir(spark).rstrip('/')}/postings-{state}")

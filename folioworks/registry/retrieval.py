@@ -179,6 +179,19 @@ def nearest_vectors_batch(spark, d):
         "query_id", "doc_id", F.round("semantic_score", 6).alias("score"))
 
 
+@query("nearest_in_cells", "O3 F4 S12", f"""
+SELECT query_id, doc_id, label, round(s, 6) AS score FROM (SELECT b.item_id AS query_id, p.vec_id AS doc_id, p.label, {_COS.format(a='q.embedding', b='p.embedding')} AS s,
+  row_number() OVER (PARTITION BY b.item_id ORDER BY {_COS.format(a='q.embedding', b='p.embedding')} DESC, p.vec_id) AS rn
+  FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id JOIN embeddings p ON p.label % 3 <> 1) WHERE rn <= 8""")
+def nearest_in_cells(spark, d):
+    """The stored table with a condition on the payload."""
+    points = lib.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    asked = (lib.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+             .join(points.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id"))
+    found = vectors.stored_vectors(points, "embeddings").search(asked, 8, F.col("label") % 3 != 1)
+    return found.join(points.select("doc_id", "label"), "doc_id").select("query_id", "doc_id", "label", F.round("semantic_score", 6).alias("score"))
+
+
 @query("latest_vector_points", "S12 R48", """
 SELECT label AS cell, max(vec_id) AS doc_id, arg_max(len(embedding), vec_id) AS dimensions FROM embeddings GROUP BY label""")
 def latest_vector_points(spark, d):
