@@ -73,10 +73,9 @@ def test_match_and_rank_against_brute_force(spark):
     assert all(abs(found[k] - expected[k]) < 1e-9 for k in expected)
 
 
-@pytest.mark.parametrize("tile, block", [(8192, 1024), (7, 2)])
-def test_nearest_batch_against_numpy(spark, monkeypatch, tile, block):
+@pytest.mark.parametrize("tile", [8192, 7])
+def test_nearest_batch_against_numpy(spark, monkeypatch, tile):
     monkeypatch.setattr(vectors, "TILE_POINTS", tile)
-    monkeypatch.setattr(vectors, "BLOCK_QUERIES", block)
     rng = np.random.default_rng(1)
     points, asked = rng.normal(size=(50, 8)), rng.normal(size=(5, 8))
     p = spark.createDataFrame([(i, [float(x) for x in v], "ab"[i % 2]) for i, v in enumerate(points)],
