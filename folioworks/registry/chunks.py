@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import text as t
 from folioworks.operators import chunking, usage
-from folioworks.plans import pipelines
+from folioworks.plans import index_run, pipelines
 from folioworks.registry import query
 from folioworks.registry.prelude import PARAGRAPHS, USAGE, using
+from folioworks.session import scratch_path
 from folioworks.sources import library as lib
 
 
@@ -78,3 +79,19 @@ def crawl_to_index(spark, d):
     records = pipelines.crawl_to_documents(lib.table(spark, d, "pages"))
     documents = records.select(F.col("page_id").alias("doc_id"), "text", "language")
     return pipelines.documents_to_index(documents, "quality")[1]
+
+
+@query("resumed_index_run", "I17 R35 I9", """
+WITH now AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, doc_id % 3 <> 0 AS early, doc_id % 5 = 0 AS drafted FROM documents),
+first_lines AS (SELECT DISTINCT line FROM (SELECT unnest(lines) AS line FROM now WHERE early UNION ALL SELECT 'Draft') WHERE line <> ''),
+passages AS (SELECT n.doc_id, n.early AND NOT n.drafted AS settled, f.line IS NOT NULL AS known
+  FROM (SELECT doc_id, early, drafted, unnest(lines) AS line FROM now) n LEFT JOIN first_lines f USING (line) WHERE n.line <> '')
+SELECT n.doc_id, CASE WHEN n.early AND NOT n.drafted THEN 1 ELSE 2 END AS run, count(p.doc_id) AS passages,
+  count(*) FILTER (WHERE NOT p.settled AND p.known) AS reused FROM now n LEFT JOIN passages p USING (doc_id) GROUP BY ALL""")
+def resumed_index_run(spark, d):
+    docs = lib.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    draft = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Draft\n"), "text")).otherwise(F.col("text"))
+    run = index_run.IndexRun(spark, scratch_path(spark, "index"), index_run.line_passages, index_run.profile_vectors, parts=8)
+    run.run(docs.where("doc_id % 3 <> 0").withColumn("text", draft), 1)
+    run.run(docs, 2)
+    return run.state()

@@ -1,10 +1,10 @@
 """Scans, sources and sinks."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from folioworks.functions.text import raw_hash
 from folioworks.functions.urls import asset_key
-from folioworks.operators import catalog
+from folioworks.operators import catalog, schemas
 from folioworks.registry import query
 from folioworks.registry.prelude import LIBRARY, using
 from folioworks.session import inline_table
@@ -17,7 +17,7 @@ def active_documents(spark, d):
     return catalog.active(lib.documents(spark, d)).groupBy("language").agg(F.count("*").alias("n"))
 
 
-@query("column_profile", "S2 R32", """
+@query("column_profile", "S2", """
 SELECT 'doc_id' AS column_name, 'bigint' AS data_type, count(doc_id) AS filled FROM documents UNION ALL
 SELECT 'text', 'string', count(text) FROM documents UNION ALL
 SELECT 'lang', 'string', count(lang) FROM documents UNION ALL
@@ -82,3 +82,21 @@ def table_policies(spark, d):
         F.count("*").alias("rows"))
     return policies.join(counts, "visibility", "left").select(
         "visibility", "allowed", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+@query("schema_differences", "R32", """
+SELECT 'documents' AS table_name, 'doc_id' AS path, 'bigint' AS expected, 'bigint' AS actual, 'same' AS verdict, count(doc_id) AS filled, NULL::BIGINT AS convertible FROM documents UNION ALL
+SELECT 'documents', 'text', 'string', 'string', 'same', count(text), NULL FROM documents UNION ALL
+SELECT 'documents', 'lang', NULL, 'string', 'extra', count(lang), NULL FROM documents UNION ALL
+SELECT 'documents', 'source', 'int', 'string', 'incompatible', count(source), count(TRY_CAST(source AS INTEGER)) FROM documents UNION ALL
+SELECT 'documents', 'n_chars', 'int', 'bigint', 'incompatible', count(n_chars), count(TRY_CAST(n_chars AS INTEGER)) FROM documents UNION ALL
+SELECT 'documents', 'review', 'struct', NULL, 'missing', NULL, NULL UNION ALL
+SELECT 'documents', 'review.score', 'double', NULL, 'missing', NULL, NULL UNION ALL
+SELECT 'labels', 'doc_id', 'bigint', 'bigint', 'same', count(doc_id), NULL FROM labels UNION ALL
+SELECT 'labels', 'quality', 'decimal(20,0)', 'int', 'widened', count(quality), NULL FROM labels UNION ALL
+SELECT 'labels', 'toxic', 'boolean', 'int', 'incompatible', count(toxic), count(CAST(toxic AS BOOLEAN)) FROM labels""")
+def schema_differences(spark, d):
+    documents = T.StructType.fromDDL("doc_id bigint, text string, source int, n_chars int, review struct<score: double>")
+    labels = T.StructType.fromDDL("doc_id bigint, quality decimal(20,0), toxic boolean")
+    return schemas.schema_diff(lib.table(spark, d, "documents"), documents, "documents").unionAll(
+        schemas.schema_diff(lib.table(spark, d, "labels"), labels, "labels"))
