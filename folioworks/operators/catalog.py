@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from folioworks import fixed_values as fv
 from folioworks.functions.text import content_hash, normalize_title
 from folioworks.functions.urls import normalize_source_type
 from folioworks.operators.filters import resolve_column, seed_flag, source_match, source_type_of
 from folioworks.operators.ranking import top_per_group
-from folioworks.session import inline_table, spread, write_once
+from folioworks.session import inline_table, spread
 
 
 def display_status() -> Column:
@@ -106,10 +106,9 @@ def list_documents(documents: DataFrame, sources: DataFrame, *, limit: int = 30,
                    decisions: DataFrame | None = None) -> DataFrame:
     """One page with the total of the whole selection.
 
-    The texts are read once: what the page shows of each selected document is
-    stored, and both the page and the total come from there.  The total is a
-    scalar subquery rather than a window over everything, which would move the
-    selection into a single task.
+    The selection is read once, here: narrow keys go to a top-k, and the total
+    is counted on their way there.  What the page shows is then fetched for its
+    ids, at most 100, by a filter that reaches the scan.  Ids are unique.
     """
     limit, offset = max(1, min(limit, 100)), max(0, offset)
     rows = active(spread(documents) if search else documents)
@@ -131,17 +130,17 @@ def list_documents(documents: DataFrame, sources: DataFrame, *, limit: int = 30,
         rows = rows.where(~seed_flag(F.col("raw_metadata")))
     if cursor is not None:
         rows = rows.where(F.col("doc_id") > cursor)
-    shown = rows.select(
-        "doc_id", "title", "author", "source_key", source_type_of(rows).alias("source_type"), "language",
-        display_status().alias("display_status"), "canonical_url", source_url_of(rows).alias("source_url"),
+    keys = rows.select("doc_id", F.unix_seconds("updated_at").alias("updated_s"), seed_flag(F.col("raw_metadata")).alias("seed"))
+    counted = Observation()
+    page = (keys.observe(counted, F.count(F.lit(1)).alias("n"))
+            .orderBy(F.when(F.col("seed"), 1).otherwise(0), F.desc("updated_s"), "doc_id").offset(offset).limit(limit).collect())
+    shown = documents.where(F.col("doc_id").isin([row["doc_id"] for row in page])).select(
+        "doc_id", "title", "author", "source_key", source_type_of(documents).alias("source_type"), "language",
+        display_status().alias("display_status"), "canonical_url", source_url_of(documents).alias("source_url"),
         F.left(F.coalesce("text", F.lit("")), F.lit(360)).alias("excerpt"),
         F.unix_seconds("updated_at").alias("updated_s"), seed_flag(F.col("raw_metadata")).alias("seed"))
-    if search:
-        shown = write_once(shown, "listing")
-    total = shown.agg(F.count("*").alias("n")).scalar()
-    page = shown.orderBy(F.when(F.col("seed"), 1).otherwise(0), F.desc("updated_s"), "doc_id").offset(offset).limit(limit)
-    named = page.join(sources.select("source_key", "source_name"), "source_key")
-    return named.withColumn("total", total)
+    named = shown.join(sources.select("source_key", "source_name"), "source_key")
+    return named.withColumn("total", F.lit(counted.get["n"]).cast("long"))
 
 
 def source_dashboard(documents: DataFrame, jobs: DataFrame, sources: DataFrame) -> DataFrame:
