@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioworks import fixed_values as fv
 from folioworks.functions import text as t, urls
+from folioworks.operators.ranking import top_per_group
 
 
 def cleanup_reasons() -> Column:
@@ -123,13 +124,14 @@ def tag_updates(tags: DataFrame, slugify) -> tuple[DataFrame, DataFrame]:
     moves = wanted.where((F.col("desired") != "") & ~F.col("slug").eqNullSafe(F.col("desired")))
     owners = wanted.where(F.col("slug") != "").groupBy(F.col("slug").alias("desired")).agg(
         F.min("tag_id").alias("owner"))
-    claims = wanted.where(F.col("desired") != "").groupBy("desired").agg(
-        F.min("tag_id").alias("first_claim"), F.max("tag_id").alias("last_claim"))
+    # The two smallest claims are enough: a tag's rival is the smallest that is not its own.
+    claims = top_per_group(wanted.where(F.col("desired") != "").select("desired", "tag_id").distinct(), ["desired"], [F.col("tag_id")], 2)
+    claims = claims.groupBy("desired").agg(F.min("tag_id").alias("first_claim"), F.max("tag_id").alias("next_claim"))
     judged = moves.join(owners, "desired", "left").join(claims, "desired")
     rival = F.coalesce(
         F.col("owner"),
         F.when(F.col("first_claim") != F.col("tag_id"), F.col("first_claim"))
-        .when(F.col("last_claim") != F.col("tag_id"), F.col("last_claim")))
+        .when(F.col("next_claim") != F.col("tag_id"), F.col("next_claim")))
     judged = judged.withColumn("rival", rival)
     conflicts = judged.where(F.col("rival").isNotNull()).select("tag_id", "slug", "desired", "rival")
     updates = judged.where(F.col("rival").isNull()).select("tag_id", "slug", "desired")
