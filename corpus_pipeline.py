@@ -38,7 +38,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of near copies: five-word shingles with a similarity of 0.8 or more."""
+    """Keeps the smallest id of every group of near copies: five-word shingles with a similarity of 0.8 or more.
+
+    SimHash names pairs, exact sets verify them, and prefix keys find what the radius misses.
+    """
     return shingle_dups.keep_one(docs)
 
 

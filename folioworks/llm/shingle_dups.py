@@ -7,6 +7,11 @@ order, which makes keys rare and changes no result.  A key that one node holds
 finds nothing and is dropped before keys meet: what the others are is sent to
 the tasks as an array of bits of fixed size at most.
 
+First the nodes are linked by SimHash: fingerprints of their shingles that differ
+in a few bits name pairs, which are verified on the whole sets.  A radius misses
+pairs that have the similarity, so the rest is found by keys, among nodes that
+no link joins yet.
+
 Nodes that share keys are counted by pairs.  Common shingles that are keys of
 one of two nodes only lie behind the other's keys, so a similar pair shares at
 least as many keys as its sizes ask for, and only such pairs are verified on the
@@ -32,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioworks.llm import simhash
 from folioworks.llm.common import bounded_batches, connected_components, slices
 from folioworks.session import cut_lineage, drop_stored, write_once
 
@@ -41,6 +47,8 @@ SEED = 42
 PART, WHOLE = 4, 5
 #: One in so many nodes is sampled; shingles of at least so many sampled nodes come last, so many of them at most.
 SAMPLED, OFTEN, MOST_OFTEN = 16, 8, 200_000
+#: Bits in which the fingerprints of a pair differ that SimHash names.
+RADIUS = 3
 #: Longs of a set's parity bits: bit i is the parity of how many shingles fall on it.
 PARITY_LONGS = 4
 #: Keys that one batch hands on.
@@ -73,6 +81,11 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(counts & 1).astype(np.uint8).view(np.int64)
 
 
+def print_of(shingles: np.ndarray) -> int:
+    """The SimHash of a set: a bit is 1 if it is set in over half the shingles."""
+    return int(np.packbits(2 * simhash._bit_counts(shingles.view(np.uint64)) > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
 
@@ -89,17 +102,18 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingled(texts: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, mark, node, n, parity, sample) of every row; ``sample`` has the shingles of one in ``SAMPLED`` nodes."""
+    """(id, mark, node, n, print, parity, sample) of every row; ``sample`` has the shingles of one in ``SAMPLED`` nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             nodes = [node_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([parity(s) for s in sets]),
-                 _lists([s if n % SAMPLED == 0 else s[:0] for s, n in zip(sets, nodes)])], ["id", "mark", "node", "n", "parity", "sample"])
+                [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([print_of(s) for s in sets], pa.int64()),
+                 _lists([parity(s) for s in sets]), _lists([s if n % SAMPLED == 0 else s[:0] for s, n in zip(sets, nodes)])],
+                ["id", "mark", "node", "n", "print", "parity", "sample"])
 
-    return texts.mapInArrow(run, "id long, mark long, node long, n long, parity array<long>, sample array<long>")
+    return texts.mapInArrow(run, "id long, mark long, node long, n long, print long, parity array<long>, sample array<long>")
 
 
 def often(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -252,6 +266,22 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int
     return found
 
 
+def print_pairs(sketches: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b, n_both): nodes whose fingerprints are equal or linked within ``radius`` bits.
+
+    Of equal fingerprints the smallest node meets the others and stands for
+    them; links between fingerprints are a spanning forest for each pair of tiles.
+    """
+    named = sketches.groupBy("print").agg(F.min(F.struct("node", "n")).alias("first"))
+    named = write_once(named.select("print", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n")), "shingle-prints")
+    same = sketches.join(named, "print").where("node != hub").select("node", "n", "hub", "hub_n")
+    near = simhash.links(named.select(F.col("print").alias("fingerprint")), radius)
+    side = lambda x, node, n: named.select(F.col("print").alias(x), F.col("hub").alias(node), F.col("hub_n").alias(n))
+    near = near.join(side("a", "node", "n"), "a").join(side("b", "hub", "hub_n"), "b").select("node", "n", "hub", "hub_n")
+    return (same.unionByName(near).where(_sizes_allow("n", "hub_n"))
+            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), (F.col("n") + F.col("hub_n")).alias("n_both")).distinct())
+
+
 def _hub_pairs(open_: DataFrame, turn: int) -> DataFrame:
     """(a, b, n_both): every node with one node of each of its keys; the choice changes with ``turn``."""
     choice = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
@@ -261,18 +291,16 @@ def _hub_pairs(open_: DataFrame, turn: int) -> DataFrame:
                     (F.col("n") + F.col("hub_n")).alias("n_both")).distinct())
 
 
-def _still_open(open_: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, int, int]:
+def _still_open(open_: DataFrame, edges: DataFrame) -> tuple[DataFrame, int, int]:
     """(keys of more than one component with the nodes' roots, stored; their rows; pairs of unlinked nodes in them)."""
-    rooted = open_
-    if edges is not None:
-        roots = connected_components(edges)
-        rooted = (open_.drop("root").join(roots.withColumnRenamed("node", "joined"), F.col("node") == F.col("joined"), "left")
-                  .select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    roots = connected_components(edges)
+    rooted = (open_.drop("root").join(roots.withColumnRenamed("node", "joined"), F.col("node") == F.col("joined"), "left")
+              .select("key", "node", "n", F.coalesce("root", "node").alias("root")))
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(
         F.count("*").alias("roots"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same")).where("roots > 1")
     parts = write_once(parts, "shingle-parts")
     found = parts.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()
-    kept = open_ if edges is None else write_once(rooted.join(parts.select("key"), "key", "left_semi"), "shingle-open")
+    kept = write_once(rooted.join(parts.select("key"), "key", "left_semi"), "shingle-open")
     drop_stored(parts)
     return kept, int(found[0] or 0), int(found[1] or 0)
 
@@ -306,9 +334,9 @@ def shared_enough(open_: DataFrame) -> DataFrame:
 def links(texts: DataFrame, marked: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(a, b): links that join exactly the nodes of ``marked`` that are similar, directly or through others."""
     open_ = open_keys(texts, marked, width)
-    sketches = marked.groupBy("node").agg(F.min("mark").alias("mark"), F.min("parity").alias("parity"))
+    sketches = marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("mark", "n", "print", "parity")])
     sketches = write_once(sketches.join(open_.select("node").distinct(), "node", "left_semi"), "shingle-sketches")
-    edges, before = None, None
+    edges, before = verified(possible(print_pairs(sketches), sketches), sketches, texts, width), None
     for turn in range(ROUNDS + 1):
         still, rows, pairs = _still_open(open_, edges)
         if still is not open_:
@@ -318,11 +346,11 @@ def links(texts: DataFrame, marked: DataFrame, width: int = SHINGLE_WORDS) -> Da
             break
         before = pairs
         found = verified(possible(_hub_pairs(open_, turn), sketches), sketches, texts, width)
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(found)
     rest = verified(shared_enough(open_), sketches, texts, width)
     for done in (open_, sketches):
         drop_stored(done)
-    return rest if edges is None else edges.unionByName(rest)
+    return edges.unionByName(rest)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
