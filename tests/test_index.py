@@ -151,3 +151,32 @@ def test_candidates_are_the_same_when_nothing_can_be_sent(spark, monkeypatch):
     monkeypatch.setattr(lexical, "SENT_WORDS", 0)
     monkeypatch.setattr(lexical, "SENT_DOCUMENTS", 0)
     assert hits(index, asked) == sent == {(1, 2), (1, 3), (2, 1), (2, 3), (3, 6)}
+
+
+def test_only_documents_with_the_rarest_words_are_looked_up(spark):
+    """A query's frequent words bring no candidates: what is stored for them is no larger than the matches of its rarest ones."""
+    rows = [(i, "", None, " ".join(["all", f"half{i % 2}", f"third{i % 3}", f"fifth{i % 5}"]), "en") for i in range(120)]
+    index = lexical.build_index(spark.createDataFrame(rows, SCHEMA))
+    asked = [(1, None, ["all", "half0", "third0", "fifth0"]), (2, None, ["all"]), (3, None, ["all", "half1"]), (4, None, ["all", "missing"]), (5, None, ["half0", "half1"])]
+    seen, store = {}, lexical.write_once
+
+    def noted(df, label):
+        seen[label] = store(df, label)
+        return seen[label]
+
+    lexical.write_once = noted
+    try:
+        got = hits(index, asked)
+    finally:
+        lexical.write_once = store
+    assert got == {(1, i) for i in range(0, 120, 30)} | {(2, i) for i in range(120)} | {(3, i) for i in range(1, 120, 2)}
+    looked_up = {(1, i) for i in range(0, 120, 15)} | {x for x in got if x[0] == 3}
+    assert {(r.query_id, r.doc_id) for r in seen["query-candidates"].collect()} == looked_up
+
+
+def test_words_of_one_lexeme_are_one_hit_list(spark):
+    docs = [(1, "", None, "talk talked again", "en"), (2, "", None, "talks", "en")]
+    index = lexical.build_index(spark.createDataFrame(docs, SCHEMA), by_language=True)
+    asked = spark.createDataFrame([(1, "en", ["talking"]), (2, "en", ["again"])], "query_id long, language string, terms array<string>")
+    got = {(r.query_id, r.doc_id): [h.at for h in r.hits] for r in lexical.match_all(index, asked).collect()}
+    assert got == {(1, 1): [1, 2], (1, 2): [1], (2, 1): [3]}
