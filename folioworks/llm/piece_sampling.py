@@ -29,7 +29,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -45,9 +47,10 @@ BLANK = "▁"
 SHORT = 40
 #: Words whose lattice a worker remembers, and rows that are sampled at a time.
 REMEMBERED = 150_000
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 400_000  # arrays of a group stay in the caches
 #: No piece holds a Latin letter and one of these signs, so letters in front of such a sign are a word of their own.
 _WORD = re.compile(f"{BLANK}*+[A-Za-z\u00c0-\u024f]++(?=[.,;:!?])|{BLANK}*+[^{BLANK}\n]++|{BLANK}++|\n")
+_SIGNS = np.isin(np.arange(129), [ord(c) for c in ".,;:!?"])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +67,7 @@ def _processor(path: str):
 
 
 class Lattices:
-    """Word lattices in growing flat arrays.
+    """Word lattices in flat arrays that grow in place: who reads them is done before the next words are made known.
 
     A node has consecutive edges from ``first`` on, the likeliest in front;
     ``upto`` is the probability of its edges so far, 1 at the last one.
@@ -88,12 +91,15 @@ class Lattices:
                 self.weight[piece] = (i, 1.0 / (2.0 + min(-model.get_score(i), size)))
         self.rare = 1.0 / (2.0 + size)
         self.tables = self._prefix_tables()
+        self.single = self._single_table()
+        self.room = {"first": np.zeros(1 << 16, np.int32), "upto": np.zeros(1 << 18), "piece": np.zeros(1 << 18, np.int32),
+                     "next": np.zeros(1 << 18, np.int32), "prob": np.zeros(1 << 18)}
         self.fallback: dict[int, int] = {}
         self.spelt: list[bytes] = []  # what a negative piece number stands for
         self.reset()
 
     def _prefix_tables(self) -> list[tuple[np.ndarray, ...]]:
-        """For each length the pieces' beginnings: hash, piece or -1, weight, and whether a longer piece begins so."""
+        """For each length the pieces' beginnings: hash, piece or -1, weight, whether a longer piece begins so, and where a bucket of hashes begins."""
         names, tables = [p for p in self.weight if len(p) <= self.LONGEST], []
         codes, sizes = _codes("".join(names)), np.array([len(p) for p in names])
         begin, hashes = np.cumsum(sizes) - sizes, np.zeros(len(names), np.uint64)
@@ -106,14 +112,52 @@ class Lattices:
             piece, weight, more = np.full(len(table), -1, np.int32), np.zeros(len(table)), np.zeros(len(table), bool)
             whole = sizes == length
             piece[place[whole]], weight[place[whole]], more[place[~whole]] = ids[whole], weights[whole], True
-            tables.append((table, piece, weight, more))
+            bucket = self._bucket(table, bits := len(table).bit_length() + 2)
+            order = np.argsort(bucket, kind="stable")
+            begins = np.searchsorted(bucket[order], np.arange((1 << bits) + 1)).astype(np.int32)
+            tables.append((np.append(table[order], np.uint64(0)), np.append(piece[order], np.int32(-1)), np.append(weight[order], 0.0),
+                           np.append(more[order], False), begins))
         return tables
 
+    @staticmethod
+    def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+        return ((hashes * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _spots(self, hashes: np.ndarray, table: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where the hashes are in the table; the last, empty place for those that are not."""
+        bucket = self._bucket(hashes, len(begins).bit_length() - 1)
+        spot = begins[bucket].astype(np.int64)
+        open_ = np.flatnonzero(table[spot] != hashes)
+        while len(open_):
+            further = spot[open_] + 1
+            over = further >= begins[bucket[open_] + 1]
+            spot[open_] = np.where(over, len(table) - 1, further)
+            open_ = open_[np.flatnonzero(~over & (table[further - over] != hashes[open_]))]
+        return spot
+
+    def _single_table(self) -> np.ndarray:
+        """For each character its place in the table of length one."""
+        table, *_, begins = self.tables[0]
+        return self._spots(np.arange(1, 0x110001, dtype=np.uint64), table, begins).astype(np.int32)
+
     def reset(self) -> None:
         self.start: dict[str, int] = {}
         self.passing: list[str] = []  # long words, whose nodes and edges lie behind all others
-        self.first = np.zeros(1, np.int32)
-        self.upto, self.piece, self.next, self.prob = (np.zeros(0, kind) for kind in (np.float64, np.int32, np.int32, np.float64))
+        self._keep(1, 0)
+
+    def _keep(self, nodes: int, edges: int) -> None:
+        self.first = self.room["first"][:nodes]
+        self.upto, self.piece, self.next, self.prob = (self.room[name][:edges] for name in ("upto", "piece", "next", "prob"))
+
+    def _append(self, name: str, new: np.ndarray) -> None:
+        """Puts ``new`` behind the array; one that is full moves to twice the room."""
+        old, room = getattr(self, name), self.room[name]
+        size = len(old) + len(new)
+        if size > len(room):
+            self.room[name] = np.zeros(2 * size, room.dtype)
+            self.room[name][:len(old)] = old
+        self.room[name][len(old):size] = new
+        setattr(self, name, self.room[name][:size])
 
     def _spell(self, code: int) -> int:
         """A character without a piece: its byte, or a number that stands for its bytes."""
@@ -124,22 +168,24 @@ class Lattices:
             self.fallback[code] = self.bytes[raw[0]] if len(raw) == 1 else -len(self.spelt)
         return self.fallback[code]
 
-    def know(self, words: set[str]) -> None:
-        """Lattices of all ``words``; those of long ones are given up at the next call."""
+    def know(self, words: list[str]) -> np.ndarray:
+        """The first nodes of distinct ``words``; the lattices of long ones are given up at the next call."""
         if self.passing:
-            self.first = self.first[:self.lasting[0]]
-            for name in ("upto", "piece", "next", "prob"):
-                setattr(self, name, getattr(self, name)[:self.lasting[1]])
+            self._keep(*self.lasting)
             for word in self.passing:
                 del self.start[word]
             self.passing = []
         if len(self.start) > REMEMBERED:
             self.reset()
-        fresh = [w for w in words if w not in self.start]
-        self.add([w for w in fresh if len(w) <= SHORT])
+        found = list(map(self.start.get, words))
+        fresh = [i for i, start in enumerate(found) if start is None]
+        self.add([words[i] for i in fresh if len(words[i]) <= SHORT])
         self.lasting = len(self.first), len(self.upto)
-        self.passing = [w for w in fresh if len(w) > SHORT]
+        self.passing = [words[i] for i in fresh if len(words[i]) > SHORT]
         self.add(self.passing)
+        for i in fresh:
+            found[i] = self.start[words[i]]
+        return np.array(found, np.int32)
 
     def add(self, words: list[str]) -> None:
         """The lattices of new words; the nodes of a word are its characters."""
@@ -148,27 +194,41 @@ class Lattices:
         codes = _codes("".join(words))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the word's end
-        at, hashes, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
-        for length, (table, pieces, weights, more) in enumerate(self.tables, 1):
-            hashes = hashes * self.BASE + codes[at + length - 1] + np.uint64(1)
-            spot = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-            begun = table[spot] == hashes
-            hit = np.flatnonzero(begun & (pieces[spot] >= 0))
-            found.append((at[hit], np.full(len(hit), length), pieces[spot[hit]], weights[spot[hit]]))
+        at, hashes, found, count = np.arange(len(codes)), np.zeros(len(codes), np.uint64), [], np.zeros(len(codes), np.int64)
+        for length, (table, pieces, weights, more, begins) in enumerate(self.tables, 1):
+            if length == 1:
+                hashes = codes + np.uint64(1)
+                spot = self.single[codes]
+            else:
+                hashes = hashes * self.BASE + codes[at + length - 1] + np.uint64(1)
+                spot = self._spots(hashes, table, begins)
+            hit = np.flatnonzero(pieces[spot] >= 0)
+            found.append((at[hit], count[at[hit]], np.full(len(hit), length), pieces[spot[hit]], weights[spot[hit]]))
+            count[at[hit]] += 1
             if length == 1:
                 lost = np.delete(at, hit)
                 distinct, place = np.unique(codes[lost], return_inverse=True)
                 spelt = np.array([self._spell(int(c)) for c in distinct], np.int32)
-                found.append((lost, np.ones(len(lost), np.int64), spelt[place], np.full(len(lost), self.rare)))
-            on = np.flatnonzero(begun & more[spot] & (left[at] > length))  # only these can become longer pieces
+                found.append((lost, count[lost], np.ones(len(lost), np.int64), spelt[place], np.full(len(lost), self.rare)))
+                count[lost] += 1
+            on = np.flatnonzero(more[spot] & (left[at] > length))  # only these can become longer pieces
             at, hashes = at[on], hashes[on]
-        node, length, piece, weight = (np.concatenate(x) for x in zip(*found))
+        # Edges by the characters left, then node, then length, without a comparison: nodes in that order, edges counted off.
+        ranked = np.argsort(left.astype(np.uint16) if int(left.max()) < 1 << 16 else left, kind="stable")
+        begin = np.empty(len(codes), np.int64)
+        begin[ranked] = np.cumsum(count[ranked]) - count[ranked]
+        edges = int(count.sum())
+        node, length, piece, weight = (np.empty(edges, kind) for kind in (np.int64, np.int64, np.int32, np.float64))
+        for at, nth, *rest in found:
+            spot = begin[at] + nth
+            node[spot] = at
+            for whole, part in zip((length, piece, weight), rest):
+                whole[spot] = part
         # Mass of the ways to the word's end, from its last character back.
         mass = np.ones(len(codes) + 1)
-        order = np.argsort(left[node] << 40 | node << 8 | length)  # no two edges of a node are equally long
-        node, length, piece, weight = node[order], length[order], piece[order], weight[order]
-        cuts = np.searchsorted(left[node], np.arange(1, int(left.max()) + 2))
-        ends = left[node] == length
+        remaining = left[node]
+        cuts = np.searchsorted(remaining, np.arange(1, int(left.max()) + 2))
+        ends = remaining == length
         way, fresh = np.empty(len(node)), np.concatenate([[True], node[1:] != node[:-1]])
         # The mass of a long word leaves the range of numbers, so nodes of long words have a power of two beside it.
         scaled, power = int(sizes.max()) > SHORT, np.zeros(len(codes) + 1, np.int64)
@@ -190,15 +250,14 @@ class Lattices:
         prob = way if scaled else way / mass[node]
         order = _likeliest_first(node, prob)
         node, length, piece, prob, ends = node[order], length[order], piece[order], prob[order], ends[order]
-        count = np.bincount(node, minlength=len(codes))
         begin = np.concatenate([[0], np.cumsum(count)])
         total = np.concatenate([[0.0], np.cumsum(prob)])
         upto = np.minimum(total[1:] - total[begin[node]], 1.0)
         upto[begin[1:] - 1] = 1.0
         nodes, edges = len(self.first) - 1, len(self.upto)
         for name, new in (("upto", upto), ("piece", piece), ("next", np.where(ends, -1, nodes + node + length).astype(np.int32)), ("prob", prob)):
-            setattr(self, name, np.concatenate([getattr(self, name), new]))
-        self.first = np.concatenate([self.first, (edges + begin[1:]).astype(np.int32)])  # REMEMBERED short words and one group's long ones
+            self._append(name, new)
+        self._append("first", (edges + begin[1:]).astype(np.int32))  # REMEMBERED short words and one group's long ones
         self.start.update(zip(words, (nodes + np.cumsum(sizes) - sizes).tolist()))
 
 
@@ -228,12 +287,54 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(BLANK + text.replace(" ", BLANK))
 
 
+def numbered_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of ``words_of`` for all texts at once: distinct ones, the number of each word among them, and where each text's words begin."""
+    joined = "".join([BLANK + t for t in texts]).replace(" ", BLANK)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    rows = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    blank, line = codes == ord(BLANK), codes == 10
+    cut = np.zeros(len(codes) + 1, bool)
+    cut[1:-1] = (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
+    cut[rows] = True
+    # Letters up to a sign, if they are the first ones behind blanks or a line feed.
+    letter = ((codes | 32) - 97 < 26) | (codes - 0xC0 < 0x190)  # unsigned
+    signs = np.flatnonzero(letter[:-1] & _SIGNS[np.minimum(codes[1:], 128)]) + 1
+    other = np.flatnonzero(~letter)
+    before = other[np.searchsorted(other, signs) - 1]  # every text begins with a blank
+    cut[signs[blank[before] | line[before]]] = True
+    begin = np.flatnonzero(cut)
+    begin, sizes = begin[:-1], np.diff(begin)
+    with np.errstate(over="ignore"):
+        powers = np.full(len(codes) + 1, Lattices.BASE)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers[len(codes):0:-1], dtype=np.uint64)])
+        hashes = (sums[begin + sizes] - sums[begin]) * powers[begin]
+    order = np.argsort(hashes)
+    fresh = np.append(True, np.diff(hashes[order]) != 0)
+    numbers = np.empty(len(order), np.int64)
+    numbers[order] = np.cumsum(fresh) - 1
+    heads = order[fresh]
+    # Equal hashes are equal words, or all words are told apart by themselves.
+    same = np.array_equal(sizes[heads][numbers], sizes) and np.array_equal(codes[np.repeat(begin[heads][numbers] - begin, sizes) + np.arange(len(codes))], codes)
+    ends = begin + sizes
+    if not same:
+        every = [joined[a:b] for a, b in zip(begin.tolist(), ends.tolist())]
+        known = {w: i for i, w in enumerate(dict.fromkeys(every))}
+        return list(known), np.array([known[w] for w in every], np.int64), np.searchsorted(begin, rows)
+    return [joined[a:b] for a, b in zip(begin[heads].tolist(), ends[heads].tolist())], numbers, np.searchsorted(begin, rows)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (x + np.uint64(1)) * _ODD
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x + np.uint64(1)
+        x *= _ODD
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def _seeds(keys: np.ndarray, turn: int, use: int) -> np.ndarray:
@@ -244,12 +345,23 @@ def _seeds(keys: np.ndarray, turn: int, use: int) -> np.ndarray:
 
 def _uniform(seeds: np.ndarray, place: np.ndarray, step: np.ndarray) -> np.ndarray:
     """A number in (0, 1) from a hash of a seed, a word's place and a step in it; steps from 64 on are hashed once more."""
+    return _stepped(seeds + (place * 64).astype(np.uint64), step)
+
+
+def _stepped(seeds: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The numbers of ``_uniform`` where the place is already in the seed."""
     with np.errstate(over="ignore"):
-        x = _mixed(seeds + (place * 64 + (step & 63)).astype(np.uint64))
-        far = np.flatnonzero(step > 63)
-        if len(far):
+        if len(step) and int(step.max()) > 63:
+            x = _mixed(seeds + (step & 63).astype(np.uint64))
+            far = np.flatnonzero(step > 63)
             x[far] = _mixed(x[far] + (step[far] >> 6).astype(np.uint64))
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
+        else:
+            x = _mixed(seeds + step.view(np.uint64))
+    x >>= np.uint64(12)
+    u = x.astype(np.float64)
+    u += 0.5
+    u *= 1.0 / (1 << 52)
+    return u
 
 
 def _cut_gumbel(place: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -275,40 +387,43 @@ class Sampler:
     """Draws for many rows at once: each round settles the next path of every row that has one left."""
 
     def __init__(self, lattices: Lattices, texts: list[str], keys: list[int], k: int):
-        words = [words_of(t) for t in texts]
-        every = [w for row in words for w in row]
-        lattices.know(set(every))
-        self.first = np.fromiter(map(lattices.start.__getitem__, every), np.int32, len(every))
+        distinct, numbers, self.offset = numbered_words(texts)
+        self.first = lattices.know(distinct)[numbers]
         self.edge_of, self.upto, self.piece, self.next, self.prob = lattices.first, lattices.upto, lattices.piece, lattices.next, lattices.prob
-        self.offset = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         self.row = np.repeat(np.arange(len(texts)), np.diff(self.offset))
         self.place = np.arange(len(self.first)) - self.offset[self.row]
+        self.room = (self.place * 64).astype(np.uint64)  # what a word's place adds to a seed
         self.keys = np.array(keys, np.int64).view(np.uint64)
         self.k, self.lattices = k, lattices
 
     def _start(self, turn: int) -> None:
         """The rows' seeds of a round: for walks, first values, other edges and bounds."""
         self.seeds = [_seeds(self.keys, turn, use) for use in range(4)]
+        self.walks, self.bounds = (self.seeds[use][self.row] + self.room for use in (0, 3))
 
     def _walk(self, at: np.ndarray, node: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, ...]:
         """Edges from each word's node to its end, in text order: (word, node, step, edge)."""
-        out: list[tuple[np.ndarray, ...]] = []
-        while len(at):
-            u = _uniform(self.seeds[0][self.row[at]], self.place[at], step)
+        out, own, taken = [], np.arange(len(at)), np.zeros(len(at), np.int64)
+        seeds = self.walks[at]
+        while len(own):
+            u = _stepped(seeds, step)
             edge = self.edge_of[node]
             short = np.flatnonzero(self.upto[edge] < u)
             while len(short):
                 edge[short] += 1
                 short = short[self.upto[edge[short]] < u[short]]
-            out.append((at, node, step, edge))
+            out.append((own, node, step, edge))
+            taken[own] += 1
             node = self.next[edge]
-            on = node >= 0
-            at, node, step = at[on], node[on], step[on] + 1
-        if not out:
-            return (np.zeros(0, np.int64),) * 4
-        joined = [np.concatenate(x) for x in zip(*out)]
-        order = np.argsort(joined[0], kind="stable")
-        return tuple(x[order] for x in joined)
+            on = np.flatnonzero(node >= 0)
+            own, seeds, node, step = own[on], seeds[on], node[on], step[on] + 1
+        ends = np.cumsum(taken)
+        begin, joined = ends - taken, [np.empty(int(taken.sum()), np.int64) for _ in range(3)]
+        for nth, (own, *found) in enumerate(out):
+            spot = begin[own] + nth
+            for whole, part in zip(joined, found):
+                whole[spot] = part
+        return (np.repeat(at, taken), *joined)
 
     def run(self) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each row (edges, log probability, perturbed value, log inclusion score), best first."""
@@ -322,14 +437,19 @@ class Sampler:
         self._settle(range(rows), walked, np.searchsorted(walked[0], self.offset), [(-1, 0, 0.0, float(t), ()) for t in top])
         for turn in range(1, self.k):
             self._start(turn)
-            taken, heads, at, node, step = [], [], [], [], []
+            taken, heads, at, node, step, popped = [], [], [], [], [], []
             for r in range(rows):
                 if not self.queues[r]:
                     continue
                 bound, source, place, used = heapq.heappop(self.queues[r])
                 path = self.paths[r][source]
-                word, here, depth = int(path.words[place]), int(path.nodes[place]), int(path.steps[place])
-                edge = self._other(r, word, here, depth, used)
+                popped.append((r, bound, source, place, used, path, int(path.words[place]), int(path.nodes[place]), int(path.steps[place])))
+            if not popped:
+                break
+            own, begun, depths = (np.array([p[i] for p in popped], np.int64) for i in (0, 6, 8))
+            numbers = _uniform(self.seeds[2][own], self.place[begun], depths).tolist()
+            for u, (r, bound, source, place, used, path, word, here, depth) in zip(numbers, popped):
+                edge = self._other(here, used, u)
                 taken.append((r, (source, path.cut + place, float(path.sums[place - 1]) if place else path.before, -bound, used)))
                 heads.append((word, here, depth, edge))
                 after = int(self.next[edge])
@@ -337,8 +457,6 @@ class Sampler:
                     at.append(np.array([word])), node.append(np.array([after])), step.append(np.array([depth + 1]))
                 later = np.arange(word + 1, self.offset[r + 1])
                 at.append(later), node.append(self.first[later]), step.append(np.zeros(len(later), np.int64))
-            if not taken:
-                break
             walked = self._walk(np.concatenate(at), np.concatenate(node), np.concatenate(step))
             # Each row's new decisions: the edge taken instead, then what was walked from there on.
             first = np.searchsorted(walked[0], [h[0] for h in heads])
@@ -347,12 +465,11 @@ class Sampler:
             self._settle([r for r, _ in taken], joined, cuts, [how for _, how in taken])
         return [self._scored(r) for r in range(rows)]
 
-    def _other(self, r: int, word: int, node: int, step: int, used: tuple[int, ...]) -> int:
+    def _other(self, node: int, used: tuple[int, ...], u: float) -> int:
         """An edge of a node other than the used ones, by its probability."""
         open_ = [e for e in self._edges(node) if e not in used]
-        upto = np.cumsum(self.prob[open_])
-        u = float(_uniform(self.seeds[2][r:r + 1], np.array([word - self.offset[r]]), np.array([step]))[0])
-        return open_[min(int(np.searchsorted(upto, u * upto[-1])), len(open_) - 1)]
+        upto = list(accumulate(self.prob[open_].tolist()))
+        return open_[min(bisect_left(upto, u * upto[-1]), len(open_) - 1)]
 
     def _settle(self, rows, decisions: tuple[np.ndarray, ...], cuts: np.ndarray, how: list[tuple]) -> None:
         """Record a path of each row and put the nodes that split off from its new decisions into the row's queue.
@@ -377,8 +494,7 @@ class Sampler:
                 open_ = [e for e in self._edges(int(nodes[low])) if e not in used and e != edges[low]]
                 rest[low] = self.prob[open_].sum() if open_ else 0.0
         some = np.flatnonzero(rest > 0)
-        own = self.row[words[some]]
-        u = _uniform(self.seeds[3][own], self.place[words[some]], steps[some])
+        u = _stepped(self.bounds[words[some]], steps[some])
         values = np.repeat([h[3] for h in how], np.diff(cuts))[some]
         bounds = _cut_gumbel(prior[some] + np.log(rest[some]), values, u)
         parts = np.searchsorted(some, cuts).tolist()

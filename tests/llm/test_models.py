@@ -1,6 +1,7 @@
 """Sampling, quality, vectors and URL templates against brute force."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -100,6 +101,26 @@ def test_long_runs_are_one_lattice(lattices, text):
     assert word not in lattices.start
 
 
+@pytest.mark.parametrize("base", [piece_sampling.Lattices.BASE, np.uint64(1)])  # with 1 anagrams share a hash
+def test_words_of_many_texts_at_once(monkeypatch, base):
+    monkeypatch.setattr(piece_sampling.Lattices, "BASE", base)
+    draw, signs = random.Random(3), "ab é×Àɏ.,;:!?\n▁  \n-1日ɐ@[`{😀"
+    for _ in range(300):
+        texts = ["".join(draw.choices(signs, k=draw.randrange(25))) for _ in range(draw.randrange(1, 6))] + ["ab, ba: ab", ""]
+        distinct, numbers, offset = piece_sampling.numbered_words(texts)
+        assert len(set(distinct)) == len(distinct)
+        assert [[distinct[i] for i in numbers[a:b]] for a, b in zip(offset, offset[1:])] == [piece_sampling.words_of(t) for t in texts]
+
+
+def test_lattices_grow_in_place(lattices):
+    """New words go behind the old ones without a copy of them, and the first of a full memory are found again."""
+    first = lattices.know(["▁then", "▁in"]).tolist()
+    room = lattices.room["upto"]
+    lattices.know([f"▁{i}" for i in range(100)])
+    assert lattices.upto.base is lattices.room["upto"] and (lattices.room["upto"] is room or len(lattices.upto) > len(room))
+    assert lattices.know(["▁in", "▁then"]).tolist() == first[::-1]
+
+
 def test_no_step_of_a_long_word_repeats_a_number():
     seeds = np.full(4000, 77, np.uint64)
     place, step = np.divmod(np.arange(4000), 2000)
