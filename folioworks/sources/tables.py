@@ -82,7 +82,7 @@ class KeyedTable:
             folder = f"data/{state['version'] + 1:012d}-{uuid.uuid4().hex}"
             rows = merge(self._read(state, touched), batch).select(*self.schema.names).withColumn("part", self.part_of())
             # Rebalanced, so that a large part becomes several files and small ones are not split.
-            rows.hint("rebalance", F.col("part")).write.partitionBy("part").parquet(f"{self.path}/{folder}")
+            rows.hint("rebalance", F.col("part")).write.partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/{folder}")
             written = {name.split("=")[1] for name in self._names(f"{self.path}/{folder}") if name.startswith("part=")}
             if written - {str(p) for p in touched}:
                 raise ValueError("merge returned rows of keys that are not in the touched parts")
