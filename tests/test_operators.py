@@ -240,3 +240,29 @@ def test_embedding_plan_counts_a_hash_once(spark):
             total += tokens
             assert (got[doc, batch].tokens, got[doc, batch].admitted) == (tokens, total <= 700)
     assert sum(r.chunks for r in got.values()) == len(rows) + 2
+
+
+def test_matcher_gives_the_library_s_blocks():
+    """Same blocks, ratio and bound as difflib, texts with frequent characters (200 and longer) included."""
+    draw = random.Random(2)
+    for turn in range(400):
+        signs = draw.choice(["ab", "abc \u00e9\u65e5", "abcdefghijklmnop 12"])
+        left = "".join(draw.choices(signs, k=draw.randrange(180, 420) if turn % 4 == 0 else draw.randrange(60)))
+        right = list(left)
+        for _ in range(draw.randrange(12) if right else 0):
+            right[draw.randrange(len(right))] = draw.choice(signs + "zQ\U0001F600")
+        right = "".join(right) if turn % 3 else "".join(draw.choices(signs, k=draw.randrange(300)))
+        want, got = SequenceMatcher(None, left, right), dup._Matcher(None, left, right)
+        assert got.get_matching_blocks() == want.get_matching_blocks() and got.ratio() == want.ratio()
+        assert dup._quick_ratio(left, right) == want.quick_ratio()
+
+
+def test_only_records_of_open_pairs_are_sampled(spark, monkeypatch):
+    stored = {}
+    write = dup.write_once
+    monkeypatch.setattr(dup, "write_once", lambda df, label: stored.setdefault(label, write(df, label)))
+    documents = spark.createDataFrame([(i, f"text  {i} " + "x" * 7000) for i in range(6)] + [(9, None)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 3), (4, 9)], "canonical_id long, duplicate_id long")
+    found = {(r.canonical_id, r.duplicate_id): r.similarity for r in dup.compare_texts(pairs, documents).collect()}
+    assert set(found) == {(1, 2), (1, 3), (4, 9)} and found[4, 9] == 0.0 and found[1, 2] > 0.99
+    assert {r.doc_id: len(r.text) for r in stored["samples"].collect()} == {1: 5999, 2: 5999, 3: 5999, 4: 5999, 9: 0}
