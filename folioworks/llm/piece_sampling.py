@@ -149,12 +149,20 @@ class Lattices:
         self.first = self.room["first"][:nodes]
         self.upto, self.piece, self.next, self.prob = (self.room[name][:edges] for name in ("upto", "piece", "next", "prob"))
 
+    def _fit(self) -> None:
+        """Gives back the room that a very long word has taken."""
+        for name, room in self.room.items():
+            size = len(getattr(self, name))
+            if len(room) > 4 * max(size, 1 << 18):
+                self.room[name] = room[:size].copy()
+                setattr(self, name, self.room[name])
+
     def _append(self, name: str, new: np.ndarray) -> None:
-        """Puts ``new`` behind the array; one that is full moves to twice the room."""
+        """Puts ``new`` behind the array; one that is full moves to half as much room again."""
         old, room = getattr(self, name), self.room[name]
         size = len(old) + len(new)
         if size > len(room):
-            self.room[name] = np.zeros(2 * size, room.dtype)
+            self.room[name] = np.zeros(size + size // 2, room.dtype)
             self.room[name][:len(old)] = old
         self.room[name][len(old):size] = new
         setattr(self, name, self.room[name][:size])
@@ -172,6 +180,7 @@ class Lattices:
         """The first nodes of distinct ``words``; the lattices of long ones are given up at the next call."""
         if self.passing:
             self._keep(*self.lasting)
+            self._fit()
             for word in self.passing:
                 del self.start[word]
             self.passing = []

@@ -121,6 +121,15 @@ def test_lattices_grow_in_place(lattices):
     assert lattices.know(["▁in", "▁then"]).tolist() == first[::-1]
 
 
+def test_room_of_a_very_long_word_is_given_back():
+    lattices = piece_sampling.Lattices(piece_sampling.vocabulary_path())
+    first = lattices.know(["▁then"]).tolist()
+    lattices.know(["then/" * 150_000])
+    assert len(lattices.room["upto"]) > 1 << 20
+    assert lattices.know(["▁then"]).tolist() == first and max(map(len, lattices.room.values())) <= 1 << 20
+    assert piece_sampling.Sampler(lattices, ["then"], [5], 2).run()[0][0][1] < 0
+
+
 def test_no_step_of_a_long_word_repeats_a_number():
     seeds = np.full(4000, 77, np.uint64)
     place, step = np.divmod(np.arange(4000), 2000)
